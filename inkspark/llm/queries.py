@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, jaccard, tokenids
 from .common import table
 
 
@@ -10,6 +10,16 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_token_ids(spark, sf_dir):
+    return tokenids.token_files(table(spark, sf_dir, "documents"))
+
+
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.link(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 QUERIES = {
+    "op9_jaccard_join": op9_jaccard_join,
+    "op8_token_ids": op8_token_ids,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
