@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, tokenids
+from pyspark.sql import functions as F
+
+from . import decontaminate, jaccard, mixing, sharding, tokenids
 from .common import table
 
 
@@ -18,7 +20,18 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard.link(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op3_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text_hash"))
+    return mixing.mix(docs, mixing.target_weights(docs), key=["doc_id", "text_hash"]).drop("text_hash")
+
+
+def op4_sharding(spark, sf_dir):
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op4_sharding": op4_sharding,
     "op9_jaccard_join": op9_jaccard_join,
     "op8_token_ids": op8_token_ids,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,

@@ -21,7 +21,6 @@ ids are written in the order of their texts; no rows give no files.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 
@@ -32,15 +31,16 @@ from pyspark.sql import functions as F
 
 from .common import scratch, stored
 from .fileblocks import write
+from .textkernel import U, chunks, column, mix, powers
 
-BLOCK = 1024
+BLOCK = 4096
 PERCENTILE = 90
 END = 0
 MAGIC = b"PFORTOK1"
 #: bytes of text for each file; files are what is written, read and, if an executor is lost, redone
 FILE_BYTES = 16_000_000
 #: pieces that a worker remembers with their ids, before it forgets all
-MEMO = 400_000
+MEMO = 2_000_000
 
 
 # ---------------------------------------------------------------- format
@@ -154,81 +154,148 @@ class Reader:
 
 # ---------------------------------------------------------------- encoding
 
-#: The byte-level pattern and its classes for characters up to U+024F, as text (fixed values); texts with others go to the library whole.
-LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-NUMBERS = "0-9²³¹¼-¾"
-PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
-#: other characters, a special token's text, or blanks next to white space or an end, whose split depends on what follows
-WHOLE = re.compile("[^\t\n\r -~¡-ɏ]|<\\|endoftext\\|>| \\s|\\s |^ | $")
-#: the id of a line break that stands alone, which no other piece holds
-BREAK = "\n"
+# Classes of the byte-level pattern (fixed values), for characters up to U+024F; texts with others go to the library whole.
+WHITE, LETTER, NUMBER, OTHER, ODD = range(5)
+ASCII = np.full(128, OTHER, np.uint8)
+ASCII[[9, 10, 13, 32]] = WHITE
+ASCII[48:58] = NUMBER
+ASCII[65:91] = ASCII[97:123] = LETTER
+ASCII[:9] = ASCII[[11, 12, 127]] = ASCII[14:32] = ODD
+#: U+0080 to U+00FF
+LATIN = np.full(128, LETTER, np.uint8)
+LATIN[: 0x41 - 0x20] = ODD
+LATIN[0x21:0x40] = OTHER
+LATIN[[0x2A, 0x35, 0x3A]] = LETTER
+LATIN[[0x32, 0x33, 0x39, 0x3C, 0x3D, 0x3E]] = NUMBER
+LATIN[[0x57, 0x77]] = OTHER
+
+
+def pieces(data, at):
+    """(piece starts, piece offsets of the docs, flags of the docs for which the cut is not certain) of a chunk of whole docs.
+
+    The pattern cuts between letters, numbers, other characters and white space; a blank goes with what follows it;
+    of a run of other white space the last one stands alone unless the text ends; an apostrophe that begins a piece
+    takes one of the endings s, t, m, d, re, ve, ll with it.
+    """
+    n = len(data)
+    wide = np.concatenate([data, np.zeros(3, np.uint8)])
+    kind = np.where(data < 128, ASCII[data & 127], np.uint8(ODD))
+    lead = np.flatnonzero((data >= 0xC2) & (data <= 0xC9))
+    if len(lead):
+        code = ((data[lead].astype(np.int32) & 31) << 6) | (wide[lead + 1] & 63)
+        of = np.where(code < 256, LATIN[code & 127], np.where(code < 0x250, np.uint8(LETTER), np.uint8(ODD)))
+        kind[lead] = of
+        kind[lead + 1] = of
+    first = np.zeros(n + 4, bool)
+    first[at] = True  # a doc's first byte, and the end
+    white, blank = kind == WHITE, data == 32
+    before = np.concatenate([[False], white[:-1]])
+    start = np.concatenate([[True], (kind[1:] != kind[:-1]) & ~blank[:-1]])
+    start |= blank | first[:n]
+    follows = np.concatenate([white[1:], [True]]) | first[1 : n + 1]  # white space or the end
+    start |= white & ~follows & before & ~first[:n]
+    touching = blank & (follows | before | first[:n])
+    odd = (kind == ODD) | touching | ((data == 60) & (wide[1 : n + 1] == 124))
+    flagged = np.zeros(len(at) - 1, bool)
+    flagged[np.searchsorted(at, np.flatnonzero(odd), "right") - 1] = True
+    mark = np.flatnonzero((data == 39) & start)
+    if len(mark):
+        one, two = wide[mark + 1], wide[mark + 2]
+        inside = ~first[mark + 1]
+        short = inside & np.isin(one, [115, 116, 109, 100])
+        long = inside & ~first[mark + 2] & (((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108)))
+        start[mark[short | long] + 1] = False
+        ends = np.concatenate([mark[short] + 2, mark[long] + 3])
+        start[ends[ends < n]] = True
+    starts = np.flatnonzero(start)
+    return starts, np.searchsorted(starts, at), flagged
+
+
+def byte_letters():
+    """The character by which the byte-level vocabulary writes each byte: printable ones as they are, the rest from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) if b in shown else chr(256 + sum(x not in shown for x in range(b))) for b in range(256)}
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The byte-level pre-tokenizer cuts a text into pieces and never merges across a cut, and it cuts before every blank
-    that stands between two other characters.  So a text's ids are those of its blank-separated words, and theirs
-    those of their pieces, one after the other; what the worker has met before need not be encoded again.  New pieces
-    go to the library many at a time, a line break between each two.  Texts for which the cut is not certain
-    (``WHOLE``) go to the library whole.
+    Byte-level BPE never merges across the pieces that its pattern cuts, so a text's ids are those of its pieces, one
+    after the other.  Pieces are found and hashed (64 bits) for a whole chunk of texts at once; the library encodes
+    those that the worker has not met before.  Texts for which the cut is not certain go to the library whole.
     """
 
     def __init__(self, path):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words, self.pieces = {}, {}
-        self.mark = self._ids([BREAK])[0]
-        assert len(self.mark) == 1, "a line break is expected to be one id"
-
-    def _ids(self, texts):
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces):
-        plain = [p for p in pieces if not p.isspace()]
-        for p, ids in zip(blank := [p for p in pieces if p.isspace()], self._ids(blank)):
-            self.pieces[p] = np.array(ids, "<u4").tobytes()
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(self._ids([BREAK.join(some)])[0], "<u4")
-            cut = np.flatnonzero(ids == self.mark[0])
-            if len(cut) != len(some) - 1:
-                raise AssertionError("pieces are not separated")
-            raw = ids.tobytes()
-            for p, a, b in zip(some, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)]):
-                self.pieces[p] = raw[4 * a : 4 * b]
-
-    def _new_words(self, words):
-        split = [PIECE.findall(w) for w in words]
-        pieces = self.pieces
-        new = {p for s in split for p in s if p not in pieces}
-        if len(pieces) + len(new) > MEMO:
-            pieces.clear()
-            new = {p for s in split for p in s}
-        if new:
-            self._learn(sorted(new))
-        for w, s in zip(words, split):
-            self.words[w] = b"".join([pieces[p] for p in s])
+        self.model = self.library.model
+        self.model._resize_cache(0)
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self._forget()
+
+    def _forget(self):
+        # of the pieces met: ascending hashes, and with them the place and number of their ids in ``flat``
+        self.known, self.first = np.zeros(0, U), np.zeros(0, np.int64)
+        self.count, self.flat = np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def _learn(self, hashes_, raw):
+        ids, count, tokenize, letters = [], [], self.model.tokenize, self.letters
+        for piece in raw:
+            got = tokenize(piece.decode("latin-1").translate(letters))
+            count.append(len(got))
+            ids += [t.id for t in got]
+        count = np.array(count, np.int32)
+        first = len(self.flat) + np.cumsum(count, dtype=np.int64) - count
+        place = np.searchsorted(self.known, hashes_)
+        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+        self.known, self.first, self.count = np.insert(self.known, place, hashes_), np.insert(self.first, place, first), np.insert(self.count, place, count)
+
+    def _plain(self, data, at, starts, cut):
+        ends = np.append(starts[1:], len(data))
+        up, down = powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, U)
+        np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
+        h, where, back = np.unique(mix((total[ends] - total[starts]) * down[starts]), return_index=True, return_inverse=True)
+
+        def unknown():
+            place = np.searchsorted(self.known, h)
+            place[place == len(self.known)] = 0
+            return np.flatnonzero(self.known[place] != h) if len(self.known) else np.arange(len(h))
+
+        new = unknown()
+        if len(new):
+            if len(self.known) + len(new) > MEMO:
+                self._forget()
+                new = unknown()
+            raw = data.tobytes()
+            self._learn(h[new], [raw[i:j] for i, j in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
+        number = np.searchsorted(self.known, h)[back]
+        size = self.count[number]
+        sums = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        ids = self.flat[np.repeat(self.first[number] - sums[:-1], size) + np.arange(sums[-1])]
+        return ids, np.diff(sums[cut])
 
     def __call__(self, texts):
-        """Little-endian u32 ids of each text, as bytes."""
-        # "a b c" -> "a", " b", " c": a mark before each blank keeps the blank with its word
-        split = [None if not t or WHOLE.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
-        words, new = self.words, set()
-        for s in split:
-            if s:
-                new.update(s)
-        new = [w for w in new if w not in words]
-        if len(words) + len(new) > MEMO:
-            words.clear()
-            new = list({w for s in split if s for w in s})
-        self._new_words(new)
-        whole = [i for i, (t, s) in enumerate(zip(texts, split)) if t and not s]
-        out = [b"".join(map(words.__getitem__, s)) if s else b"" for s in split]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = np.array(ids, "<u4").tobytes()
-        return out
+        """(ids of all texts one after the other, ids in each text) for an Arrow string array."""
+        data, at = column(texts)
+        ids, counts = [], []
+        for i, j, d, a in chunks(data, at, 4_000_000):
+            if not len(d):
+                counts.append(np.zeros(j - i, np.int64))
+                continue
+            starts, cut, flagged = pieces(d, a)
+            own, n = self._plain(d, a, starts, cut)
+            if flagged.any():  # in their place, what the library makes of them
+                which = np.flatnonzero(flagged)
+                whole = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([d[a[k] : a[k + 1]].tobytes().decode() for k in which], add_special_tokens=False)]
+                parts = np.split(own, np.cumsum(n)[:-1])
+                for k, x in zip(which, whole):
+                    parts[k] = x
+                own, n = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+            ids.append(own)
+            counts.append(n)
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(counts) if counts else np.zeros(0, np.int64)
 
 
 def default_path():
@@ -268,12 +335,12 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, order: st
         from pyspark import TaskContext
 
         encode, writer, part = _encoder(path), Writer(block), TaskContext.get().partitionId()
-        end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for i in range(0, len(ids), 256):
-                coded = [x + end for x in encode([t or "" for t in texts[i : i + 256].to_pylist()])]
-                writer.add_many(ids[i : i + 256], np.frombuffer(b"".join(coded), "<u4"), [len(x) // 4 for x in coded])
+            for i in range(0, batch.num_rows, 2000):
+                some = batch.slice(i, 2000)
+                ids, counts = encode(some.column("text"))
+                closed = np.insert(ids, np.cumsum(counts), END)
+                writer.add_many(some.column("doc_id").to_pylist(), closed, (counts + 1).tolist())
         if writer.docs:
             uri, _ = write(folder, f"ids-{part:06d}", writer.finish())
             yield pa.RecordBatch.from_pydict({"part": [part], "uri": [uri], "docs": [len(writer.docs)], "ids": [writer.total]})
