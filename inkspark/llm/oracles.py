@@ -1,5 +1,56 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from . import quality
+
+
+def _quality(documents="documents", columns="doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept"):
+    """op2 as SQL; the rules' scores, grids and limits are those of quality.py."""
+    alpha = quality.RISK / len(quality.RULES)
+    scores = ",\n".join(f"CAST({score.replace(' / ', ' * 1.0 / ')} AS DOUBLE) AS s_{r}" for r, (score, _) in quality.RULES.items())
+    grid = ",\n".join(f"('{r}', CAST({c!r} AS DOUBLE))" for r, (_, g) in quality.RULES.items() for c in g)
+    marks = " UNION ALL ".join(f"SELECT lang AS stratum, quality = 1 AS good, '{r}' AS rule, s_{r} AS score FROM lab" for r in quality.RULES)
+    fails = " OR ".join(f"coalesce((SELECT s_{r} > cutoff FROM cut WHERE cut.stratum = b.lang AND rule = '{r}'), false)" for r in quality.RULES)
+    return rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM {documents}),
+        grams AS (
+            SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) AS u(i) WHERE len(w) >= 3),
+        twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM grams) WHERE c >= 2),
+        rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
+        lines AS (
+            SELECT r, count(*) AS n, count(*) - count(DISTINCT l) AS dup
+            FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+        stats AS (
+            SELECT d.r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS BIGINT) AS n_marks,
+                   CAST(length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
+                   CAST(coalesce(lines.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(lines.dup, 0) AS BIGINT) AS n_dup_lines,
+                   CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+            FROM d LEFT JOIN rep ON rep.r = d.r LEFT JOIN lines ON lines.r = d.r),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {scores} FROM stats),
+        lab AS (SELECT b.*, l.quality FROM b JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL AND lang IS NOT NULL),
+        grid(rule, cutoff) AS (VALUES {grid}),
+        marks AS ({marks}),
+        tests AS (
+            SELECT stratum, rule, cutoff, CAST(count(*) FILTER (good) AS DOUBLE) AS n, count(*) FILTER (good AND score > cutoff) AS k,
+                   count(*) FILTER (NOT good AND score > cutoff) AS bad
+            FROM marks JOIN grid USING (rule) GROUP BY ALL),
+        tails AS (
+            SELECT *, count(*) OVER () AS m,
+                   CASE WHEN k > n * {alpha!r} THEN 1.0 ELSE (
+                       SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha!r}) + (n - j) * ln(1 - {alpha!r})))
+                       FROM unnest(range(0, k + 1)) AS u(j)) END AS p
+            FROM tests),
+        cut AS (
+            SELECT stratum, rule, arg_max(cutoff, bad * 1000.0 + cutoff) AS cutoff
+            FROM tails WHERE p <= {quality.DELTA!r} / m AND bad > 0 GROUP BY ALL),
+        verdict AS (SELECT *, NOT base_failed AND NOT ({fails}) AS kept FROM b)
+        SELECT {columns} FROM verdict"""
+
+
 ORACLES = {
     "op9_jaccard_join": r"""
         WITH RECURSIVE d AS (
@@ -38,4 +89,5 @@ ORACLES = {
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(h, sha256('')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)""",
+    "op2_quality_rules": _quality(),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mixing, sharding, tokenids
+from . import decontaminate, jaccard, linededup, mixing, quality, sharding, tokenids
 from .common import table
 
 
@@ -29,7 +29,17 @@ def op4_sharding(spark, sf_dir):
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op1_line_dedup(spark, sf_dir):
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_quality_rules(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op9_jaccard_join": op9_jaccard_join,
