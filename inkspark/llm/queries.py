@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, linededup, mixing, quality, sharding, tokenids
+from . import decontaminate, jaccard, licenses, linededup, mixing, quality, sharding, tokenids, warc, wrappers
 from .common import table
 
 
@@ -37,12 +37,27 @@ def op2_quality_rules(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_html_extraction(spark, sf_dir):
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op7_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
-    "op9_jaccard_join": op9_jaccard_join,
+    "op5_warc": op5_warc,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_license_scan": op7_license_scan,
     "op8_token_ids": op8_token_ids,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
