@@ -1,9 +1,72 @@
-"""The training-corpus pipeline."""
+"""The training-corpus pipeline: five stages, each over all that the stage before it kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inkspark.llm import decontaminate, jaccard, mixing, quality, tokenids
+from inkspark.llm.common import stored, table
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Documents that the base rules and the risk-controlled cutoffs keep."""
+    verdicts = quality.verdicts(docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("text_hash")), table(spark, sf_dir, "labels"))
+    rejected = verdicts.where("NOT kept").select("doc_id", "text_hash").distinct().toDF("id_", "hash_")
+    same = docs.doc_id.eqNullSafe(rejected.id_) & F.xxhash64(docs.text).eqNullSafe(rejected.hash_)
+    return docs.join(rejected, same, "left_anti")
+
+
+def jaccard_join(spark, docs, sf_dir):
+    """One document of each group of five-word-shingle similarity 0.8 or more: that of the smallest id.
+
+    Documents without words are linked with nothing and stay.
+    """
+    linked = jaccard.link(docs, k=5, percent=80)
+    gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # rows that repeat an id are one document
+    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+
+
+def benchmark_decontamination(spark, docs, sf_dir):
+    """Documents without ten consecutive words of a benchmark item, or a whole shorter item."""
+    found = decontaminate.search(docs, table(spark, sf_dir, "benchmark"))
+    return found.where("size(__items) = 0").select(docs.columns)
+
+
+def mixing_to_weights(spark, docs, sf_dir):
+    """All documents in the order of the mixture, whose place is ``mix_pos``; target weights are the square roots of the sources' sizes."""
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    placed = mixing.mix(docs.select("doc_id", "source", "text_hash"), mixing.target_weights(docs), key=["doc_id", "text_hash"])
+    placed = placed.select("doc_id", "text_hash", "mix_pos")
+    # of rows that repeat as a whole each takes one of the places; the smallest stands for all
+    places = placed.groupBy("doc_id", "text_hash").agg(F.min("mix_pos").alias("place_")).toDF("id_", "hash_", "place_")
+    same = docs.doc_id.eqNullSafe(places.id_) & docs.text_hash.eqNullSafe(places.hash_)
+    columns = [F.col(c) for c in docs.columns if c not in ("text_hash", "mix_pos")]
+    return docs.join(places, same).select(*columns, F.col("place_").alias("mix_pos"))
+
+
+def token_ids(spark, docs, sf_dir):
+    """Token-id files in the order of the mixture; a row for each document, read back from them."""
+    order = "mix_pos" if "mix_pos" in docs.columns else "doc_id"
+    return tokenids.token_files(docs, order=order)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", mixing_to_weights),
+    ("token-ID / binary output", token_ids),
+]
+
+#: the tokenizer is beyond SQL; tests/llm/test_pipeline.py holds the pipeline against a brute-force version
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    return docs
+    """All stages over ``documents``, each written as Parquet and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
