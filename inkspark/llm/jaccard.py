@@ -17,11 +17,13 @@ weaker ones in either set and is left out by neither.  So every pair still
 meets, while empty and nearly empty lanes, which unrelated sets share, do not.
 
 Candidates are verified on the whole sets.  The result is components, so a pair
-whose ends are known to be connected needs no verification: rounds compare the
-members of a lane's group with one member of the group each (a star), and only
-then what is left between different components, in blocks of ``block`` members
-against all others of their group.  Nothing is capped: the last rounds go on
-until no candidate pair between components is unverified.
+whose ends are known to be connected needs no verification.  Two rounds compare
+every member of a lane's group with one member of the group (a star), which
+connects most of a group of copies in as many pairs as it has members.  What
+then meets in a lane from different components is compared by bit sketches
+(every shingle flips one of m bits; the number of bits that differ is a lower
+bound of the symmetric difference, too) inside the join, and only pairs whose
+bound allows the similarity leave it.  Nothing is capped.
 
 Equal sets are one vertex (the smallest id) from the start.
 
@@ -33,6 +35,8 @@ null id get a null component and link nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,8 +47,9 @@ from .components import components
 from .textkernel import U, chunks, column, hashes, mix, shingles, signed, words
 
 RATIO = 1.3
-STAR_ROUNDS = 4
-BLOCK = 64
+STAR_ROUNDS = 2
+#: bits of a bit sketch for each shingle by which two sets of that size may differ, at least
+SKETCH_BITS = 8
 
 
 def bands(limit=1 << 40, ratio=RATIO):
@@ -128,20 +133,39 @@ def _lanes(k, percent):
     return run
 
 
-def _whole_sets(k):
+def bit_sketch(shingle_set, percent):
+    """Parities of the shingles in 2**j bits, as longs; the sketch of half as many bits is the XOR of its halves."""
+    need = SKETCH_BITS * (100 - percent) * 2 * len(shingle_set) // (100 + percent)
+    bits = 64
+    while bits < need:
+        bits *= 2
+    place = (mix(shingle_set ^ U(0x589965CC75374CC3)) & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+SETS = "v long, size long, shingles array<long>, sketch array<long>, half array<long>"
+
+
+def _whole_sets(k, percent):
+    def rows(got):
+        ids, sets, sketches = zip(*got)
+        halves = [x[: len(x) // 2] ^ x[len(x) // 2 :] if len(x) > 1 else x[:0] for x in sketches]
+        longs = pa.list_(pa.int64())
+        columns = [pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([signed(x) for x in sets], longs), pa.array(sketches, longs), pa.array(halves, longs)]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SETS.split(", ")])
+
     def run(batches):
         for batch in batches:
-            ids, out, held = [], [], 0
-            names = batch.column("doc_id").to_pylist()
+            names, got, held = batch.column("doc_id").to_pylist(), [], 0
             for row, s in _sets(batch, k):
-                ids.append(names[row])
-                out.append(signed(s))
-                held += len(s)
+                if len(s):
+                    got.append((names[row], s, bit_sketch(s, percent)))
+                    held += len(s)
                 if held > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["v", "shingles"])
-                    ids, out, held = [], [], 0
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["v", "shingles"])
+                    yield rows(got)
+                    got, held = [], 0
+            if got:
+                yield rows(got)
 
     return run
 
@@ -152,9 +176,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     two = sets.select(F.col("v").alias("b"), F.col("shingles").alias("t"))
     both = pairs.join(one, "a").join(two, "b")
     shared = F.size(F.array_intersect("s", "t")).cast("long")
-    test = 100 * shared >= percent * (F.size("s") + F.size("t") - shared)
-    sizes = 100 * F.least(F.size("s"), F.size("t")) >= percent * F.greatest(F.size("s"), F.size("t"))
-    return both.groupBy("a", "b").agg(F.max(sizes & test).alias("similar"))
+    return both.groupBy("a", "b").agg(F.max(100 * shared >= percent * (F.size("s") + F.size("t") - shared)).alias("similar"))
+
+
+#: Whether sizes and bit sketches of x and y allow their similarity: symmetric difference <= (1-t)/(1+t) * (sum of sizes).
+ALLOWED = """
+    100 * least(x.size, y.size) >= {p} * greatest(x.size, y.size)
+    AND aggregate(
+            CASE WHEN size(x.sketch) = size(y.sketch) THEN zip_with(x.sketch, y.sketch, (i, j) -> bit_count(i ^ j))
+                 WHEN size(x.sketch) > size(y.sketch) THEN zip_with(x.half, y.sketch, (i, j) -> bit_count(i ^ j))
+                 ELSE zip_with(x.sketch, y.half, (i, j) -> bit_count(i ^ j)) END,
+            0L, (n, c) -> n + c) * (100 + {p}) <= (100 - {p}) * (x.size + y.size)"""
+
+
+def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` (v, component) after the links ``found`` (a, b) between their vertices."""
+    one, two = labels.toDF("a", "x"), labels.toDF("b", "y")
+    between = found.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b")
+    between = stored(between.distinct(), "between")
+    if not between.head(1):
+        return labels
+    merged = components(between).toDF("component", "into")
+    return stored(labels.join(merged, "component", "left").select("v", F.coalesce("into", "component").alias("component")), "labels")
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -164,65 +207,46 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     known = signed_docs.where("doc_id IS NOT NULL AND size > 0")
     classes = known.groupBy("size", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     member = stored(known.join(classes.where("n > 1").drop("n"), ["size", "d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct(), "copies")
+    several = known.groupBy("doc_id").count().where("count > 1").select("doc_id")  # ids with more than one set send all
+    copies = stored(member.select(F.col("a").alias("doc_id")).distinct().join(several, "doc_id", "left_anti"), "copies")
 
     # the sketches: of one document for each class of equal sets
-    several = known.groupBy("doc_id").count().where("count > 1").select("doc_id")  # ids with more than one set send all
-    copies = member.select(F.col("a").alias("doc_id")).distinct().join(several, "doc_id", "left_anti")
     single = docs.where("doc_id IS NOT NULL").join(small(copies), "doc_id", "left_anti")
     lanes = single.mapInArrow(_lanes(k, percent), "lane long, v long")
     met = lanes.groupBy("lane").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high").select("lane")
     shared = stored(lanes.join(met, "lane").distinct(), "lanes")
+    meeting = stored(shared.select("v").distinct(), "meeting")
+    links = stored(member.unionByName(_similar(docs, shared, meeting, k, percent)) if meeting.head(1) else member, "links")
 
-    links = member
-    meeting = shared.select(F.col("v").alias("doc_id")).distinct()
-    if shared.head(1):
-        sets = stored(docs.join(small(meeting), "doc_id", "left_semi").mapInArrow(_whole_sets(k), "v long, shingles array<long>"), "sets").where("size(shingles) > 0")
-        tried = None
-        labels, turn, stars = None, 0, STAR_ROUNDS
-        while True:
-            groups = shared
-            if labels is not None:  # lanes whose members are not all connected yet
-                groups = shared.join(labels, "v")
-                mixed = groups.groupBy("lane").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("lane", "n")
-                groups = stored(groups.join(mixed, "lane"), "groups")
-                if not groups.head(1):
-                    break
-            else:
-                groups = shared.withColumn("component", F.col("v")).withColumn("n", F.lit(0).cast("long"))
-            order = F.struct(F.xxhash64("v", F.lit(turn)), F.col("v"), F.col("component"))
-            if turn < stars:  # every member with the one that comes first in this turn's order
-                centre = groups.groupBy("lane").agg(F.min(order).alias("c")).select("lane", F.col("c.v").alias("c"), F.col("c.component").alias("cc"))
-                pairs = groups.join(centre, "lane")
-            else:  # block by block, against all
-                block = turn - stars
-                pieces = F.ceil(F.col("n") / BLOCK)
-                centre = groups.where(F.pmod(F.xxhash64("v"), pieces) == block).select("lane", F.col("v").alias("c"), F.col("component").alias("cc"))
-                pairs = groups.join(centre, "lane")
-                last = groups.agg(F.max(pieces)).first()[0]
-            pairs = pairs.where("component <> cc").select(F.least("v", "c").alias("a"), F.greatest("v", "c").alias("b")).distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            result = stored(verified(pairs, sets, percent), "verified")
-            fresh = result.select("a", "b")
-            tried = fresh if tried is None else tried.unionByName(fresh)
-            found = result.where("similar").select("a", "b")
-            any_found = bool(found.head(1))
-            if any_found:
-                links = links.unionByName(found)
-            if any_found or labels is None:
-                own = meeting.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
-                labels = components(links) if links.head(1) else None
-                base = own.select(F.col("a").alias("v"))
-                labels = base.withColumn("component", F.col("v")) if labels is None else base.join(labels, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
-                labels = stored(labels, "labels")
-            if turn < stars and not any_found:
-                turn = stars  # stars find nothing more: now all that is left
-            elif turn >= stars and turn - stars + 1 >= last:
-                break
-            else:
-                turn += 1
-    final = components(links) if links.head(1) else None
     out = signed_docs.select("doc_id", F.col("size").alias("n_shingles"))
-    if final is None:
+    if not links.head(1):
         return out.withColumn("component_id", F.col("doc_id"))
+    final = components(links)
     return out.join(final, out.doc_id == final.v, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _similar(docs, shared, meeting, k, percent):
+    """Links (a, b) that connect, of the vertices ``meeting`` in the lanes ``shared``, all that are connected by similar pairs."""
+    wanted = meeting.withColumnRenamed("v", "doc_id")
+    sets = stored(docs.join(small(wanted), "doc_id", "left_semi").mapInArrow(_whole_sets(k, percent), SETS), "sets")
+    labels = meeting.withColumn("component", F.col("v"))
+    tried, links = [], []
+    for turn in range(STAR_ROUNDS + 1):
+        groups = shared.join(labels, "v")  # lanes whose members are not all connected yet
+        mixed = groups.groupBy("lane").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("v", F.lit(turn)), "v", "component")).alias("c")).where("low <> high")
+        groups = stored(groups.join(mixed, "lane").select("lane", "v", "component", F.col("c.v").alias("centre"), F.col("c.component").alias("central")), "groups")
+        if turn < STAR_ROUNDS:  # every member with the one that comes first in this turn's order
+            pairs = groups.where("component <> central").select(F.least("v", "centre").alias("a"), F.greatest("v", "centre").alias("b"))
+        else:
+            own = groups.select("lane", "v", "component").join(sets.drop("shingles"), "v")
+            pairs = own.alias("x").join(own.alias("y"), F.expr("x.lane = y.lane AND x.component < y.component AND" + ALLOWED.format(p=percent)))
+            pairs = pairs.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b"))
+        pairs = pairs.distinct()
+        for known in tried:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        result = stored(verified(pairs, sets, percent), "verified")
+        tried.append(result.select("a", "b"))
+        links.append(result.where("similar").select("a", "b"))
+        if turn < STAR_ROUNDS:
+            labels = joined(labels, links[-1])
+    return reduce(DataFrame.unionByName, links)
