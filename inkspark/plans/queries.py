@@ -386,8 +386,8 @@ def glyph_names(spark, sf_dir):
     return glyph_names_table(spark)
 
 
-@query("running_position", """SELECT l_orderkey, l_linenumber, round(coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS before FROM lineitem""")
+@query("running_position", """SELECT l_orderkey, l_linenumber, round(coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS before FROM lineitem""")
 def running_position(spark, sf_dir):
     """The prefix sum by which glyphs are placed, over items of an order."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, -1)
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.coalesce(F.sum("l_quantity").over(w), F.lit(0.0)), 6).alias("before"))
