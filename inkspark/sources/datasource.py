@@ -25,7 +25,15 @@ class PdfSource(DataSource):
         return TABLES[self.options.get("table", "pages")]
 
     def schema(self):
-        return "doc_id string, " + kernel.KINDS[self._kind()].removeprefix("struct<").removesuffix(">")
+        fields, depth, name = [], 0, True
+        for c in kernel.KINDS[self._kind()].removeprefix("struct<").removesuffix(">"):
+            depth += (c == "<") - (c == ">")
+            if c == ":" and depth == 0 and name:  # "a: int" of a struct is "a int" of a table
+                name = False
+                continue
+            name = name or c == "," and depth == 0
+            fields.append(c)
+        return "doc_id string, " + "".join(fields)
 
     def reader(self, schema):
         return PdfReader(dict(self.options), self._kind())

@@ -263,7 +263,7 @@ class Document:
             if not isinstance(value, Ref):
                 break
             value = self.object(value.num)
-        return value
+        return None if isinstance(value, Ref) else value
 
     def resolve_deep(self, value, depth=0):
         if depth > 24:
