@@ -1,8 +1,8 @@
 """``spark.read.format("pdf")``: tables of PDF files as a data source, and table functions over bytes.
 
 Options: ``path`` (a file, folder or list separated by commas, in any store that pyarrow knows), ``table`` (docs,
-pages, shows, fonts or xref), ``strict``, ``mode``.  Filters on ``page_index`` reach the reader, which runs only the pages
-asked for (with spark.sql.python.filterPushdown.enabled).
+pages, shows, fonts or xref), ``strict``, ``mode``, ``pushdown``.  With ``pushdown`` filters on ``page_index`` reach the
+reader, which runs only the pages asked for; Spark wants spark.sql.python.filterPushdown.enabled for that.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ class PdfSource(DataSource):
         return "doc_id string, " + "".join(fields)
 
     def reader(self, schema):
-        return PdfReader(dict(self.options), self._kind())
+        wants = self.options.get("pushdown", "false").lower() == "true"
+        return (FilteringPdfReader if wants else PdfReader)(dict(self.options), self._kind())
 
 
 class OneFile(InputPartition):
@@ -49,13 +50,6 @@ class PdfReader(DataSourceReader):
     def __init__(self, options, kind):
         self.options, self.kind, self.pages = options, kind, None
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("page_index",):
-                asked = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.pages = asked if self.pages is None else self.pages & asked
-            yield f  # Spark filters again, which does no harm
-
     def partitions(self):
         from pyarrow import fs
 
@@ -77,7 +71,7 @@ class PdfReader(DataSourceReader):
         with store.open_input_file(path) as f:
             data = f.read()
         try:
-            for kind, values in kernel.rows(data, {self.kind}, self.pages, self.options.get("strict", "").lower() == "true"):
+            for kind, values in kernel.rows(data, {self.kind, "show"} if self.kind == "font" else {self.kind}, self.pages, self.options.get("strict", "").lower() == "true"):
                 if kind == self.kind:
                     yield (partition.uri, *values)
         except Exception as e:
@@ -87,6 +81,15 @@ class PdfReader(DataSourceReader):
                 yield (partition.uri, *(None,) * 6, type(e).__name__, str(e))
 
 
+class FilteringPdfReader(PdfReader):
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("page_index",):
+                asked = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.pages = asked if self.pages is None else self.pages & asked
+            yield f  # Spark filters again, which does no harm
+
+
 @udtf(returnType="kind string, value string")
 class PdfTokens:
     """Tokens of a piece of PDF syntax."""

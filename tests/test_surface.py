@@ -41,7 +41,8 @@ def test_data_source(spark, folder):
         read("docs", mode="FAILFAST").collect()
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
-        assert read("shows").where("page_index = 1").count() == 40
+        assert read("shows", pushdown="true").where("page_index = 1").count() == 40
+        assert read("shows", pushdown="true").where("page_index IN (0, 1) AND page_index IN (1, 2)").count() == 40
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
