@@ -48,8 +48,11 @@ from .textkernel import U, chunks, column, hashes, mix, shingles, signed, words
 
 RATIO = 1.3
 STAR_ROUNDS = 2
-#: bits of a bit sketch for each shingle by which two sets of that size may differ, at least
+#: bits of a bit sketch for each shingle by which two sets of that size may differ, at least; and bits at most, as rows carry it
 SKETCH_BITS = 8
+MAX_SKETCH = 1024
+#: lanes of a set, the first in order, by which a pair that meets in several lanes is told to leave the join once
+FIRST_LANES = 16
 
 
 def bands(limit=1 << 40, ratio=RATIO):
@@ -137,21 +140,20 @@ def bit_sketch(shingle_set, percent):
     """Parities of the shingles in 2**j bits, as longs; the sketch of half as many bits is the XOR of its halves."""
     need = SKETCH_BITS * (100 - percent) * 2 * len(shingle_set) // (100 + percent)
     bits = 64
-    while bits < need:
+    while bits < min(need, MAX_SKETCH):
         bits *= 2
     place = (mix(shingle_set ^ U(0x589965CC75374CC3)) & U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
-SETS = "v long, size long, shingles array<long>, sketch array<long>, half array<long>"
+SETS = "v long, size long, shingles array<long>, sketch array<long>"
 
 
 def _whole_sets(k, percent):
     def rows(got):
         ids, sets, sketches = zip(*got)
-        halves = [x[: len(x) // 2] ^ x[len(x) // 2 :] if len(x) > 1 else x[:0] for x in sketches]
         longs = pa.list_(pa.int64())
-        columns = [pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([signed(x) for x in sets], longs), pa.array(sketches, longs), pa.array(halves, longs)]
+        columns = [pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([signed(x) for x in sets], longs), pa.array(sketches, longs)]
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SETS.split(", ")])
 
     def run(batches):
@@ -184,11 +186,17 @@ ALLOWED = """
     100 * least(x.size, y.size) >= {p} * greatest(x.size, y.size)
     AND aggregate(
             CASE WHEN size(x.sketch) = size(y.sketch) THEN zip_with(x.sketch, y.sketch, (i, j) -> bit_count(i ^ j))
-                 WHEN size(x.sketch) > size(y.sketch) THEN zip_with(x.half, y.sketch, (i, j) -> bit_count(i ^ j))
-                 ELSE zip_with(x.sketch, y.half, (i, j) -> bit_count(i ^ j)) END,
+                 WHEN size(x.sketch) > size(y.sketch) THEN zip_with({half_x}, y.sketch, (i, j) -> bit_count(i ^ j))
+                 ELSE zip_with(x.sketch, {half_y}, (i, j) -> bit_count(i ^ j)) END,
             0L, (n, c) -> n + c) * (100 + {p}) <= (100 - {p}) * (x.size + y.size)"""
 
 
+def _half(sketch):
+    """SQL: the sketch of half as many bits."""
+    half = f"cast(size({sketch}) / 2 AS int)"
+    return f"zip_with(slice({sketch}, 1, {half}), slice({sketch}, {half} + 1, {half}), (i, j) -> i ^ j)"
+
+
 def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
     """``labels`` (v, component) after the links ``found`` (a, b) between their vertices."""
     one, two = labels.toDF("a", "x"), labels.toDF("b", "y")
@@ -238,8 +246,11 @@ def _similar(docs, shared, meeting, k, percent):
         if turn < STAR_ROUNDS:  # every member with the one that comes first in this turn's order
             pairs = groups.where("component <> central").select(F.least("v", "centre").alias("a"), F.greatest("v", "centre").alias("b"))
         else:
-            own = groups.select("lane", "v", "component").join(sets.drop("shingles"), "v")
-            pairs = own.alias("x").join(own.alias("y"), F.expr("x.lane = y.lane AND x.component < y.component AND" + ALLOWED.format(p=percent)))
+            first = groups.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("lane")), 1, FIRST_LANES).alias("lanes"))  # of one document
+            own = groups.select("lane", "v", "component").join(sets.drop("shingles").join(first, "v"), "v")
+            allowed = ALLOWED.format(p=percent, half_x=_half("x.sketch"), half_y=_half("y.sketch"))
+            once = " AND coalesce(array_min(array_intersect(x.lanes, y.lanes)), x.lane) = x.lane"  # if they meet in one of these, there only
+            pairs = own.alias("x").join(own.alias("y"), F.expr("x.lane = y.lane AND x.component < y.component AND" + allowed + once))
             pairs = pairs.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b"))
         pairs = pairs.distinct()
         for known in tried:
