@@ -10,9 +10,9 @@ from inkspark.llm.common import stored, table
 
 def quality_rules(spark, docs, sf_dir):
     """Documents that the base rules and the risk-controlled cutoffs keep."""
-    verdicts = quality.verdicts(docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("text_hash")), table(spark, sf_dir, "labels"))
-    rejected = verdicts.where("NOT kept").select("doc_id", "text_hash").distinct().toDF("id_", "hash_")
-    same = docs.doc_id.eqNullSafe(rejected.id_) & F.xxhash64(docs.text).eqNullSafe(rejected.hash_)
+    verdicts = quality.verdicts(docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("__hash")), table(spark, sf_dir, "labels"))
+    rejected = verdicts.where("NOT kept").select("doc_id", "__hash").distinct().toDF("__id", "__hash")
+    same = docs["doc_id"].eqNullSafe(rejected["__id"]) & F.xxhash64(docs["text"]).eqNullSafe(rejected["__hash"])
     return docs.join(rejected, same, "left_anti")
 
 
@@ -36,14 +36,13 @@ def benchmark_decontamination(spark, docs, sf_dir):
 
 def mixing_to_weights(spark, docs, sf_dir):
     """All documents in the order of the mixture, whose place is ``mix_pos``; target weights are the square roots of the sources' sizes."""
-    docs = docs.withColumn("text_hash", F.xxhash64("text"))
-    placed = mixing.mix(docs.select("doc_id", "source", "text_hash"), mixing.target_weights(docs), key=["doc_id", "text_hash"])
-    placed = placed.select("doc_id", "text_hash", "mix_pos")
-    # of rows that repeat as a whole each takes one of the places; the smallest stands for all
-    places = placed.groupBy("doc_id", "text_hash").agg(F.min("mix_pos").alias("place_")).toDF("id_", "hash_", "place_")
-    same = docs.doc_id.eqNullSafe(places.id_) & docs.text_hash.eqNullSafe(places.hash_)
-    columns = [F.col(c) for c in docs.columns if c not in ("text_hash", "mix_pos")]
-    return docs.join(places, same).select(*columns, F.col("place_").alias("mix_pos"))
+    columns = [c for c in docs.columns if c != "mix_pos"]
+    docs = docs.select(*columns).withColumn("__hash", F.xxhash64("text"))
+    placed = mixing.mix(docs.select("doc_id", "source", "__hash"), mixing.target_weights(docs), key=["doc_id", "__hash"])
+    # of rows that repeat as a whole each has a place of its own; the smallest stands for all
+    places = placed.groupBy("doc_id", "__hash").agg(F.min("mix_pos").alias("mix_pos")).toDF("__id", "__own", "mix_pos")
+    same = docs["doc_id"].eqNullSafe(places["__id"]) & docs["__hash"].eqNullSafe(places["__own"])
+    return docs.join(places, same).select(*columns, "mix_pos")
 
 
 def token_ids(spark, docs, sf_dir):

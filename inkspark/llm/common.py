@@ -1,4 +1,7 @@
-"""Shared-folder scratch space and size-checked broadcasts."""
+"""Shared-folder scratch space and size-checked broadcasts.
+
+Columns whose names begin with two underscores are the operators' own; tables given to them have none.
+"""
 
 from __future__ import annotations
 

@@ -39,6 +39,7 @@ RULES = {
     "lines": ("n_dup_lines / greatest(n_lines, 1)", [i / 40 for i in range(2, 20)]),
     "length": ("word_chars / greatest(n_words, 1)", [float(i) for i in range(8, 24)]),
 }
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_capitals", "base_failed", "failed", "kept")
 WORD_SPLIT = r"[\\x20\\x09-\\x0D]+"
 
 
@@ -63,7 +64,8 @@ REPEATED = bound(
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the statistics of its whole texts; ``text`` itself is not kept."""
+    """``docs`` with the statistics of its whole texts; ``text`` itself is not kept, and columns of their names are replaced."""
+    docs = docs.select(*[c for c in docs.columns if c not in STATISTICS])
     t = f"coalesce(`{text}`, '')"
     parts = docs.withColumn(
         "__q",
@@ -147,12 +149,12 @@ def verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: st
     """``docs`` without ``text``, with its statistics, ``base_failed``, ``failed`` (rules that reject it) and ``kept``."""
     rules = options.get("rules", RULES)
     scored = stored(statistics(docs, text).withColumn("base_failed", base_failed()), "quality")
-    labelled = scored.join(labels.select("doc_id", "quality"), "doc_id")
+    labelled = scored.drop("quality").join(labels.select("doc_id", "quality"), "doc_id")
     # a row for each stratum that has a cutoff; strata are languages, and what is sent is checked all the same
     cutoffs = stored(thresholds(labelled, stratum, **options).groupBy("stratum").pivot("rule", list(rules)).agg(F.first("cutoff")), "cutoffs")
-    cutoffs = cutoffs.withColumnsRenamed({r: f"__{r}" for r in rules})
+    cutoffs = cutoffs.withColumnsRenamed({r: f"__{r}" for r in rules} | {"stratum": "__stratum"})
     few = cutoffs.count() <= 10_000
-    out = scored.join(F.broadcast(cutoffs) if few else cutoffs, F.col(stratum) == F.col("stratum"), "left").drop("stratum")
+    out = scored.join(F.broadcast(cutoffs) if few else cutoffs, F.col(stratum) == F.col("__stratum"), "left").drop("__stratum")
     failed = F.filter(F.array(*[F.when(F.expr(f"({score}) > `__{r}`"), F.lit(r)) for r, (score, _) in rules.items()]), lambda x: x.isNotNull())
     out = out.withColumn("failed", failed).drop(*[f"__{r}" for r in rules])
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))

@@ -5,11 +5,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_quality_lines import brute_statistics
 from test_text_matching import brute_hits, brute_link
 
 import corpus_pipeline
-from inkspark.llm import mixing, quality, tokenids
+from inkspark.llm import decontaminate, licenses, linededup, mixing, quality, sharding, tokenids, warc, wrappers
 from inkspark.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
@@ -59,8 +60,28 @@ def test_stages(spark):
     assert {tuple(r) for r in corpus_pipeline.run(spark, SF).collect()} == expected
 
 
+CLASHING = "n_words kept failed stratum quality rule cutoff rank part host lane lanes v size sketch component low high c shard slot text_hash first n key bytes chunk keeper place count item items ranges start n_tokens uri ids docs mix_block".split()
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_awkward_rows(spark, corpus, nothing, name, stage):
-    out = stage(spark, corpus.withColumn("mix_pos", corpus.doc_id), SF)
-    assert out.count() <= corpus.count()
-    assert stage(spark, nothing, SF).collect() == []
+    docs = corpus.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+    out = stage(spark, docs, SF)
+    rows = out.collect()
+    assert len(rows) <= corpus.count()
+    if name != corpus_pipeline.STAGES[-1][0]:
+        assert out.columns[: len(docs.columns)] == docs.columns and all(r[c] == f"own {c}" for r in rows for c in CLASHING)
+    assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_operators_with_clashing_columns(spark, corpus):
+    docs = corpus.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+    n = corpus.count()
+    assert linededup.dedup_lines(docs).count() == n
+    assert quality.verdicts(docs, docs.select("doc_id", F.lit(1).alias("quality"))).count() == n
+    assert sharding.shuffle_shards(docs, ["doc_id", "text"], 3).count() == n
+    assert mixing.mix(docs, key=["doc_id", "text"]).count() == n
+    assert decontaminate.search(docs, spark.createDataFrame([(1, "quick brown fox")], "item_id long, text string")).count() == n
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://h/x").alias("url"), F.col("text").alias("html"), *CLASHING)
+    assert wrappers.extract_pages(pages).count() == n and warc.round_trip(pages).count() == n
+    assert licenses.scan(docs).columns[0] == "doc_id"
