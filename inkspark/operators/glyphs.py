@@ -38,8 +38,11 @@ def advances(shows: DataFrame, fonts: DataFrame) -> DataFrame:
     return flat.select("*", F.col("item.code").alias("code"), F.col("item.text").alias("text"), F.when(F.col("kern").isNotNull(), kerned).otherwise(shown).alias("tx")).drop("item", "kern", "code_bytes")
 
 
-def positioned(flat: DataFrame, rise: bool = False) -> DataFrame:
-    """Glyphs: the base matrix of a run moved by the advances so far, under the CTM; those without text move on but are no rows."""
+def positioned(flat: DataFrame, rise: bool = False, numbered: bool = True) -> DataFrame:
+    """Glyphs: the base matrix of a run moved by the advances so far, under the CTM; those without text move on but are no rows.
+
+    ``seq`` numbers a page's glyphs from 1; without ``numbered`` it only has their order, which saves a sort.
+    """
     so_far = Window.partitionBy("doc_id", "page_index", "run_id").orderBy("seq", "pos").rowsBetween(Window.unboundedPreceding, -1)
     t, c = F.col("tm"), F.col("ctm")
     lift = F.col("rise") if rise else F.lit(0.0)
@@ -54,7 +57,7 @@ def positioned(flat: DataFrame, rise: bool = False) -> DataFrame:
     return moved.select(
         "doc_id",
         "page_index",
-        F.row_number().over(order).cast("long").alias("seq"),
+        (F.row_number().over(order).cast("long") if numbered else F.col("seq") * (1 << 31) + F.col("pos")).alias("seq"),
         "code",
         "text",
         (e * c["a"] + f * c["c"] + c["e"]).alias("x"),
@@ -70,8 +73,8 @@ def positioned(flat: DataFrame, rise: bool = False) -> DataFrame:
     )
 
 
-def glyphs(shows: DataFrame, codes: DataFrame, fonts: DataFrame, rise: bool = False) -> DataFrame:
-    return positioned(advances(shows, font_arrays(codes, fonts)), rise)
+def glyphs(shows: DataFrame, codes: DataFrame, fonts: DataFrame, rise: bool = False, numbered: bool = True) -> DataFrame:
+    return positioned(advances(shows, font_arrays(codes, fonts)), rise, numbered)
 
 
 def with_derived(g: DataFrame) -> DataFrame:

@@ -94,15 +94,15 @@ class Extraction:
         """(doc_id, font_key, idx, code, text, width) of the codes that are used."""
         return _glyphs.decoded_codes(self._table("code", "show"), self.fonts())
 
-    def glyphs(self) -> DataFrame:
-        """A row for each positioned glyph."""
+    def glyphs(self, numbered: bool = True) -> DataFrame:
+        """A row for each positioned glyph; without ``numbered`` its ``seq`` only has the order."""
         rows = self._kind("show")
         of = lambda k: rows.where(F.col("kind") == k).select("doc_id", f"{k}.*")
-        found = _glyphs.glyphs(of("show"), of("code"), of("font"), rise=self.strict)
+        found = _glyphs.glyphs(of("show"), of("code"), of("font"), rise=self.strict, numbered=numbered)
         return found if self.spec in (None, "") else self._picked(found).drop("order")
 
     def lines(self) -> DataFrame:
-        return _layout.lines(self.glyphs(), **self.line, **self.space)
+        return _layout.lines(self.glyphs(False), **self.line, **self.space)
 
     def page_texts(self) -> DataFrame:
         """(doc_id, page_index, order, text, n_lines, n_chars) for every page, those without text, too."""
@@ -111,7 +111,7 @@ class Extraction:
         return out.fillna({"text": "", "n_lines": 0, "n_chars": 0})
 
     def layout_texts(self) -> DataFrame:
-        texts = _layout.layout_texts(self.glyphs(), **self.line)
+        texts = _layout.layout_texts(self.glyphs(False), **self.line)
         return self.pages().select("doc_id", "page_index", "order").join(texts, ["doc_id", "page_index"], "left").fillna({"layout": ""})
 
     # ------------------------------------------------------------ outputs
@@ -130,7 +130,7 @@ class Extraction:
 
     def stats(self) -> DataFrame:
         """(doc_id, version, n_objects, page_count, processed, chars, pages_with_text, scanned) of each good file."""
-        counts = self.glyphs().groupBy("doc_id", "page_index").agg(F.count("*").alias("n"))
+        counts = self.glyphs(False).groupBy("doc_id", "page_index").agg(F.count("*").alias("n"))
         pages = self.pages().select("doc_id", "page_index").join(counts, ["doc_id", "page_index"], "left")
         per = pages.groupBy("doc_id").agg(F.count("*").alias("processed"), F.coalesce(F.sum("n"), F.lit(0)).alias("chars"), F.count_if(F.col("n") > 0).alias("pages_with_text"))
         docs = self.docs().where("error_class IS NULL").select("doc_id", "version", "n_objects", "page_count")

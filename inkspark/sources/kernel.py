@@ -3,11 +3,14 @@
 A row holds the document's id, its kind and the struct of that kind.  A file that
 cannot be read becomes a ``doc`` row with an error; a page that breaks off keeps
 what was shown before.  Files are handled one at a time, so a task holds one file
-and its rows.
+and some megabytes of rows.
 """
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,8 +98,18 @@ def rows(data: bytes, want=ALL, pages=None, strict=False, limit=None):
                 yield "code", (key, idx, code, _text(font.unicode.get(code)), _text(font.differences.get(code)), font.widths.get(code, font.default_width))
 
 
-def _matrix(m):
-    return dict(zip("abcdef", m))
+def _column(values, kind):
+    """Arrow array of one field's values; lists and matrices are built from flat ones."""
+    if pa.types.is_list(kind) and pa.types.is_integer(kind.value_type):
+        sizes = [0 if v is None else len(v) for v in values]
+        at = np.zeros(len(values) + 1, np.int32)
+        np.cumsum(sizes, out=at[1:])
+        flat = np.fromiter(itertools.chain.from_iterable(v for v in values if v), np.int32, int(at[-1]))
+        none = np.fromiter((v is None for v in values), bool, len(values))
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, kind.value_type), mask=pa.array(none) if none.any() else None)
+    if pa.types.is_struct(kind):
+        return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in zip(*values)], fields=list(kind))
+    return pa.array(values, kind)
 
 
 def run(df: DataFrame, content: str = "content", doc_id: str = "doc_id", want=ALL, pages=None, strict=False, mode="PERMISSIVE", limit=None, batch_bytes=4_000_000) -> DataFrame:
@@ -112,39 +125,42 @@ def run(df: DataFrame, content: str = "content", doc_id: str = "doc_id", want=AL
     from pyspark.sql.pandas.types import to_arrow_schema
 
     wanted, picked = frozenset(want), None if pages is None else frozenset(pages)
-    names = {k: [f.name for f in schema[k].dataType.fields] for k in kinds}
     arrow = to_arrow_schema(schema)
 
-    def table(held):
-        ids, tags, structs = zip(*held)
-        columns = [pa.array(ids, arrow.field(0).type), pa.array(tags, pa.string())]
-        for n, k in enumerate(kinds, 2):
-            columns.append(pa.array([s if t == k else None for t, s in zip(tags, structs)], arrow.field(n).type))
-        return pa.RecordBatch.from_arrays(columns, schema=arrow)
+    def tables(held):
+        """A batch for each kind: its struct built field by field, the other kinds' null."""
+        for k, rows_ in held.items():
+            if rows_:
+                ids, structs = zip(*rows_)
+                kind = arrow.field(k).type
+                own = pa.StructArray.from_arrays([_column(v, f.type) for v, f in zip(zip(*structs), kind)], fields=list(kind))
+                rest = [own if other == k else pa.nulls(len(ids), arrow.field(other).type) for other in kinds]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, arrow.field(0).type), pa.array([k] * len(ids), pa.string()), *rest], schema=arrow)
 
     def kernel(batches):
+        held, size = {k: [] for k in kinds}, 0
         for batch in batches:
             for i in range(batch.num_rows):
                 doc, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                held, size = [], 0
+                before = {k: len(v) for k, v in held.items()}
                 try:
                     for kind, values in rows(data or b"", wanted, picked, strict, limit):
-                        if kind not in names:
-                            continue
-                        struct = dict(zip(names[kind], values))
-                        if kind == "show":
-                            struct["tm"], struct["ctm"] = _matrix(struct["tm"]), _matrix(struct["ctm"])
-                            size += 300 + 12 * len(struct["codes"] or ())
-                        size += 200
-                        held.append((doc, kind, struct))
-                        if size > batch_bytes:
-                            yield table(held)
-                            held, size = [], 0
+                        if kind in held:
+                            held[kind].append((doc, values))
+                            size += 300 + 4 * len(values[4] or ()) if kind == "show" else 200
+                            if size > 4 * batch_bytes:  # a large document's rows leave in parts
+                                yield from tables(held)
+                                held, size = {k: [] for k in kinds}, 0
+                                before = dict.fromkeys(kinds, 0)
                 except Exception as e:
                     if mode == "FAILFAST":
                         raise
-                    held = [(doc, "doc", dict(zip(names["doc"], (None, None, None, None, None, None, type(e).__name__, _text(str(e))))))]
-                if held:
-                    yield table(held)
+                    for k, n in before.items():  # of a document that fails nothing but the error
+                        del held[k][n:]
+                    held["doc"].append((doc, (None,) * 6 + (type(e).__name__, _text(str(e)))))
+                if size > batch_bytes:
+                    yield from tables(held)
+                    held, size = {k: [] for k in kinds}, 0
+        yield from tables(held)
 
     return df.select(F.col(doc_id).alias("doc_id"), F.col(content).cast("binary").alias("content")).mapInArrow(kernel, schema)
