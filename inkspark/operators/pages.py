@@ -1,0 +1,150 @@
+"""Lines of whole pages straight from shown strings.
+
+The tables of ``glyphs`` and ``layout`` have a row for each glyph.  When only lines
+are wanted that row need not exist: strings keep their glyphs as arrays, and a
+page's strings are placed and laid out at once by array arithmetic.  Both ways give
+the same lines; the largest thing in memory is a page.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import layout
+
+LINE = "line_no int, y double, x double, end_x double, size double, fonts array<string>, n_chars bigint, text string"
+
+
+def strings(shows: DataFrame, fonts: DataFrame, rise: bool = False) -> DataFrame:
+    """Shown strings with ``texts`` and ``tx``, the text and advance of each code; a kerning number is a code without text."""
+    joined = shows.join(fonts, ["doc_id", "font_key"], "left")
+    used = lambda c: F.element_at("used", c + 1)
+    space = lambda c: F.when((used(c)["code"] == 32) & (F.coalesce("code_bytes", F.lit(1)) == 1), F.col("tw")).otherwise(0.0)
+    tx = F.transform("codes", lambda c: (used(c)["width"] / 1000.0 * F.col("font_size") + F.col("tc") + space(c)) * F.col("tz"))
+    kerned = F.array(-F.col("kern") / 1000.0 * F.col("font_size") * F.col("tz"))
+    return joined.select(
+        *layout.PAGE,
+        "seq",
+        "run_id",
+        "font_size",
+        F.col("font_name").alias("font"),
+        *[F.col(f"{m}.{x}").alias(f"{m}_{x}") for m in ("tm", "ctm") for x in "abcdef"],
+        (F.col("rise") if rise else F.lit(0.0)).alias("lift"),
+        F.when(F.col("codes").isNull(), F.array(F.lit(""))).otherwise(F.transform("codes", lambda c: used(c)["text"])).alias("texts"),
+        F.when(F.col("codes").isNull(), kerned).otherwise(tx).alias("tx"),
+    )
+
+
+def place(t: pa.Table):
+    """(texts, x, y, size, adv_x, order, font) of the glyphs with text of one page's strings."""
+    t = t.combine_chunks()
+    col = lambda c: t.column(c).to_numpy()
+    t = t.take(pa.array(np.lexsort((col("seq"), col("run_id")))))
+    lists = [pa.concat_arrays(t.column(c).chunks) if t.column(c).num_chunks != 1 else t.column(c).chunk(0) for c in ("texts", "tx")]
+    counts = np.diff(lists[1].offsets.to_numpy())
+    texts, tx = lists[0].flatten().to_pylist(), lists[1].flatten().to_numpy(zero_copy_only=False).astype(float)
+    row = np.repeat(np.arange(len(counts)), counts)
+    # advances so far in each run
+    total = np.concatenate([[0.0], np.cumsum(tx)])[:-1]
+    run = col("run_id")[row]
+    head = np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else np.zeros(0, bool)
+    before = total - total[np.maximum.accumulate(np.where(head, np.arange(len(run)), 0))] if len(run) else total
+    keep = np.fromiter((bool(s) for s in texts), bool, len(texts))
+    row, before, tx = row[keep], before[keep], tx[keep]
+    at = np.arange(len(keep))[keep] - np.concatenate([[0], np.cumsum(counts)])[row]
+    m = {c: col(c)[row] for c in ("font_size", "lift", *(f"{k}_{x}" for k in ("tm", "ctm") for x in "abcdef"))}
+    e = before * m["tm_a"] + m["lift"] * m["tm_c"] + m["tm_e"]
+    f = before * m["tm_b"] + m["lift"] * m["tm_d"] + m["tm_f"]
+    x = e * m["ctm_a"] + f * m["ctm_c"] + m["ctm_e"]
+    y = e * m["ctm_b"] + f * m["ctm_d"] + m["ctm_f"]
+    c = m["tm_c"] * m["ctm_a"] + m["tm_d"] * m["ctm_c"]
+    d = m["tm_c"] * m["ctm_b"] + m["tm_d"] * m["ctm_d"]
+    size = np.abs(m["font_size"] * np.sqrt(c * c + d * d))
+    size = np.where(size == 0, np.where(m["font_size"] == 0, 1.0, np.abs(m["font_size"])), size)
+    adv = tx * (m["tm_a"] * m["ctm_a"] + m["tm_b"] * m["ctm_c"])
+    return [s for s in texts if s], x, y, size, adv, col("seq")[row] * (1 << 31) + at, [None if v is None else v for v in np.array(t.column("font").to_pylist(), object)[row]]
+
+
+def buckets(x, y, size, order, ratio, least):
+    """(line of each glyph, y of each line): greedy from the top, over heads of runs of equal (y, size)."""
+    by = np.lexsort((order, x, -y))
+    ys, sizes = y[by], size[by]
+    head = np.concatenate([[True], (ys[1:] != ys[:-1]) | (sizes[1:] != sizes[:-1])])
+    lines, anchors, recent = [], [], []
+    for hy, hs in zip(ys[head].tolist(), sizes[head].tolist()):
+        for i, ly, ls in recent:
+            if abs(ly - hy) <= max(least, ratio * max(ls, hs)):
+                lines.append(i)
+                break
+        else:
+            lines.append(len(anchors))
+            recent = [(len(anchors), hy, hs), *recent[: layout.RECENT - 1]]
+            anchors.append(hy)
+    out = np.empty(len(by), np.int64)
+    out[by] = np.array(lines)[np.cumsum(head) - 1]
+    return out, np.array(anchors)
+
+
+def _exact(texts, x, size, adv, space_ratio, space_min):
+    """A line in which something is painted over: each glyph against the one kept before it."""
+    parts, last = [], None
+    for s, gx, gs, ga in zip(texts, x, size, adv):
+        if last:
+            t, lx, ls, la = last
+            if abs(gx - lx) < 0.05 and s == t and gs == ls:
+                continue
+            wide = abs(la) if abs(la) > 0.01 else max(0.5, ls / 2)
+            if gx - (lx + wide) > max(space_min, space_ratio * max(ls, gs)):
+                parts.append(" ")
+        parts.append(s)
+        last = s, gx, gs, ga
+    return "".join(parts).rstrip()
+
+
+def page_lines(texts, x, y, size, adv, order, fonts, line_ratio, line_min, space_ratio, space_min):
+    """Rows of ``LINE`` of one page's glyphs."""
+    bucket, anchors = buckets(x, y, size, order, line_ratio, line_min)
+    place_of = np.empty(len(anchors), np.int64)
+    place_of[np.lexsort((np.arange(len(anchors)), -anchors))] = np.arange(len(anchors))
+    number = place_of[bucket]
+    by = np.lexsort((order, np.array([round(v, 2) for v in x.tolist()]), number))
+    number, x, size, adv = number[by], x[by], size[by], adv[by]
+    texts, fonts = [texts[i] for i in by.tolist()], [fonts[i] for i in by.tolist()]
+    same = np.concatenate([[False], number[1:] == number[:-1]])
+    px, ps, pa_ = (np.concatenate([v[:1], v[:-1]]) for v in (x, size, adv))
+    wide = np.where(np.abs(pa_) > 0.01, np.abs(pa_), np.maximum(0.5, ps / 2))
+    gap = same & (x - (px + wide) > np.maximum(space_min, space_ratio * np.maximum(ps, size)))
+    near = np.flatnonzero(same & (np.abs(x - px) < 0.05) & (size == ps))
+    painted = {int(number[i]) for i in near.tolist() if texts[i] == texts[i - 1]}
+    shown = list(texts)
+    for i in np.flatnonzero(gap).tolist():
+        shown[i] = " " + shown[i]
+    cut = np.searchsorted(number, np.arange(len(anchors) + 1)).tolist()
+    ys = np.empty(len(anchors))
+    ys[place_of] = anchors
+    for n, (a, b) in enumerate(zip(cut, cut[1:])):
+        text = _exact(texts[a:b], x[a:b].tolist(), size[a:b].tolist(), adv[a:b].tolist(), space_ratio, space_min) if n in painted else "".join(shown[a:b]).rstrip()
+        yield n, float(ys[n]), float(x[a:b].min()), float((x[a:b] + adv[a:b]).max()), float(np.sort(size[a:b])[(b - a) // 2]), sorted({f for f in fonts[a:b] if f is not None}), b - a, text
+
+
+def lines(strings_: DataFrame, line_ratio=layout.LINE_RATIO, line_min=layout.LINE_MIN, space_ratio=layout.SPACE_RATIO, space_min=layout.SPACE_MIN) -> DataFrame:
+    """(doc_id, page_index, line_no, y, x, end_x, size, fonts, n_chars, text), from the top down."""
+    schema = T.StructType([strings_.schema[c] for c in layout.PAGE])
+    for f in T.DataType.fromDDL(LINE).fields:
+        schema = schema.add(f)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+
+    def page(key, t):
+        glyphs = place(t)
+        rows = list(page_lines(*glyphs, line_ratio, line_min, space_ratio, space_min)) if glyphs[0] else []
+        columns = list(zip(*rows)) or [[]] * (len(arrow) - 2)
+        heads = [pa.array([k.as_py()] * len(rows), arrow.field(i).type) for i, k in enumerate(key)]
+        return pa.Table.from_arrays([*heads, *(pa.array(c, arrow.field(i).type) for i, c in enumerate(columns, 2))], schema=arrow)
+
+    return strings_.groupBy(*layout.PAGE).applyInArrow(page, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import page_geometry, page_spec
 from ..operators import glyphs as _glyphs
 from ..operators import layout as _layout
+from ..operators import pages as _pages
 from ..sources import kernel
 from .scratch import stored
 
@@ -102,7 +103,12 @@ class Extraction:
         return found if self.spec in (None, "") else self._picked(found).drop("order")
 
     def lines(self) -> DataFrame:
-        return _layout.lines(self.glyphs(False), **self.line, **self.space)
+        """A row for each line: placed and laid out page by page, without a row for each glyph."""
+        rows = self._kind("show")
+        of = lambda k: rows.where(F.col("kind") == k).select("doc_id", f"{k}.*")
+        strings = _pages.strings(of("show"), _glyphs.font_arrays(of("code"), of("font")), rise=self.strict)
+        found = _pages.lines(strings, **self.line, **self.space)
+        return found if self.spec in (None, "") else self._picked(found).drop("order")
 
     def page_texts(self) -> DataFrame:
         """(doc_id, page_index, order, text, n_lines, n_chars) for every page, those without text, too."""
@@ -130,7 +136,7 @@ class Extraction:
 
     def stats(self) -> DataFrame:
         """(doc_id, version, n_objects, page_count, processed, chars, pages_with_text, scanned) of each good file."""
-        counts = self.glyphs(False).groupBy("doc_id", "page_index").agg(F.count("*").alias("n"))
+        counts = self.lines().groupBy("doc_id", "page_index").agg(F.sum("n_chars").alias("n"))
         pages = self.pages().select("doc_id", "page_index").join(counts, ["doc_id", "page_index"], "left")
         per = pages.groupBy("doc_id").agg(F.count("*").alias("processed"), F.coalesce(F.sum("n"), F.lit(0)).alias("chars"), F.count_if(F.col("n") > 0).alias("pages_with_text"))
         docs = self.docs().where("error_class IS NULL").select("doc_id", "version", "n_objects", "page_count")

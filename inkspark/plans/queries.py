@@ -45,7 +45,7 @@ def files(spark, sf_dir, style="table"):
 
 
 def extraction(spark, sf_dir, style="table", **options):
-    return Extraction(files(spark, sf_dir, style), **options)
+    return Extraction(files(spark, sf_dir, style), **{"keep": True} | options)
 
 
 #: the wrapped rows of each document, numbered through: 60 a page
@@ -75,7 +75,7 @@ for _name, _style in {"roundtrip_lines": "table", "repair_rebuild": "damaged", "
            CAST(ceil(coalesce(r.n, 0) / 60.0) AS BIGINT) AS pages_with_text, coalesce(r.n, 0) = 0 AS scanned
     FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(length(raw)) AS c FROM rows_ GROUP BY doc_id) r USING (doc_id)""")
 def doc_stats(spark, sf_dir):
-    return extraction(spark, sf_dir, keep=True).stats()
+    return extraction(spark, sf_dir).stats()
 
 
 GLYPHS_SQL = f"""WITH {ROWS}
@@ -107,7 +107,7 @@ def char_histogram(spark, sf_dir):
     p AS (SELECT doc_id, n // 60 AS page, string_agg(rtrim(raw), chr(10) ORDER BY n) AS t FROM rows_ GROUP BY ALL)
     SELECT doc_id, md5(coalesce(string_agg(t, chr(10) || chr(12) ORDER BY page), '')) AS digest FROM documents LEFT JOIN p USING (doc_id) GROUP BY doc_id""")
 def text_join(spark, sf_dir):
-    return extraction(spark, sf_dir, keep=True).texts().select("doc_id", F.md5("text").alias("digest"))
+    return extraction(spark, sf_dir).texts().select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("layout_grid", f"""WITH {ROWS}
@@ -119,7 +119,7 @@ def layout_grid(spark, sf_dir):
 
 @query("json_output")
 def json_output(spark, sf_dir):
-    return extraction(spark, sf_dir, keep=True).json()
+    return extraction(spark, sf_dir).json()
 
 
 @query("error_isolation", """SELECT CASE WHEN doc_id % 10 IN (3, 7) THEN 'DocumentError' ELSE 'none' END AS error_class, count(*) AS n,
@@ -139,7 +139,7 @@ def error_isolation(spark, sf_dir):
     SELECT doc_id, CAST(page - 1 AS INT) AS page_index, CAST(o AS INT) AS "order", CAST(count(n) AS BIGINT) AS n_lines
     FROM picked LEFT JOIN rows_ r ON r.doc_id = picked.doc_id AND r.n // 60 = page - 1 GROUP BY ALL""".replace("SELECT doc_id, CAST(page - 1", "SELECT picked.doc_id, CAST(page - 1"))
 def page_selection(spark, sf_dir):
-    return extraction(spark, sf_dir, pages="3,1-2,2", keep=True).page_texts().select("doc_id", "page_index", "order", "n_lines")
+    return extraction(spark, sf_dir, pages="3,1-2,2").page_texts().select("doc_id", "page_index", "order", "n_lines")
 
 
 # ---------------------------------------------------------------- scalar operators

@@ -3,11 +3,13 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pdfs import one_page
 from pyspark.sql import functions as F
 
 from inkspark.operators import layout
+from inkspark.operators.pages import page_lines
 from inkspark.plans.extract import Extraction, document_page, extract, extract_pages, extract_text
 from inkspark.sources import writer
 from inkspark.sources.writer import File, cid_font, render, simple_font, to_unicode_map
@@ -248,6 +250,22 @@ def test_lines_follow_the_rules(random_pages):
     assert got == {p: restated_lines(g) for p, g in pages.items() if g}
 
 
+def test_lines_of_whole_pages_follow_the_rules(random_pages):
+    pages, _ = random_pages
+    for glyphs in pages.values():
+        if glyphs:
+            col = lambda c: np.array([g[c] for g in glyphs], float)
+            rows = list(page_lines([g["text"] for g in glyphs], col("x"), col("y"), col("size"), col("adv_x"), col("seq").astype(int), [g["font"] for g in glyphs], 0.35, 1.0, 0.28, 0.6))
+            assert [(r[1], r[6], r[7]) for r in rows] == restated_lines(glyphs) and [r[0] for r in rows] == list(range(len(rows)))
+
+
+def test_both_ways_to_lines_agree(placed, spark):
+    more = spark.createDataFrame([("text", bytearray(render("one two\n\nthree  four é"))), ("form", bytearray(render("in a form", "form"))), ("spaced", bytearray(render("a spaced text", "spaced")))], "doc_id string, content binary")
+    x = Extraction(placed[0].unionByName(more), keep=True)
+    rounded = lambda df: sorted(str((r.doc_id, r.page_index, r.line_no, round(r.y, 6), round(r.x, 6), round(r.end_x, 6), r.size, r.fonts, r.n_chars, r.text)) for r in df.collect())
+    assert rounded(x.lines()) == rounded(layout.lines(x.glyphs()))
+
+
 def test_layout_follows_the_rules(random_pages):
     pages, df = random_pages
     got = {r.page_index: r.layout for r in layout.layout_texts(df).collect()}
