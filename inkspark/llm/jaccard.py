@@ -48,9 +48,9 @@ from .textkernel import U, chunks, column, hashes, mix, shingles, signed, words
 
 RATIO = 1.3
 STAR_ROUNDS = 2
-#: bits of a bit sketch for each shingle by which two sets of that size may differ, at least; and bits at most, as rows carry it
+#: bits of a bit sketch for each shingle by which two sets of that size may differ, at least; and longs of the coarse one, at most
 SKETCH_BITS = 8
-MAX_SKETCH = 1024
+COARSE = 16
 #: lanes of a set, the first in order, by which a pair that meets in several lanes is told to leave the join once
 FIRST_LANES = 16
 
@@ -140,20 +140,27 @@ def bit_sketch(shingle_set, percent):
     """Parities of the shingles in 2**j bits, as longs; the sketch of half as many bits is the XOR of its halves."""
     need = SKETCH_BITS * (100 - percent) * 2 * len(shingle_set) // (100 + percent)
     bits = 64
-    while bits < min(need, MAX_SKETCH):
+    while bits < need:
         bits *= 2
     place = (mix(shingle_set ^ U(0x589965CC75374CC3)) & U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
-SETS = "v long, size long, shingles array<long>, sketch array<long>"
+def coarse(sketch):
+    """The sketch halved until it has at most ``COARSE`` longs."""
+    while len(sketch) > COARSE:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+SETS = "v long, size long, shingles array<long>, sketch array<long>, coarse array<long>"
 
 
 def _whole_sets(k, percent):
     def rows(got):
         ids, sets, sketches = zip(*got)
         longs = pa.list_(pa.int64())
-        columns = [pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([signed(x) for x in sets], longs), pa.array(sketches, longs)]
+        columns = [pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([signed(x) for x in sets], longs), pa.array(sketches, longs), pa.array([coarse(x) for x in sketches], longs)]
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SETS.split(", ")])
 
     def run(batches):
@@ -176,18 +183,26 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b) with ``similar``: whether any of a's sets and any of b's are similar, on whole sets."""
     one = sets.select(F.col("v").alias("a"), F.col("shingles").alias("s"))
     two = sets.select(F.col("v").alias("b"), F.col("shingles").alias("t"))
-    both = pairs.join(one, "a").join(two, "b")
+    asked = small(pairs)  # few: their sets need not be shuffled to find them
+    both = asked.join(one, "a").join(two.join(small(pairs.select("b").distinct()), "b", "left_semi"), "b")
     shared = F.size(F.array_intersect("s", "t")).cast("long")
     return both.groupBy("a", "b").agg(F.max(100 * shared >= percent * (F.size("s") + F.size("t") - shared)).alias("similar"))
 
 
+def allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) whose sizes and bit sketches allow their similarity."""
+    own = sets.select("v", "size", "sketch")
+    few = pairs.alias("p").join(own.alias("x"), F.expr("p.a = x.v")).join(own.alias("y"), F.expr("p.b = y.v"))
+    return few.where(_allowed(percent, "sketch")).select("a", "b").distinct()
+
+
 #: Whether sizes and bit sketches of x and y allow their similarity: symmetric difference <= (1-t)/(1+t) * (sum of sizes).
 ALLOWED = """
     100 * least(x.size, y.size) >= {p} * greatest(x.size, y.size)
     AND aggregate(
-            CASE WHEN size(x.sketch) = size(y.sketch) THEN zip_with(x.sketch, y.sketch, (i, j) -> bit_count(i ^ j))
-                 WHEN size(x.sketch) > size(y.sketch) THEN zip_with({half_x}, y.sketch, (i, j) -> bit_count(i ^ j))
-                 ELSE zip_with(x.sketch, {half_y}, (i, j) -> bit_count(i ^ j)) END,
+            CASE WHEN size({x}) = size({y}) THEN zip_with({x}, {y}, (i, j) -> bit_count(i ^ j))
+                 WHEN size({x}) > size({y}) THEN zip_with({half_x}, {y}, (i, j) -> bit_count(i ^ j))
+                 ELSE zip_with({x}, {half_y}, (i, j) -> bit_count(i ^ j)) END,
             0L, (n, c) -> n + c) * (100 + {p}) <= (100 - {p}) * (x.size + y.size)"""
 
 
@@ -197,6 +212,11 @@ def _half(sketch):
     return f"zip_with(slice({sketch}, 1, {half}), slice({sketch}, {half} + 1, {half}), (i, j) -> i ^ j)"
 
 
+def _allowed(percent, sketch):
+    x, y = f"x.{sketch}", f"y.{sketch}"
+    return ALLOWED.format(p=percent, x=x, y=y, half_x=_half(x), half_y=_half(y))
+
+
 def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
     """``labels`` (v, component) after the links ``found`` (a, b) between their vertices."""
     one, two = labels.toDF("a", "x"), labels.toDF("b", "y")
@@ -221,8 +241,8 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # the sketches: of one document for each class of equal sets
     single = docs.where("doc_id IS NOT NULL").join(small(copies), "doc_id", "left_anti")
     lanes = single.mapInArrow(_lanes(k, percent), "lane long, v long")
-    met = lanes.groupBy("lane").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high").select("lane")
-    shared = stored(lanes.join(met, "lane").distinct(), "lanes")
+    met = lanes.groupBy("lane").count().where("count > 1").select("lane")
+    shared = stored(lanes.join(met, "lane"), "lanes")
     meeting = stored(shared.select("v").distinct(), "meeting")
     links = stored(member.unionByName(_similar(docs, shared, meeting, k, percent)) if meeting.head(1) else member, "links")
 
@@ -247,14 +267,14 @@ def _similar(docs, shared, meeting, k, percent):
             pairs = groups.where("component <> central").select(F.least("v", "centre").alias("a"), F.greatest("v", "centre").alias("b"))
         else:
             first = groups.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("lane")), 1, FIRST_LANES).alias("lanes"))  # of one document
-            own = groups.select("lane", "v", "component").join(sets.drop("shingles").join(first, "v"), "v")
-            allowed = ALLOWED.format(p=percent, half_x=_half("x.sketch"), half_y=_half("y.sketch"))
+            own = groups.select("lane", "v", "component").join(sets.select("v", "size", "coarse").join(first, "v"), "v")
             once = " AND coalesce(array_min(array_intersect(x.lanes, y.lanes)), x.lane) = x.lane"  # if they meet in one of these, there only
-            pairs = own.alias("x").join(own.alias("y"), F.expr("x.lane = y.lane AND x.component < y.component AND" + allowed + once))
+            pairs = own.alias("x").join(own.alias("y"), F.expr("x.lane = y.lane AND x.component < y.component AND" + _allowed(percent, "coarse") + once))
             pairs = pairs.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b"))
         pairs = pairs.distinct()
         for known in tried:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
+        pairs = stored(allowed(pairs, sets, percent), "pairs")
         result = stored(verified(pairs, sets, percent), "verified")
         tried.append(result.select("a", "b"))
         links.append(result.where("similar").select("a", "b"))
