@@ -45,6 +45,8 @@ from .common import stored
 
 SAMPLE = 12
 KINDS = 4
+#: parts in which the samples of one host are first brought together
+PARTS = 64
 MAX_BROADCAST = 32_000_000
 #: levels of elements; deeper ones stand beside each other, as in browsers
 DEEPEST = 200
@@ -448,13 +450,16 @@ def learn_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
             h, x, r = zip(*rows[i : i + 200])
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x), pa.array(r, pa.int64())], names=["host", "html", "rank"])
 
-    few = marked.mapInArrow(keep, "host string, html string, rank long")
+    kept = "host string, html string, rank long"
+    few = marked.mapInArrow(keep, kept)
+    # and once more by host and a part of the hash, so that a host of many tasks' pages meets in parts before it meets whole
+    few = few.withColumn("part", F.pmod("rank", F.lit(PARTS))).repartition("host", "part").select("host", "html", "rank").mapInArrow(keep, kept)
 
     def fit(key, table):
         rows = sorted(set(zip(table.column("rank").to_pylist(), table.column("html").to_pylist())))[:sample]
         return pa.table({"host": [key[0].as_py()], "wrappers": [json.dumps(learn([x for _, x in rows]))]})
 
-    # at most sample pages of each host from each task: small groups
+    # at most sample pages of each of a host's parts: small groups
     return few.groupBy("host").applyInArrow(fit, "host string, wrappers string")
 
 
