@@ -33,6 +33,8 @@ from .textkernel import ALNUM, U, chunks, column, hashes, words
 
 WINDOW = 10
 MAX_BLOCK = 2_000_000
+#: bytes of text that one shard of the index covers; its arrays take some 40 bytes for each
+SHARD = 4_000_000
 
 
 def windows_of(texts, width):
@@ -146,7 +148,7 @@ def _matcher(vocabulary, windows, owner, item_ids, slop, keep, more):
         for batch in batches:
             data, at = column(batch.column("__text"))
             n_words, ranges, items = [], [], []
-            for i, j, d, a in chunks(data, at, 16_000_000):
+            for i, j, d, a in chunks(data, at, SHARD):
                 counts, found = scan(d, a, vocabulary, windows, owner, slop)
                 base = np.concatenate([[0], np.cumsum(counts)])
                 found = found[np.argsort(found[:, 0], kind="stable")]
