@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+SALT = 16
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(v, component) of every vertex of ``edges`` (a, b): the smallest vertex that it reaches.
 
     Each round a vertex takes the smallest label among its own and its neighbours' and then that label's label, so a
-    chain of n links needs about log n rounds.  A hot vertex's links are pre-aggregated before the shuffle.
+    chain of n links needs about log n rounds.  A hot vertex's links are pre-aggregated before the shuffle, and those
+    that share a hot label look it up in ``SALT`` parts.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = stored(both, "links")
@@ -20,8 +24,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     for _ in range(rounds):
         near = both.join(labels, both.b == labels.v).groupBy(F.col("a").alias("v")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "v").select("v", F.least("component", "near").alias("next"), F.col("component").alias("old"))
-        jump = lower.select(F.col("v").alias("next"), F.col("next").alias("far"))
-        new = stored(lower.join(jump, "next", "left").select("v", F.least("next", F.coalesce("far", "next")).alias("component"), "old"), "labels")
+        jump = lower.select(F.col("v").alias("next"), F.col("next").alias("far")).join(lower.select("next").distinct(), "next")
+        jump = jump.select("next", "far", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part"))
+        parted = lower.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int"))
+        new = stored(parted.join(jump, ["next", "part"], "left").select("v", F.least("next", F.coalesce("far", "next")).alias("component"), "old"), "labels")
         labels = new.select("v", "component")
         if not new.where("component <> old").head(1):
             return labels
