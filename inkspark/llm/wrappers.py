@@ -15,7 +15,8 @@ wrapper.
 What a wrapper learns is which parts of a host's pages are the article.  A
 region, a child of the page body or of a container in it, is boilerplate if its
 tag or its class and id words say so (navigation, header, footer, aside, form,
-advert, notice, comments ...), if its text is the same on most of the sample's
+advert, notice, comments ...; never the body or main, nor a form or hinted
+element that holds most of the page's text), if its text is the same on most of the sample's
 pages, or if most of its text is links.  If the pages have an article (or main)
 element the text is what is inside, else the regions that are left.
 
@@ -57,6 +58,7 @@ RAW = frozenset("script style noscript template textarea title xmp iframe svg ma
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
 DROPPED = frozenset("nav footer aside form head script style noscript template svg button select option textarea iframe dialog menu canvas object math label input".split())
 CLOSES_P = BLOCK - {"br", "body", "html"}
+PAGE = ("html", "body", "main")
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar side menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar topbar masthead header footer foot copyright comment comments reply replies disqus discussion share sharing social related recommended recommendations widget login search skip hidden".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
@@ -71,11 +73,12 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An element: its tag, the key by which pages are aligned, and children (nodes and texts)."""
 
-    __slots__ = ("tag", "key", "children", "hint", "hidden")
+    __slots__ = ("tag", "key", "children", "hint", "hidden", "letters")
 
     def __init__(self, tag, key, hint=False, hidden=False):
         self.tag, self.key, self.hint, self.hidden = tag, key, hint, hidden
         self.children = []
+        self.letters = 0  # of text that is neither in links nor in dropped elements
 
 
 def parse(html):
@@ -138,9 +141,35 @@ def parse(html):
             continue
         if tag not in VOID and len(stack) < DEEPEST:  # browsers take no notice of "/>" elsewhere
             stack.append(node)
+    weigh(root)
+    most(root, root.letters / 2)
     return root
 
 
+def weigh(node):
+    """Sets the ``letters`` of an element and of those in it; hidden and dropped ones, but for forms, count none."""
+    for c in node.children:
+        if isinstance(c, str):
+            node.letters += len(c) - c.count(" ") - c.count("\n")
+        elif c.tag not in RAW:
+            weigh(c)
+            if c.tag != "a" and (c.tag == "form" or c.tag in PAGE or c.tag not in DROPPED and not c.hidden):
+                node.letters += c.letters
+
+
+def most(node, half):
+    """Takes the hints off elements that hold the page: its body and main, and what has more than ``half`` of its letters."""
+    for c in node.children:
+        if isinstance(c, Node):
+            if c.tag in PAGE:
+                c.hint = c.hidden = False
+            elif c.letters > half:
+                c.hint = False
+                if c.tag == "form":
+                    c.tag = "div"
+            most(c, half)
+
+
 def boilerplate(node):
     return node.tag in DROPPED or node.hint or node.hidden
 
@@ -157,6 +186,12 @@ def find(node, tags):
     return out
 
 
+def main_elements(tree):
+    """The elements whose text is the page's: its articles, or its main elements if these hold more than twice their text."""
+    articles, mains = find(tree, ("article",)), find(tree, ("main",))
+    return mains if sum(m.letters for m in mains) > 2 * sum(a.letters for a in articles) else articles or mains
+
+
 def blocks(nodes, skip=frozenset(), path=""):
     """Texts of the blocks of ``nodes`` in page order; boilerplate and regions whose path is in ``skip`` are left out."""
     out, open_ = [], []
@@ -413,7 +448,7 @@ def extract(html, wrappers=None):
         if len(wrappers) == 1 or fits(w["wrapper"], stream(tree)):
             known = w
             break
-    articles = find(tree, ("article",)) or find(tree, ("main",))
+    articles = main_elements(tree)
     if articles:
         return "\n".join(blocks(articles))
     known = known or (wrappers[0] if wrappers else _judge([tree]))

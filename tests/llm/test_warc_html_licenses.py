@@ -159,6 +159,20 @@ def test_pages(page, text):
     assert text is None or got == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<body class='single sidebar-right'><p>the text</p><div class=share>no</div></body>", "the text"),
+        ("<article class='post share'><p>the whole text</p></article><div class=menu>no</div>", "the whole text"),
+        ("<body><form action=x><div><p>the text of the page</p></div></form><form>no</form></body>", "the text of the page"),
+        ("<main><p>a long text of the page's main element, which is no card</p></main><article>card</article>", "a long text of the page's main element, which is no card"),
+        ("<main><div>crumbs</div><article><p>the longer text of an article</p></article></main>", "the longer text of an article"),
+    ],
+)
+def test_what_holds_the_page_is_no_boilerplate(page, text):
+    assert wrappers.extract(page) == text
+
+
 def test_odd_pages(odd_pages):
     rows = wrappers.main_texts(odd_pages).collect()
     assert len(rows) == 11 and all(r.n_chars == len(r.text) for r in rows)
