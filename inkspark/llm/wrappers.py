@@ -192,39 +192,6 @@ def main_elements(tree):
     return mains if sum(m.letters for m in mains) > 2 * sum(a.letters for a in articles) else articles or mains
 
 
-def blocks(nodes, skip=frozenset(), path=""):
-    """Texts of the blocks of ``nodes`` in page order; boilerplate and regions whose path is in ``skip`` are left out."""
-    out, open_ = [], []
-
-    def close():
-        text = SPACE.sub(" ", _html.unescape("".join(open_))).strip()
-        open_.clear()
-        if text:
-            out.append(text)
-
-    def walk(node, path):
-        for c in node.children:
-            if isinstance(c, str):
-                open_.append(c)
-                continue
-            own = f"{path}/{c.key}"
-            if boilerplate(c) or own in skip:
-                close()
-            elif c.tag in RAW:
-                continue
-            elif c.tag in BLOCK:
-                close()
-                walk(c, own)
-                close()
-            else:
-                walk(c, own)
-
-    for n in nodes:
-        walk(n, path + "/" + n.key if n.tag != "#root" else path)
-        close()
-    return out
-
-
 # ---------------------------------------------------------------- wrapper inference
 
 # Wrapper nodes, as JSON lists: ["t", key] start tag, ["e", tag] end tag, ["=", text] constant text, ["#"] text slot,
@@ -363,19 +330,44 @@ def fits(w, s):
     return all(n[0] == "?" for n in w[i:])
 
 
-# ---------------------------------------------------------------- what a wrapper knows of its regions
+# ---------------------------------------------------------------- what a host's pages say of their regions
 
 
-def regions(node, path="", depth=0, out=None):
-    """(path, node) of block elements down to three levels, boilerplate left out."""
-    out = [] if out is None else out
-    for c in node.children:
-        if isinstance(c, Node) and c.tag in BLOCK and not boilerplate(c):
-            own = f"{path}/{c.key}"
-            out.append((own, c))
-            if depth < 3 or c.tag in ("html", "body"):
-                regions(c, own, depth + (c.tag not in ("html", "body")), out)
-    return out
+def laid_out(tree):
+    """The texts of a tree's blocks in page order, and (path, node, first, end) of its block elements: the blocks in each.
+
+    The path is None for elements more than three levels below the body, which are not judged.
+    """
+    out, spans, open_ = [], [], []
+
+    def close():
+        text = SPACE.sub(" ", _html.unescape("".join(open_))).strip()
+        open_.clear()
+        if text:
+            out.append(text)
+
+    def walk(node, path, depth):
+        for c in node.children:
+            if isinstance(c, str):
+                open_.append(c)
+            elif boilerplate(c):
+                close()
+            elif c.tag in RAW:
+                continue
+            elif c.tag in BLOCK:
+                close()
+                own = f"{path}/{c.key}" if depth < 4 else None
+                at, first = len(spans), len(out)
+                spans.append(None)
+                walk(c, own, depth + (c.tag not in ("html", "body")))
+                close()
+                spans[at] = (own, c, first, len(out))
+            else:
+                walk(c, path if depth >= 4 else f"{path}/{c.key}", depth)
+
+    walk(tree, "", 0)
+    close()
+    return out, spans
 
 
 def link_share(node):
@@ -390,52 +382,62 @@ def link_share(node):
     return total, linked
 
 
-def learn(pages):
-    """Wrappers of one host from sample pages: [{"wrapper", "article", "skip"}], each for the pages that the ones before do not fit."""
-    trees = [parse(p) for p in pages]
-    streams = [stream(t) for t in trees]
-    left, out = list(range(len(pages))), []
-    while left and len(out) < KINDS:
-        first = left[0]
-        kind = [x for x in left if set(map(head, flat(streams[x]))) == set(map(head, flat(streams[first])))] if out or len(left) > SAMPLE else left
-        kind = kind or [first]
-        wrapper = streams[first]
-        for x in kind[1:]:
-            wrapper = align(wrapper, streams[x])
-        out.append({"wrapper": wrapper} | _judge([trees[x] for x in kind]))
-        left = [x for x in left if x not in kind and not fits(wrapper, streams[x])]
-    return out
+def digest(text):
+    return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "little", signed=True)
 
 
-def flat(nodes):
-    for n in nodes:
-        if n[0] in "?+":
-            yield from flat(n[1])
-        else:
-            yield n
+def region_key(path, texts):
+    """Number of a region: its path and its text."""
+    return digest(path + "\n" + "\n".join(texts))
 
 
-def _judge(trees):
-    """Whether the pages have an article element, and paths of regions that are boilerplate on them."""
-    with_article = sum(bool(find(t, ("article",)) or find(t, ("main",))) for t in trees)
-    seen, texts, linked = {}, {}, {}
+def sightings(tree):
+    """({(path, region, content)}, content): a page's regions, each with the page's longest block outside of it, and the longest of all.
+
+    The longest block stands for what the page is about: pages that share it, such as near copies, count as one.
+    A region with most of the page's text is what the page is about, and is not counted.
+    """
+    out, spans = laid_out(tree)
+    if not out:
+        return set(), 0
+    long = sorted(range(len(out)), key=lambda i: (-len(out[i]), i))
+    half = sum(map(len, out)) / 2
+    found, digests = set(), {}
+
+    def content(i):
+        if i not in digests:
+            digests[i] = digest(out[i])
+        return digests[i]
+
+    for path, node, first, end in spans:
+        if path is not None and first < end and node.tag not in PAGE and sum(map(len, out[first:end])) <= half:
+            found.add((digest(path), region_key(path, out[first:end]), content(next(i for i in long if not first <= i < end))))
+    return found, content(long[0])
+
+
+def is_constant(n, of):
+    """Whether a text that ``n`` different pages have, of ``of`` with a region of its path, is boilerplate."""
+    return n >= 3 and n > 0.6 * of
+
+
+def constants(trees):
+    """Numbers of the regions that are the same on most of the given pages, as the host's table of all pages has them."""
+    seen, pages = {}, {}
     for t in trees:
-        for path, node in {p: n for p, n in regions(t)}.items():
-            seen[path] = seen.get(path, 0) + 1
-            text = "\n".join(blocks([node]))
-            texts.setdefault(path, []).append(hashlib.md5(text.encode()).hexdigest() if text else "")
-            n, k = link_share(node)
-            linked.setdefault(path, [0, 0])
-            linked[path][0] += n
-            linked[path][1] += k
-    skip = []
-    for path, n in seen.items():
-        same = max(texts[path].count(x) for x in set(texts[path]))
-        constant = len(trees) >= 3 and n >= 3 and same > 0.6 * n
-        links = linked[path][1] > 0.6 * max(1, linked[path][0])
-        if constant or links:
-            skip.append(path)
-    return {"article": 2 * with_article > len(trees), "skip": sorted(skip)}
+        found, page = sightings(t)
+        for path, region, content in found:
+            seen.setdefault((path, region), set()).add(content)
+            pages.setdefault(path, set()).add(page)
+    return sorted(r for (p, r), c in seen.items() if is_constant(len(c), len(pages[p])))
+
+
+def learn(pages):
+    """What pages of one host say: [{"wrapper", "skip"}], a wrapper for each kind of page; ``skip`` is the host's."""
+    trees = [parse(p) for p in pages]
+    wrapper = None
+    for t in trees:
+        wrapper = stream(t) if wrapper is None else align(wrapper, stream(t))
+    return [{"wrapper": wrapper, "skip": constants(trees)}]
 
 
 def extract(html, wrappers=None):
@@ -443,16 +445,24 @@ def extract(html, wrappers=None):
     if not html:
         return ""
     tree = parse(html)
-    known = None
-    for w in wrappers or ():
-        if len(wrappers) == 1 or fits(w["wrapper"], stream(tree)):
-            known = w
-            break
-    articles = main_elements(tree)
-    if articles:
-        return "\n".join(blocks(articles))
-    known = known or (wrappers[0] if wrappers else _judge([tree]))
-    return "\n".join(blocks([tree], frozenset(known["skip"])))
+    skip = frozenset(wrappers[0]["skip"]) if wrappers else ()
+    out, spans = laid_out(tree)
+    articles = {id(a) for a in main_elements(tree)}
+    stay = [not articles] * len(out)
+    for _, node, first, end in spans:
+        if id(node) in articles:
+            stay[first:end] = [True] * (end - first)
+    for path, node, first, end in spans:
+        if path is None or first == end or node.tag in PAGE:
+            continue
+        # of elements that share a path only those are left out that are boilerplate themselves
+        constant = skip and region_key(path, out[first:end]) in skip
+        if not constant and not articles:
+            n, k = link_share(node)
+            constant = k > 0.6 * max(1, n)
+        if constant:
+            stay[first:end] = [False] * (end - first)
+    return "\n".join(x for x, s in zip(out, stay) if s)
 
 
 # ---------------------------------------------------------------- Spark

@@ -173,6 +173,17 @@ def test_what_holds_the_page_is_no_boilerplate(page, text):
     assert wrappers.extract(page) == text
 
 
+def post(n, end, k=4):
+    return "<body><div class=post>" + "".join(f"<p>Paragraph {i} of post {n} has text." for i in range(k)) + f"<p>{end}</div></body>"
+
+
+def test_paragraphs_that_share_a_path_are_judged_one_by_one():
+    own = lambda n, k=4: "\n".join(f"Paragraph {i} of post {n} has text." for i in range(k))
+    known = wrappers.learn([post(n, "All rights reserved") for n in range(8)])
+    assert wrappers.extract(post(3, "All rights reserved"), known) == own(3)
+    assert wrappers.extract(post(1, "<a href=x>Read more of this</a>")) == own(1)
+
+
 def test_odd_pages(odd_pages):
     rows = wrappers.main_texts(odd_pages).collect()
     assert len(rows) == 11 and all(r.n_chars == len(r.text) for r in rows)
