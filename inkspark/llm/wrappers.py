@@ -12,19 +12,19 @@ it is.  A wrapper that a page cannot be aligned with keeps it as a page of
 another kind: such pages are aligned with each other and make the host's next
 wrapper.
 
-What a wrapper learns is which parts of a host's pages are the article.  A
-region, a child of the page body or of a container in it, is boilerplate if its
-tag or its class and id words say so (navigation, header, footer, aside, form,
-advert, notice, comments ...; never the body or main, nor a form or hinted
-element that holds most of the page's text), if its text is the same on most of the sample's
-pages, or if most of its text is links.  If the pages have an article (or main)
-element the text is what is inside, else the regions that are left.
-
-Wrappers are fitted on at most ``SAMPLE`` pages of a host, those of the smallest
-hash, which is the documented bound of the model; every page is then extracted
-whole with its host's wrapper by the task that holds it.  The wrappers of all
-hosts are a table; it is broadcast if it has at most ``MAX_BROADCAST`` bytes and
-joined by host otherwise.
+A region, a block element down to three levels below the page body, is boilerplate
+if its tag or its class and id words say so (navigation, header, footer, aside,
+form, advert, notice, comments ...; never the body or main, nor a form or hinted
+element that holds most of the page's text), if a region of its path has the same
+text on most of the host's pages that have the path, or, on pages without article
+and main element, if most of its own text is links.  If the pages have an article
+(or main) element the text is what is inside, else the regions that are left.
+
+The regions of all pages are counted, by host, path and text.  Pages with the same
+longest block outside of a region, such as near copies of one article, count once
+for it; a region with most of a page's text is what the page is about and does not
+count.  What is found for the hosts is a table; it is broadcast if it has at most
+``MAX_BROADCAST`` bytes and joined by host otherwise.
 
 Defined results: null and empty html give an empty text; a page without host or
 one that no wrapper of its host fits is extracted by the rules above on its own;
@@ -44,10 +44,6 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SAMPLE = 12
-KINDS = 4
-#: parts in which the samples of one host are first brought together
-PARTS = 64
 MAX_BROADCAST = 32_000_000
 #: levels of elements; deeper ones stand beside each other, as in browsers
 DEEPEST = 200
@@ -417,7 +413,7 @@ def sightings(tree):
 
 def is_constant(n, of):
     """Whether a text that ``n`` different pages have, of ``of`` with a region of its path, is boilerplate."""
-    return n >= 3 and n > 0.6 * of
+    return (n >= 3) & (n > 0.6 * of)
 
 
 def constants(trees):
@@ -474,43 +470,36 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
-def learn_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, wrappers) from at most ``sample`` pages of each host, those of the smallest hash of url and html."""
-    own = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> '' AND html <> ''")
-    # every task keeps its own smallest of each host before anything is shuffled
-    marked = own.withColumn("rank", F.xxhash64("html"))
+def sightings_of(pages: DataFrame) -> DataFrame:
+    """(host, path, region, content, page): the ``sightings`` of every page with a host."""
 
-    def keep(batches):
-        best = {}
+    def read(batches):
         for batch in batches:
-            for host, html, rank in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "rank"))):
-                mine = best.setdefault(host, [])
-                if len(mine) < sample or (rank, html) < mine[-1]:
-                    if (rank, html) not in mine:
-                        mine.append((rank, html))
-                        mine.sort()
-                        del mine[sample:]
-        rows = [(h, x, r) for h, mine in best.items() for r, x in mine]
-        for i in range(0, len(rows), 200):
-            h, x, r = zip(*rows[i : i + 200])
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x), pa.array(r, pa.int64())], names=["host", "html", "rank"])
-
-    kept = "host string, html string, rank long"
-    few = marked.mapInArrow(keep, kept)
-    # and once more by host and a part of the hash, so that a host of many tasks' pages meets in parts before it meets whole
-    few = few.withColumn("part", F.pmod("rank", F.lit(PARTS))).repartition("host", "part").select("host", "html", "rank").mapInArrow(keep, kept)
-
-    def fit(key, table):
-        rows = sorted(set(zip(table.column("rank").to_pylist(), table.column("html").to_pylist())))[:sample]
-        return pa.table({"host": [key[0].as_py()], "wrappers": [json.dumps(learn([x for _, x in rows]))]})
-
-    # at most sample pages of each of a host's parts: small groups
-    return few.groupBy("host").applyInArrow(fit, "host string, wrappers string")
-
-
-def extract_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+            rows = set()
+            for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+                found, page = sightings(parse(html))
+                rows.update((host, *f, page) for f in found)
+            if rows:
+                h, *numbers = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(x, pa.int64()) for x in numbers)], names=["host", "path", "region", "content", "page"])
+
+    own = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> '' AND html <> ''")
+    return own.mapInArrow(read, "host string, path long, region long, content long, page long")
+
+
+def learn_wrappers(pages: DataFrame) -> DataFrame:
+    """(host, skip): the regions that are the same on most of a host's pages, counted over all of them."""
+    seen = stored(sightings_of(pages), "regions")
+    # a text counts once for each content; every step is dealt by more than the host
+    texts = seen.select("host", "path", "region", "content").distinct().groupBy("host", "path", "region").agg(F.count("*").alias("n")).where("n >= 3")
+    paths = seen.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("of"))
+    return texts.join(paths, ["host", "path"]).where(is_constant(F.col("n"), F.col("of"))).groupBy("host").agg(F.array_sort(F.collect_set("region")).alias("skip"))
+
+
+def extract_pages(pages: DataFrame) -> DataFrame:
     """``pages`` with ``text``, the main text of ``html`` by the wrappers of the url's host; ``html`` is not kept."""
-    wrappers = stored(learn_wrappers(pages, sample), "wrappers")
+    wrappers = learn_wrappers(pages)
+    wrappers = stored(wrappers.select("host", F.to_json(F.struct("skip")).alias("wrappers")), "wrappers")
     size = wrappers.select(F.sum(F.length("wrappers"))).first()[0] or 0
     keep = [c for c in pages.columns if c not in ("html", "text")]
     joined = pages.select(*keep, "html", host_of(F.col("url")).alias("__host")).join(
@@ -527,13 +516,18 @@ def extract_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 if raw is not None and raw not in known:
                     if len(known) > 200:
                         known.clear()
-                    known[raw] = json.loads(raw)
+                    known[raw] = read_wrappers(raw)
                 texts.append(extract(html.as_py(), known.get(raw)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
     return joined.mapInArrow(run, schema)
 
 
+def read_wrappers(raw):
+    """What ``learn`` gives, from a host's row of the table."""
+    return [{"skip": json.loads(raw)["skip"]}]
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """The contract's columns: page_id, url, text, n_chars."""
     out = extract_pages(pages.select("page_id", "url", "html"))

@@ -184,6 +184,19 @@ def test_paragraphs_that_share_a_path_are_judged_one_by_one():
     assert wrappers.extract(post(1, "<a href=x>Read more of this</a>")) == own(1)
 
 
+def test_all_pages_of_a_host_are_counted(spark):
+    # one host of 400 pages with a notice on most, and another one on 10 of them: 12 pages need not tell
+    more = "<div class=special><p>It is only on few pages</div></body>"
+    rows = [(n, "http://one.example/" + str(n), post(n, "Notice of the host" if n >= 100 else f"Own end {n}").replace("</body>", more if n % 40 == 0 else "</body>")) for n in range(400)]
+    # near copies of one article on another, and a page of its own
+    rows += [(1000 + n, "http://two.example/" + str(n), f"<body><div class=post><p>The copied text is long.<p>It has two parts.</div><div>{n}</div></body>") for n in range(30)]
+    rows += [(2000, "http://two.example/own", post(7, "end"))]
+    got = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert all("Notice" not in got[n] and "only on" not in got[n] and f"Paragraph 3 of post {n} " in got[n] for n in range(400)) and got[5].endswith("Own end 5")
+    assert all(got[1000 + n].startswith("The copied text is long.\nIt has two parts.") for n in range(30))
+    assert got[2000].startswith("Paragraph 0 of post 7")
+
+
 def test_odd_pages(odd_pages):
     rows = wrappers.main_texts(odd_pages).collect()
     assert len(rows) == 11 and all(r.n_chars == len(r.text) for r in rows)
