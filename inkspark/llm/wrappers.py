@@ -8,9 +8,15 @@ is aligned with further pages of the host one after the other.  Where they
 agree nothing changes; where two texts differ the node becomes a slot; where tags
 differ the nearest place at which both go on alike is searched, and what is left
 out on either side becomes an optional group, or joins a repeated group whose body
-it is.  A wrapper that a page cannot be aligned with keeps it as a page of
-another kind: such pages are aligned with each other and make the host's next
-wrapper.
+it is.  Pages of a host with other containers are another kind and get another
+wrapper.  All pages of a kind are aligned: each task aligns those that it reads, and
+the tasks' wrappers are aligned with each other.  Where a level has more than
+``WIDEST`` nodes it becomes one slot for whatever stands there.
+
+Every page is matched against the wrapper of its kind.  What is in slots, optional
+and repeated groups is data; a block element that has the same text on all pages of
+a kind (at least ``CONTENTS`` with different longest blocks) is template and left out,
+inside of articles, too.
 
 A region, a block element down to three levels below the page body, is boilerplate
 if its tag or its class and id words say so (navigation, header, footer, aside,
@@ -45,10 +51,14 @@ from pyspark.sql import functions as F
 from .common import stored
 
 MAX_BROADCAST = 32_000_000
+#: nodes beside each other in a wrapper, and contents of a kind that are told apart
+WIDEST = 80
+CONTENTS = 3
 #: levels of elements; deeper ones stand beside each other, as in browsers
 DEEPEST = 200
 
 # Names from the HTML standard and usual class names (fixed values).
+CONTAINERS = ("html", "body", "main", "article", "section", "div")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title xmp iframe svg math canvas object select option button".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
@@ -201,11 +211,16 @@ def stream(node, depth=40):
         if isinstance(c, str):
             text = SPACE.sub(" ", c).strip()
             if text:
-                out.append(["=", hashlib.md5(text.encode()).hexdigest()[:8]])
-        elif c.tag not in ("script", "style", "head"):
+                out.append(["=", hashlib.md5(text.encode()).hexdigest()[:16]])
+        elif not boilerplate(c):
             inner = stream(c, depth - 1) if depth and c.tag not in RAW and c.tag not in VOID else []
             out.append(["t", c.key, inner])
-    return fold(out)
+    return wide(fold(out))
+
+
+def wide(nodes):
+    """Free content, with more than ``WIDEST`` nodes beside each other, becomes one slot for whatever stands there."""
+    return [["*"]] if len(nodes) > WIDEST else nodes
 
 
 def generalised(nodes):
@@ -241,6 +256,8 @@ def merge_tag(a, b):
 
 def head(n):
     """What a node begins with, by which both sides find back to each other."""
+    if n[0] == "*":
+        return "*"
     if n[0] in "=#":
         return "#"
     return n[1] if n[0] == "t" else head(n[1][0])
@@ -248,6 +265,8 @@ def head(n):
 
 def align(w, s):
     """The wrapper ``w`` made general enough to cover the stream ``s``, too."""
+    if [["*"]] in (w, s):
+        return [["*"]]
     out, i, j = [], 0, 0
     while i < len(w) and j < len(s):
         a, b = w[i], s[j]
@@ -267,7 +286,7 @@ def align(w, s):
         x, y = (best[1], best[2]) if best else (len(w), len(s))
         out += optional(w[i:x]) + optional(s[j:y])
         i, j = x, y
-    return fold_groups(out + optional(w[i:]) + optional(s[j:]))
+    return wide(fold_groups(out + optional(w[i:]) + optional(s[j:])))
 
 
 def optional(nodes):
@@ -305,6 +324,8 @@ def fold_groups(nodes):
 
 def fits(w, s):
     """Whether the wrapper covers the stream."""
+    if w == [["*"]]:
+        return True
     i = 0
     for n in s:
         while i < len(w) and head(w[i]) != head(n):
@@ -326,6 +347,73 @@ def fits(w, s):
     return all(n[0] == "?" for n in w[i:])
 
 
+def kind_of(tree):
+    """The kind of a page: its containers down to two levels below the body.  Pages of other containers are not aligned."""
+    out = set()
+
+    def walk(node, path, depth):
+        for c in node.children:
+            if isinstance(c, Node) and c.tag in CONTAINERS and not boilerplate(c):
+                own = f"{path}/{c.key}"
+                out.add(own)
+                if depth < 1 and c.tag != "article" or c.tag in PAGE:
+                    walk(c, own, depth + (c.tag not in PAGE))
+
+    walk(tree, "", 0)
+    return digest("\n".join(sorted(out)))
+
+
+def merged(a, b):
+    """The wrapper of two parts of a kind's pages: (nodes, longest blocks of up to ``CONTENTS`` different pages)."""
+    return (align(a[0], b[0]), sorted({*a[1], *b[1]})[:CONTENTS]) if a else b
+
+
+def fixed(nodes):
+    """Whether the nodes are the same text on all pages."""
+    return all(n[0] == "=" or n[0] in "t+" and fixed(n[-1]) for n in nodes)
+
+
+def slot_texts(w, node, template):
+    """Matches a page with its wrapper; elements that are the same on all pages go into ``template``, the rest are slots and groups.
+
+    False if the page does not match.
+    """
+    if w == [["*"]]:
+        return True
+    i, last = 0, None
+    for c in node.children:
+        if isinstance(c, str):
+            text = SPACE.sub(" ", c).strip()
+            if not text:
+                continue
+            own = "#"
+        elif boilerplate(c):
+            continue
+        else:
+            own = c.key
+        if last is None or last[0] != "+" or head(last) != own:
+            while i < len(w) and head(w[i]) != own:
+                if w[i][0] != "?":
+                    return False
+                i += 1
+            if i == len(w):
+                return False
+            always = w[i][0] != "?"
+            last = w[i] if always else w[i][1][0]
+            i += 1
+        a = last[1][0] if last[0] == "+" else last
+        if own == "#":
+            if a[0] == "=" and a[1] != hashlib.md5(text.encode()).hexdigest()[:16]:
+                return False
+        else:
+            below = template if always else set()
+            if a[2] and not slot_texts(a[2], c, below):
+                return False
+            if always and c.tag in BLOCK and fixed(a[2]):
+                template.add(id(c))
+    return all(n[0] == "?" for n in w[i:])
+
+
 # ---------------------------------------------------------------- what a host's pages say of their regions
 
 
@@ -428,12 +516,14 @@ def constants(trees):
 
 
 def learn(pages):
-    """What pages of one host say: [{"wrapper", "skip"}], a wrapper for each kind of page; ``skip`` is the host's."""
+    """What pages of one host say: [{"kind", "wrapper", "contents", "skip"}], a wrapper for each kind of page; ``skip`` is the host's."""
     trees = [parse(p) for p in pages]
-    wrapper = None
+    kinds = {}
     for t in trees:
-        wrapper = stream(t) if wrapper is None else align(wrapper, stream(t))
-    return [{"wrapper": wrapper, "skip": constants(trees)}]
+        kind = kind_of(t)
+        kinds[kind] = merged(kinds.get(kind), (stream(t), [sightings(t)[1]]))
+    skip = constants(trees)
+    return [{"kind": k, "wrapper": w, "contents": len(c), "skip": skip} for k, (w, c) in kinds.items()]
 
 
 def extract(html, wrappers=None):
@@ -442,7 +532,14 @@ def extract(html, wrappers=None):
         return ""
     tree = parse(html)
     skip = frozenset(wrappers[0]["skip"]) if wrappers else ()
+    template = set()
+    kind = kind_of(tree) if wrappers else None
+    for w in wrappers or ():
+        # what pages of fewer contents have in common may be the content
+        if w["kind"] == kind and w["contents"] >= CONTENTS and not slot_texts(w["wrapper"], tree, template):
+            template.clear()  # of another kind, which has no wrapper
     out, spans = laid_out(tree)
+    half = sum(map(len, out)) / 2
     articles = {id(a) for a in main_elements(tree)}
     stay = [not articles] * len(out)
     for _, node, first, end in spans:
@@ -452,7 +549,7 @@ def extract(html, wrappers=None):
         if path is None or first == end or node.tag in PAGE:
             continue
         # of elements that share a path only those are left out that are boilerplate themselves
-        constant = skip and region_key(path, out[first:end]) in skip
+        constant = skip and region_key(path, out[first:end]) in skip or id(node) in template and sum(map(len, out[first:end])) <= half
         if not constant and not articles:
             n, k = link_share(node)
             constant = k > 0.6 * max(1, n)
@@ -470,36 +567,70 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
-def sightings_of(pages: DataFrame) -> DataFrame:
-    """(host, path, region, content, page): the ``sightings`` of every page with a host."""
+def read_pages(pages: DataFrame) -> DataFrame:
+    """One row (host, path, region, content, page) for each of ``sightings`` of every page with a host, and rows (host, kind,
+    wrapper, contents) for the wrappers of the pages that a task has read."""
 
     def read(batches):
+        parts, contents = {}, {}
+
+        def flush():
+            rows = [(h, k, json.dumps(w), c) for (h, k), (w, c) in parts.items()]
+            parts.clear()
+            for i in range(0, len(rows), 200):
+                h, k, w, c = zip(*rows[i : i + 200])
+                none = pa.nulls(len(h), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(h), none, none, none, none, pa.array(k, pa.int64()), pa.array(w), pa.array(c, pa.list_(pa.int64()))], names=names)
+
         for batch in batches:
             rows = set()
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                found, page = sightings(parse(html))
+                tree = parse(html)
+                found, page = sightings(tree)
                 rows.update((host, *f, page) for f in found)
+                key = host, kind_of(tree)
+                parts[key] = merged(parts.get(key), (stream(tree), [page]))
             if rows:
                 h, *numbers = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(x, pa.int64()) for x in numbers)], names=["host", "path", "region", "content", "page"])
-
+                none = pa.nulls(len(h))
+                yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(x, pa.int64()) for x in numbers), none.cast(pa.int64()), none.cast(pa.string()), none.cast(pa.list_(pa.int64()))], names=names)
+            if len(parts) > 2000:
+                yield from flush()
+        yield from flush()
+
+    schema = "host string, path long, region long, content long, page long, kind long, wrapper string, contents array<long>"
+    names = [c.split()[0] for c in schema.split(", ")]
     own = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> '' AND html <> ''")
-    return own.mapInArrow(read, "host string, path long, region long, content long, page long")
+    return own.mapInArrow(read, schema)
 
 
 def learn_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, skip): the regions that are the same on most of a host's pages, counted over all of them."""
-    seen = stored(sightings_of(pages), "regions")
+    """(host, skip, kinds): the regions that are the same on most of a host's pages, and the wrapper of each kind of its
+    pages that has at least ``CONTENTS`` contents; both from all pages."""
+    seen = stored(read_pages(pages), "regions")
     # a text counts once for each content; every step is dealt by more than the host
-    texts = seen.select("host", "path", "region", "content").distinct().groupBy("host", "path", "region").agg(F.count("*").alias("n")).where("n >= 3")
-    paths = seen.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("of"))
-    return texts.join(paths, ["host", "path"]).where(is_constant(F.col("n"), F.col("of"))).groupBy("host").agg(F.array_sort(F.collect_set("region")).alias("skip"))
+    regions = seen.where("kind IS NULL")
+    texts = regions.select("host", "path", "region", "content").distinct().groupBy("host", "path", "region").agg(F.count("*").alias("n")).where("n >= 3")
+    paths = regions.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("of"))
+    skip = texts.join(paths, ["host", "path"]).where(is_constant(F.col("n"), F.col("of"))).groupBy("host").agg(F.array_sort(F.collect_set("region")).alias("skip"))
+
+    def merge(key, table):
+        # a task's wrappers of a kind: as many rows as tasks
+        whole = None
+        for w, c in sorted(zip(table.column("wrapper").to_pylist(), table.column("contents").to_pylist())):
+            whole = merged(whole, (json.loads(w), c))
+        few = len(whole[1]) < CONTENTS
+        return pa.table({"host": pa.array([] if few else [key[0].as_py()], pa.string()), "kind": pa.array([] if few else [key[1].as_py()], pa.int64()), "wrapper": pa.array([] if few else [json.dumps(whole[0])], pa.string())})
+
+    kinds = seen.where("kind IS NOT NULL").select("host", "kind", "wrapper", "contents").groupBy("host", "kind").applyInArrow(merge, "host string, kind long, wrapper string")
+    kinds = kinds.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("kind", "wrapper"))).alias("kinds"))
+    return skip.join(kinds, "host", "full")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``pages`` with ``text``, the main text of ``html`` by the wrappers of the url's host; ``html`` is not kept."""
     wrappers = learn_wrappers(pages)
-    wrappers = stored(wrappers.select("host", F.to_json(F.struct("skip")).alias("wrappers")), "wrappers")
+    wrappers = stored(wrappers.select("host", F.to_json(F.struct("skip", "kinds")).alias("wrappers")), "wrappers")
     size = wrappers.select(F.sum(F.length("wrappers"))).first()[0] or 0
     keep = [c for c in pages.columns if c not in ("html", "text")]
     joined = pages.select(*keep, "html", host_of(F.col("url")).alias("__host")).join(
@@ -525,7 +656,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
 def read_wrappers(raw):
     """What ``learn`` gives, from a host's row of the table."""
-    return [{"skip": json.loads(raw)["skip"]}]
+    host = json.loads(raw)
+    skip = frozenset(host.get("skip", ()))
+    known = [{"kind": k["kind"], "wrapper": json.loads(k["wrapper"]), "contents": CONTENTS, "skip": skip} for k in host.get("kinds", ())]
+    return known or [{"kind": None, "wrapper": [], "contents": 0, "skip": skip}]
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

@@ -197,6 +197,32 @@ def test_all_pages_of_a_host_are_counted(spark):
     assert got[2000].startswith("Paragraph 0 of post 7")
 
 
+def card(n):
+    return f"<article><div class=byline>By the same editors</div><h1>Title {n}</h1><p>Text {n} of an article.</p>" + "<p>More.</p>" * (n % 3) + ("<blockquote>Once</blockquote>" if n == 4 else "") + "</article>"
+
+
+def test_each_kind_has_its_wrapper_and_it_decides_in_articles():
+    pages = [card(n) if n % 2 else site(n) for n in range(12)] + [card(4)]
+    known = wrappers.learn(pages)
+    assert len(known) == 2
+    text = lambda n, *more: "\n".join([f"Title {n}", f"Text {n} of an article.", *["More."] * (n % 3), *more])
+    # its count alone decides nothing here: the wrapper does
+    alone = [{**k, "skip": []} for k in known]
+    assert wrappers.extract(card(5), alone) == text(5) and wrappers.extract(card(4), alone) == text(4, "Once")
+    assert wrappers.extract(site(6), known) == main(6)
+
+
+def test_wrappers_of_parts_cover_all_pages():
+    pages = [(card if n % 5 else site)(n) for n in range(40)]
+    kinds = {}
+    for part in (pages[:13], pages[13:20], pages[20:]):
+        for k in wrappers.learn(part):
+            kinds[k["kind"]] = wrappers.merged(kinds.get(k["kind"]), (k["wrapper"], [k["kind"]]))
+    for p in pages:
+        tree = wrappers.parse(p)
+        assert wrappers.slot_texts(kinds[wrappers.kind_of(tree)][0], tree, set())
+
+
 def test_odd_pages(odd_pages):
     rows = wrappers.main_texts(odd_pages).collect()
     assert len(rows) == 11 and all(r.n_chars == len(r.text) for r in rows)
