@@ -335,14 +335,23 @@ def page_tree_walk(spark, sf_dir):
 
 
 def _row_glyphs(spark, sf_dir, skip_blanks=True, paints=1):
-    """Glyphs of documents' wrapped rows, one every 6 points, painted ``paints`` times; blanks leave gaps."""
+    """Glyphs of documents' wrapped rows, one every 6 points, painted ``paints`` times; blanks leave gaps.
+
+    Each row is a page of its own, whose number has the line in its upper and the part in its lower half.
+    """
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
     d = d.select("doc_id", "line", F.posexplode(F.filter(F.split("l", "(?<=\\G.{90})"), lambda x: x != "")).alias("part", "raw"))
-    c = d.select("doc_id", (F.col("line") * 400 + F.col("part")).alias("page_index"), F.explode(F.array(*[F.lit(i) for i in range(paints)])).alias("paint"), F.posexplode(F.split("raw", "")).alias("i", "text"))
+    c = d.select("doc_id", (F.shiftleft(F.col("line").cast("long"), 32) + F.col("part")).alias("page_index"), F.explode(F.array(*[F.lit(i) for i in range(paints)])).alias("paint"), F.posexplode(F.split("raw", "")).alias("i", "text"))
     c = c.where(F.col("text") != " ") if skip_blanks else c
     return c.select("doc_id", "page_index", (F.col("i") + 1000 * F.col("paint")).cast("long").alias("seq"), "text", (F.col("i") * 6.0 + F.col("paint") * 0.01).alias("x"), F.lit(100.0).alias("y"), F.lit(12.0).alias("size"), F.lit(6.0).alias("adv_x"), F.lit("F").alias("font"))
 
 
+def _row_texts(lines):
+    """Lines of ``_row_glyphs`` with the numbers that the SQL gives their rows; long lines may share these, but no page."""
+    part = F.col("page_index").bitwiseAND(F.lit((1 << 32) - 1))
+    return lines.select("doc_id", (F.shiftright("page_index", 32) * 400 + part).cast("int").alias("page_index"), "text")
+
+
 WORDS_SQL = r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
     chunks AS (SELECT doc_id, i, k, substr(l, k * 90 + 1, 90) AS raw FROM lines, unnest(range(CAST(ceil(length(l) / 90.0) AS BIGINT))) AS u(k))
     SELECT doc_id, CAST(i * 400 + k AS INT) AS page_index, regexp_replace(trim(raw), ' +', ' ', 'g') AS text FROM chunks WHERE trim(raw) <> ''"""
@@ -351,13 +360,13 @@ WORDS_SQL = r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))
 @query("gap_spaces", WORDS_SQL)
 def gap_spaces(spark, sf_dir):
     """Blanks come back from the gaps that they leave."""
-    return layout.lines(_row_glyphs(spark, sf_dir)).select("doc_id", "page_index", "text")
+    return _row_texts(layout.lines(_row_glyphs(spark, sf_dir)))
 
 
 @query("overprint_dedupe", WORDS_SQL)
 def overprint_dedupe(spark, sf_dir):
     """Glyphs painted three times, a hundredth of a point apart, count once."""
-    return layout.lines(_row_glyphs(spark, sf_dir, paints=3)).select("doc_id", "page_index", "text")
+    return _row_texts(layout.lines(_row_glyphs(spark, sf_dir, paints=3)))
 
 
 CLUSTER = "CAST(l_orderkey AS BIGINT) AS doc_id, 0 AS page_index, CAST(l_linenumber AS BIGINT) AS seq, 'x' AS text, l_quantity AS x, CAST(700 - 20 * (l_partkey % 4) + 0.3 * l_linenumber AS DOUBLE) AS y, CAST(8 + l_suppkey % 3 AS DOUBLE) AS size, CAST(5 AS DOUBLE) AS adv_x, 'F' AS font"

@@ -163,3 +163,12 @@ def test_entry(spark):
     entry = importlib.import_module("__spark_entry__")
     rows = entry.entry(spark).collect()
     assert len(rows) > 150 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("query", ["gap_spaces", "overprint_dedupe"])
+def test_rows_of_long_lines_keep_apart(spark, tmp_path, query):
+    lines = ["".join(chr(97 + i // 90 % 26) for i in range(36_200)), "the next line", "x"]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted((i * 400 + k // 90, line[k : k + 90]) for i, line in enumerate(lines) for k in range(0, len(line), 90))
+    got = importlib.import_module("__spark_entry__").queries()[query](spark, str(tmp_path)).collect()
+    assert sorted((r.page_index, r.text) for r in got) == want
