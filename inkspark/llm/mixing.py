@@ -7,16 +7,12 @@ of those released the one due first comes first.  With weights that add up to
 one this schedule meets all deadlines, so that after any number t of slots a
 source has had more than w*t - 1 and less than w*t + 1 blocks.
 
-Weights are rounded to multiples of 1/``grain`` (largest remainders; every
-source at least one), and the schedule of ``grain`` slots is then a cycle that
-starts and ends with no source ahead or behind.  Only that cycle is computed on
-the driver; a row finds its slot by arithmetic.  When a source has no block
-left, the schedule starts anew with the weights of the others (a phase).  All
-rows are used once, none is dropped or repeated.
+The schedule runs by the given weights (as shares of 1/``EXACT`` or finer, so that rounding moves no
+block) until a source has no block left; it then starts anew with the weights of the others (a phase).
+All rows are used once, none is dropped or repeated.
 
-Driver and broadcast hold, for each phase and source, a few numbers and each
-phase's cycle: at most sources * (sources + grain) numbers, which
-``MAX_SOURCES`` bounds.
+Driver and tasks hold a slot for each block (a number for ``block_rows`` rows) and, for each phase and
+source, a few numbers; ``MAX_SOURCES`` bounds these.
 
 Defined results: a null source is a source of its own; sources without a given
 weight share ``default`` weight; no rows give no rows; repeated rows stay.
@@ -33,6 +29,8 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 64
 GRAIN = 1000
+#: least number of parts of the weights' grid
+EXACT = 1 << 40
 MAX_SOURCES = 500
 #: rows of a bucket of one source, on average
 GROUP_ROWS = 5_000
@@ -43,34 +41,43 @@ def rounded(weights, grain):
     w = np.asarray(weights, float)
     if len(w) > grain:
         raise ValueError("more sources than slots in a cycle")
-    exact = w / w.sum() * (grain - len(w))
+    exact = w / w.sum() * grain
     out = np.floor(exact).astype(np.int64)
-    for i in np.argsort(-(exact - out), kind="stable")[: grain - len(w) - int(out.sum())]:
+    for i in np.argsort(-(exact - out), kind="stable")[: grain - int(out.sum())]:
         out[i] += 1
-    return out + 1
+    for i in np.flatnonzero(out == 0):  # its one comes from the share that is largest above its own
+        out[i] = 1
+        out[np.argmax(np.where(out > 1, out - exact, -np.inf))] -= 1
+    return out
+
 
+def cycle(shares, left=None):
+    """The source of each slot of one cycle, by earliest deadline first; shares are whole numbers that add up to its length.
 
-def cycle(shares):
-    """The source of each slot of one cycle, by earliest deadline first; shares are whole numbers that add up to its length."""
-    total = int(sum(shares))
+    left: blocks that the sources have; the schedule ends with the slot that takes some source's last.
+    """
+    shares = [int(q) for q in shares]
+    total = sum(shares)
     waiting = [(0, s, 0) for s in range(len(shares)) if shares[s]]  # release, source, block
     heapq.heapify(waiting)
-    ready, out = [], np.empty(total, np.int64)
+    ready, out = [], []
     for t in range(total):
         while waiting and waiting[0][0] <= t:
             _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * total // int(shares[s])), s, i))
+            heapq.heappush(ready, (-(-(i + 1) * total // shares[s]), s, i))
         due, s, i = heapq.heappop(ready)
         if due <= t:
             raise AssertionError("a deadline was missed")
-        out[t] = s
+        out.append(s)
+        if left is not None and i + 1 == left[s]:
+            break
         if i + 1 < shares[s]:
-            heapq.heappush(waiting, ((i + 1) * total // int(shares[s]), s, i + 1))
-    return out
+            heapq.heappush(waiting, ((i + 1) * total // shares[s], s, i + 1))
+    return np.array(out, np.int64)
 
 
 def plan(blocks, weights, grain=GRAIN):
-    """Phases of the schedule: (first slot, {source: (first block, blocks per cycle, slots of its blocks in a cycle)}, slots).
+    """Phases of the schedule: (first slot, slots, {source: (first block, number of its blocks, their slots in the phase)}).
 
     ``blocks``: number of blocks of each source.
     """
@@ -79,20 +86,13 @@ def plan(blocks, weights, grain=GRAIN):
     at, phases = 0, []
     while any(left):
         alive = [s for s in range(len(left)) if left[s]]
-        shares = rounded([weights[s] for s in alive], max(grain, len(alive)))
-        order = cycle(shares)
-        length = len(order)
-        whole = min(left[s] // int(q) for s, q in zip(alive, shares))  # cycles until the first source runs out
-        rest = {s: left[s] - whole * int(q) for s, q in zip(alive, shares)}
+        order = cycle(rounded([weights[s] for s in alive], max(grain, EXACT)), [left[s] for s in alive])
         slots = {s: np.flatnonzero(order == k) for k, s in enumerate(alive)}
-        # in the cycle that follows, the phase ends with the first slot after which some source has none left
-        end = min((int(slots[s][rest[s] - 1]) + 1 if rest[s] else 0) for s, q in zip(alive, shares) if rest[s] <= q)
-        phases.append((at, length, {s: (used[s], int(q), slots[s]) for s, q in zip(alive, shares)}))
-        for s, q in zip(alive, shares):
-            n = whole * int(q) + int(np.searchsorted(slots[s], end))
-            used[s] += n
-            left[s] -= n
-        at += whole * length + end
+        phases.append((at, len(order), {s: (used[s], len(slots[s]), slots[s]) for s in alive}))
+        for s in alive:
+            used[s] += len(slots[s])
+            left[s] -= len(slots[s])
+        at += len(order)
     return phases
 
 
@@ -135,10 +135,9 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", ke
             at = np.searchsorted([f for f, _ in firsts[k]], b, "right") - 1
             got = np.zeros(len(b), np.int64)
             for i in np.unique(at):
-                start, length, of = phases[firsts[k][i][1]]
-                first, share, places = of[k]
-                j = b[at == i] - first
-                got[at == i] = start + j // share * length + places[j % share]
+                start, _, of = phases[firsts[k][i][1]]
+                first, _, places = of[k]
+                got[at == i] = start + places[b[at == i] - first]
             out[own] = got
         return out
 

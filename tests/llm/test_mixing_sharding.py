@@ -53,6 +53,17 @@ def test_first_phase_deviates_by_less_than_a_block(documents):
         assert all(abs(had[s] - shares[s] / 1000 * (r.mix_pos + 1)) < 1 for s in names)
 
 
+def test_a_phase_follows_the_given_weights():
+    rows = np.array([1_000_000, *(int(110_000 * 0.93**i) for i in range(19))])
+    for weights, blocks in ((np.sqrt(rows), rows // 640), (np.array([100.0] + [1.0] * 99 + [0.5]), np.array([20_000] + [300] * 100))):
+        start, length, of = mixing.plan(blocks, weights)[0]
+        share = weights / weights.sum()
+        for s, (_, n, places) in of.items():
+            i = np.arange(n)
+            assert start == 0 and (i + 1 - share[s] * (places + 1) < 1).all() and (i - share[s] * (places + 1) > -1 - 1e-6).all()
+            assert abs(n - share[s] * length) < 1
+
+
 def test_matrix_sums():
     m = sharding.communication_matrix([5, 0, 100, 17], 7, 1)
     assert m.sum(1).tolist() == [5, 0, 100, 17] and m.min() >= 0
