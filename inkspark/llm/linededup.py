@@ -11,6 +11,12 @@ Chunks of at least ``MIN_LINES`` lines and one word are compared across the
 corpus: by hash and length first, and those that agree by their bytes.  Of equal
 chunks the first (by id, then place) stays and the others' lines are removed.
 
+With ``whole``, as in the registered query, the chunks are all windows of ``MIN_LINES``
+neighbouring lines in place of those between boundaries, so that every run of that many
+lines or more that stands at an earlier place, too, is found to its full length, wherever
+it begins and ends.  A window that overlaps its first occurrence in its own text is no
+copy of it.  Windows that touch make one run.
+
 Defined results: a null text stays null, an empty one empty; rows that repeat as
 a whole (id and text) count as one document and lose or keep the same lines; a
 text all of whose chunks are copies becomes empty.
@@ -18,7 +24,7 @@ text all of whose chunks are copies becomes empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -48,26 +54,49 @@ def _chunks(text):
     return bound(f"split({text}, '\\\\n')", f"lines -> transform({cut}, c -> struct(c.first AS first, c.last - c.first + 1 AS n, array_join(slice(lines, c.first + 1, c.last - c.first + 1), '\\n') AS chunk))")
 
 
-def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _windows(text):
+    """SQL: array of (first line, lines, text) of all ``MIN_LINES`` neighbouring lines of a text."""
+    part = f"array_join(slice(lines, i + 1, {MIN_LINES}), '\\n')"
+    return bound(f"split({text}, '\\n')", f"lines -> transform(slice(lines, 1, greatest(0, size(lines) - {MIN_LINES - 1})), (l, i) -> struct(i AS first, {MIN_LINES} AS n, {part} AS chunk))")
+
+
+def joined_runs(windows: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, first, n) with those that overlap or touch in one."""
+    inside = Window.partitionBy("doc_id", "text_hash").orderBy("first")
+    begins = F.coalesce(F.col("first") > F.lag(F.col("first") + F.col("n")).over(inside), F.lit(True))
+    runs = windows.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(inside))
+    end = F.max(F.col("first") + F.col("n"))
+    return runs.groupBy("doc_id", "text_hash", "run").agg(F.min("first").alias("start"), end.alias("end")).select("doc_id", "text_hash", F.col("start").alias("first"), (F.col("end") - F.col("start")).cast("int").alias("n"))
+
+
+def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """(doc_id, text_hash, first, n): runs of lines that repeat an earlier chunk of the corpus."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.expr(f"inline({_chunks('`' + text + '`')})"))
+    cut = _windows if whole else _chunks
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.expr(f"inline({cut('`' + text + '`')})"))
     own = own.where(f"n >= {MIN_LINES} AND chunk RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     own = own.withColumn("key", F.xxhash64("chunk")).withColumn("bytes", F.octet_length("chunk"))
     place = F.struct("doc_id", "text_hash", "first")
     groups = own.groupBy("key", "bytes").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where("keeper <> other").drop("other")
     met = stored(own.join(groups, ["key", "bytes"]), "chunks")  # chunks whose hash another has, with their text
     kept = met.where(F.col("keeper") == place).select("key", "bytes", F.col("chunk").alias("kept")).distinct()
+
+    def apart(first):
+        """Whether a chunk is another than the first of its text, and clear of it."""
+        same = F.col("doc_id").eqNullSafe(F.col(f"{first}.doc_id")) & (F.col("text_hash") == F.col(f"{first}.text_hash"))
+        return (F.col(first) != place) & ~(same & (F.col("first") < F.col(f"{first}.first") + F.col("n")))
+
     copies = met.where(F.col("keeper") != place).join(kept, ["key", "bytes"])
     # byte comparison; of chunks that only share the hash, each text's own first one stays
-    equal = copies.where("chunk = kept").select("doc_id", "text_hash", "first", "n")
+    equal = copies.where(F.col("chunk") == F.col("kept")).where(apart("keeper")).select("doc_id", "text_hash", "first", "n")
     odd = copies.where("chunk <> kept")
     own_first = odd.groupBy("chunk").agg(F.min(place).alias("own"))
-    return equal.unionByName(odd.join(own_first, "chunk").where(F.col("own") != place).select("doc_id", "text_hash", "first", "n"))
+    out = equal.unionByName(odd.join(own_first, "chunk").where(apart("own")).select("doc_id", "text_hash", "first", "n")).distinct()
+    return joined_runs(out) if whole else out
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeated chunks removed from ``text``, and ``n_lines``, ``n_removed_lines``, ``n_removed_chunks``."""
-    runs = repeated(docs, doc_id, text).distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "n")).alias("__runs"))  # of one document
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """``docs`` with repeated chunks, or whole repeated runs, removed from ``text``, and ``n_lines``, ``n_removed_lines``, ``n_removed_chunks``."""
+    runs = repeated(docs, doc_id, text, whole).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "n")).alias("__runs"))  # of one document
     runs = runs.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__runs")
     key = F.col("__id").eqNullSafe(F.col(doc_id)) & (F.col("__hash") == F.xxhash64(text))
     out = docs.join(runs, key, "left")

@@ -30,7 +30,7 @@ def op4_sharding(spark, sf_dir):
 
 
 def op1_line_dedup(spark, sf_dir):
-    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
 
 
 def op2_quality_rules(spark, sf_dir):

@@ -134,6 +134,16 @@ def test_line_dedup_of_real_documents(documents):
         assert r.text == want[r.doc_id, r.original]
 
 
+def test_whole_runs_of_lines_are_removed(spark):
+    short = [(1, "a 1\nrun 1\nrun 2\nb 1"), (2, "c 2\nrun 1\nrun 2\nd 2"), (3, "e 3\nrun 2\nf 3"), (4, "a 1\nrun 1\nrun 2\nb 1"), (5, "x\nx\nx\nx\nx"), (6, None), (7, ""), (8, "\n\n\n"), (9, "one")]
+    short += [(20, "\n".join(f"p {i}" for i in range(9))), (21, "q\n" + "\n".join(f"p {i}" for i in range(3, 8)) + "\nr")]
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(short, "doc_id long, text string"), whole=True).collect()}
+    want = dict(short) | {2: "c 2\nd 2", 4: "", 5: "x\nx", 21: "q\nr"}
+    # x x stays, and what follows it apart from it goes
+    assert {d: r.text for d, r in got.items()} == want
+    assert (got[2].n_removed_lines, got[21].n_removed_lines, got[21].n_removed_chunks, got[4].n_removed_lines) == (2, 5, 1, 4)
+
+
 def test_boundaries_resist_shifts():
     lines = [f"line {i * 7919 % 1000}" for i in range(200)]
     one = {tuple(c) for _, c in brute_chunks("\n".join(lines))}
