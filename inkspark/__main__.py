@@ -31,17 +31,50 @@ def session():
     return builder.getOrCreate()
 
 
-def outputs(found, args) -> dict:
-    """Output of each document, by the first of stats, json, layout and text that is asked for."""
+def outputs(found, args):
+    """(doc_id, output) by the first of stats, json, layout and text that is asked for."""
+    from pyspark.sql import functions as F
+
     if args.stats:
-        out = {}
-        for r in found.stats().collect():
-            rows = [f"file: {r.doc_id}", f"version: {r.version}", f"objects: {r.n_objects}", f"pages: {r.page_count}", f"processed: {r.processed}", f"characters: {r.chars}", f"pages with text: {r.pages_with_text}/{r.processed}"]
-            out[r.doc_id] = "\n".join(rows + (["no text: the file seems to be scanned"] if r.scanned else []))
-        return out
+        line = lambda name, *values: F.concat(F.lit(name + ": "), *(F.col(v).cast("string") if isinstance(v, str) else v for v in values))
+        rows = [line("file", "doc_id"), line("version", "version"), line("objects", "n_objects"), line("pages", "page_count"), line("processed", "processed"), line("characters", "chars"), line("pages with text", "pages_with_text", F.lit("/"), "processed")]
+        rows.append(F.when(F.col("scanned"), F.lit("no text: the file seems to be scanned")))
+        return found.stats().select("doc_id", F.concat_ws("\n", *rows).alias("output"))
     if args.json:
-        return {r.doc_id: r.json for r in found.json().collect()}
-    return {r.doc_id: r.text for r in (found.layouts("\n\f") if args.layout else found.texts("\f")).collect()}
+        return found.json().withColumnRenamed("json", "output")
+    return (found.layouts("\n\f") if args.layout else found.texts("\f")).withColumnRenamed("text", "output")
+
+
+def results(args, spark, there):
+    """(path, error, repaired, output) of each file in the order of the arguments; the driver holds some of them at a time."""
+    from pyspark.sql import functions as F
+
+    from .plans.extract import Extraction, read_files
+
+    uris = [(i, p, p if "://" in p else "file:" + os.path.abspath(p)) for i, p in enumerate(there)]
+    names = spark.createDataFrame(uris, "place int, path string, doc_id string")
+    files = read_files(spark, sorted({u for _, _, u in uris})).withColumn("doc_id", F.regexp_replace("doc_id", "^file:/+", "file:/"))
+    found = Extraction(files, pages=args.pages, keep=True)
+    docs = found.docs().select("doc_id", "error_class", "error_msg", "repaired")
+    both = names.join(docs, "doc_id", "left").join(outputs(found, args), "doc_id", "left").orderBy("place")
+    for r in both.toLocalIterator():
+        error = None if r.output is not None and not r.error_class else r.error_msg or "not read"
+        text = r.output if error is None else ""
+        yield r.path, error, r.repaired, text.replace(r.doc_id, r.path, 1) if args.stats or args.json else text
+
+
+def write_out(text: str, stream=None) -> None:
+    """``text`` to standard output; where its encoding lacks a character, as UTF-8, or with "?" if there are no bytes to write."""
+    stream = stream or sys.stdout
+    try:
+        stream.write(text)
+    except UnicodeEncodeError:
+        raw = getattr(stream, "buffer", None)
+        if raw is not None:
+            stream.flush()
+            raw.write(text.encode("utf-8", "replace"))
+        else:
+            stream.write(text.encode("ascii", "replace").decode("ascii"))
 
 
 def main(argv=None, spark=None) -> int:
@@ -50,40 +83,29 @@ def main(argv=None, spark=None) -> int:
     there = [p for p in args.files if "://" in p or os.path.isfile(p)]
     for p in sorted(set(args.files) - set(there)):
         note(f"{p}: not found")
-    parts = []
-    if there:
-        from pyspark.sql import functions as F
-
-        from .plans.extract import Extraction, read_files
-
-        spark = spark or session()
-        uris = {p: p if "://" in p else "file:" + os.path.abspath(p) for p in there}
-        files = read_files(spark, sorted(set(uris.values())))
-        found = Extraction(files.withColumn("doc_id", F.regexp_replace("doc_id", "^file:/+", "file:/")), pages=args.pages, keep=True)
-        docs = {r.doc_id: r for r in found.docs().collect()}
-        made = outputs(found, args)
-        for p in there:
-            r = docs.get(uris[p])
-            if r is None or r.error_class:
-                note(f"{p}: {r.error_msg if r else 'not read'}")
-                continue
-            if r.repaired:
-                note(f"{p}: its cross-references are damaged and were rebuilt")
-            parts.append(made[uris[p]].replace(uris[p], p) if args.stats or args.json else made[uris[p]])
-    text = ("\n" if args.json else "\n\n").join(parts)
-    if parts and not text.endswith("\n"):
-        text += "\n"
-    if args.output:
-        try:
-            with open(args.output, "w", encoding="utf-8", newline="\n") as f:
-                f.write(text)
-        except OSError as e:
-            note(f"{args.output}: {e}")
-            return 1
+    try:
+        out = open(args.output, "w", encoding="utf-8", newline="\n") if args.output else None
+    except OSError as e:
+        note(f"{args.output}: {e}")
+        return 1
+    put = out.write if out else write_out
+    done, last = 0, ""
+    for path, error, repaired, text in results(args, spark or session(), there) if there else ():
+        if error is not None:
+            note(f"{path}: {error}")
+            continue
+        if repaired:
+            note(f"{path}: its cross-references are damaged and were rebuilt")
+        if done:
+            put("\n" if args.json else "\n\n")
+        put(text)
+        done, last = done + 1, text
+    if done and not last.endswith("\n"):
+        put("\n")
+    if out:
+        out.close()
         note(f"written to {args.output}")
-    else:
-        sys.stdout.write(text)
-    return 1 if not parts else 0
+    return 1 if not done else 0
 
 
 if __name__ == "__main__":

@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.linework import LINE_MIN, LINE_RATIO, RECENT, SPACE_MIN, SPACE_RATIO
+
 PAGE = ["doc_id", "page_index"]
-LINE_RATIO, LINE_MIN = 0.35, 1.0
-SPACE_RATIO, SPACE_MIN = 0.28, 0.6
-RECENT = 11
 #: white space as Python's rstrip has it
 TRAILING = r"(?U)[\s\x1c-\x1f\x{85}]+$"
 

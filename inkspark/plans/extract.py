@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.geometry import page_geometry, page_spec
 from ..operators import glyphs as _glyphs
 from ..operators import layout as _layout
-from ..operators import pages as _pages
 from ..sources import kernel
 from .scratch import stored
 
-KEEP = ("doc", "page", "show", "font", "code")
+#: what ``keep`` stores in one pass; the rest is asked of the kernel when it is wanted
+KEPT = ("page", "run", "text", "line", "show", "font", "code")
 
 
 def read_files(spark: SparkSession, paths, **options) -> DataFrame:
@@ -24,33 +24,41 @@ def read_files(spark: SparkSession, paths, **options) -> DataFrame:
 class Extraction:
     """Tables of a DataFrame of files (doc_id, content).
 
+    Each table is one pass of the kernel over the files, and lines, texts and glyphs are made where the file is: no join
+    and no shuffle but by document where pages are put together.
+
     pages: a page spec such as "1-3,5"; only its pages are run.  strict_spec follows the PDF specification where the
     default keeps to customary results.  mode: PERMISSIVE reports a bad file in ``docs``, FAILFAST raises.  keep: write
-    the kernel's rows to the shared folder, so that several tables cost one pass over the files.
+    the kernel's rows to the shared folder, so that several tables cost one pass over the files; glyphs are then joined
+    and placed from the stored strings, fonts and codes.
     """
 
     def __init__(self, files: DataFrame, pages: str | None = None, strict_spec: bool = False, mode: str = "PERMISSIVE", keep: bool = False, max_decoded_bytes: int | None = None, line_tolerance_ratio: float = _layout.LINE_RATIO, line_tolerance_min: float = _layout.LINE_MIN, space_ratio: float = _layout.SPACE_RATIO, space_min: float = _layout.SPACE_MIN):
-        self.files, self.spec, self.strict, self.mode, self.keep, self.limit = files, pages, strict_spec, mode, keep, max_decoded_bytes
+        self.files, self.spec, self.strict, self.mode, self.keep, self.limit = files, pages or None, strict_spec, mode, keep, max_decoded_bytes
         self.line = {"line_ratio": line_tolerance_ratio, "line_min": line_tolerance_min}
         self.space = {"space_ratio": space_ratio, "space_min": space_min}
-        self._rows = None
-
-    def _kind(self, *kinds) -> DataFrame:
-        """Rows of some kinds; without ``keep`` the kernel is asked for no more than they need."""
-        if self.keep:
-            if self._rows is None:
-                self._rows = stored(self._run(kernel.ALL), "pdf")
-            rows = self._rows
-        else:
-            rows = self._run(kinds)
-        return rows
+        self._kept = None
+
+    def _rows(self, *want) -> DataFrame:
+        """The kernel's rows with what is wanted: the stored ones if they have it."""
+        if self.keep and set(want) <= set(KEPT):
+            if self._kept is None:
+                self._kept = stored(self._run(KEPT), "pdf")
+            return self._kept
+        return self._run(want)
 
     def _run(self, want):
-        listed = _first_pages(self.spec)
-        return kernel.run(self.files, want=want, pages=listed, strict=self.strict, mode=self.mode, limit=self.limit)
+        return kernel.run(self.files, want=want, pages=self.spec, strict=self.strict, mode=self.mode, limit=self.limit, options=self.line | self.space)
 
-    def _table(self, kind, *more) -> DataFrame:
-        return self._kind(kind, *more).where(F.col("kind") == kind).select("doc_id", f"{kind}.*")
+    def _table(self, kind, *want) -> DataFrame:
+        return self._rows(*want).where(F.col("kind") == kind).select("doc_id", f"{kind}.*")
+
+    def _order(self, page: str = "") -> Column:
+        """Place of a page among those that the spec picks."""
+        index = F.col(f"{page}page_index")
+        if self.spec is None:
+            return index
+        return (F.array_position(page_spec(F.lit(self.spec), F.col(f"{page}page_count")), index) - 1).cast("int")
 
     # ------------------------------------------------------------ tables
 
@@ -63,58 +71,44 @@ class Extraction:
         return merged_xref(self.xref_sections())
 
     def xref_sections(self) -> DataFrame:
-        return self._table("xref")
+        return self._table("xref", "xref")
 
     def page_nodes(self) -> DataFrame:
-        return self._table("node")
-
-    def _picked(self, rows: DataFrame) -> DataFrame:
-        """Rows of the pages that the spec picks, with ``order``."""
-        if self.spec is None or self.spec == "":
-            return rows.withColumn("order", F.col("page_index"))
-        picked = self.docs().where("error_class IS NULL").select("doc_id", F.posexplode(page_spec(F.lit(self.spec), F.col("page_count"))).alias("order", "page_index"))
-        return rows.join(picked, ["doc_id", "page_index"])
+        return self._table("node", "node")
 
     def pages(self) -> DataFrame:
         """A row for each page: page_index, page_no, width, height, rotation, ctm, error_msg, order."""
-        rows = self._picked(self._table("page", "show"))
         shape = page_geometry(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("rotate"))
-        return rows.withColumn("shape", shape).select("doc_id", "page_index", (F.col("page_index") + 1).alias("page_no"), "shape.*", "error_msg", "order")
+        rows = self._table("page", "run").withColumn("shape", shape)
+        return rows.select("doc_id", "page_index", (F.col("page_index") + 1).alias("page_no"), "shape.*", "error_msg", self._order().alias("order"))
 
     def contents(self) -> DataFrame:
         """(doc_id, page_index, content): decoded page content."""
         return self._table("page", "content").select("doc_id", "page_index", "content")
 
     def shows(self) -> DataFrame:
-        return self._table("show")
+        return self._table("show", "show")
 
     def fonts(self) -> DataFrame:
-        return self._table("font", "show")
+        return self._table("font", "font")
 
     def font_codes(self) -> DataFrame:
         """(doc_id, font_key, idx, code, text, width) of the codes that are used."""
-        return _glyphs.decoded_codes(self._table("code", "show"), self.fonts())
+        return _glyphs.decoded_codes(self._table("code", "code"), self.fonts())
 
     def glyphs(self, numbered: bool = True) -> DataFrame:
-        """A row for each positioned glyph; without ``numbered`` its ``seq`` only has the order."""
-        rows = self._kind("show")
-        of = lambda k: rows.where(F.col("kind") == k).select("doc_id", f"{k}.*")
-        found = _glyphs.glyphs(of("show"), of("code"), of("font"), rise=self.strict, numbered=numbered)
-        return found if self.spec in (None, "") else self._picked(found).drop("order")
+        """A row for each positioned glyph; without ``numbered`` its ``seq`` need only have the order."""
+        if not self.keep:
+            return self._table("glyph", "glyph")
+        return _glyphs.glyphs(self.shows(), self._table("code", "code"), self.fonts(), rise=self.strict, numbered=numbered)
 
     def lines(self) -> DataFrame:
-        """A row for each line: placed and laid out page by page, without a row for each glyph."""
-        rows = self._kind("show")
-        of = lambda k: rows.where(F.col("kind") == k).select("doc_id", f"{k}.*")
-        strings = _pages.strings(of("show"), _glyphs.font_arrays(of("code"), of("font")), rise=self.strict)
-        found = _pages.lines(strings, **self.line, **self.space)
-        return found if self.spec in (None, "") else self._picked(found).drop("order")
+        """A row for each line: (doc_id, page_index, line_no, y, x, end_x, size, fonts, n_chars, text), from the top down."""
+        return self._table("line", "line")
 
     def page_texts(self) -> DataFrame:
         """(doc_id, page_index, order, text, n_lines, n_chars) for every page, those without text, too."""
-        texts = _layout.page_texts(self.lines())
-        out = self.pages().select("doc_id", "page_index", "order").join(texts, ["doc_id", "page_index"], "left")
-        return out.fillna({"text": "", "n_lines": 0, "n_chars": 0})
+        return self._table("page", "text").select("doc_id", "page_index", self._order().alias("order"), F.coalesce("text", F.lit("")).alias("text"), "n_lines", "n_chars")
 
     def layout_texts(self) -> DataFrame:
         texts = _layout.layout_texts(self.glyphs(False), **self.line)
@@ -122,43 +116,48 @@ class Extraction:
 
     # ------------------------------------------------------------ outputs
 
+    def _documents(self, *of_pages, want=("text",)) -> DataFrame:
+        """A row for each good file: ``doc`` and aggregates of its pages, in one pass and one shuffle."""
+        rows = self._rows(*want).where("kind IN ('doc', 'page')")
+        return rows.groupBy("doc_id").agg(F.max("doc").alias("doc"), *of_pages).where("doc.version IS NOT NULL AND doc.error_class IS NULL")
+
     def texts(self, separator: str = "\n\f") -> DataFrame:
         """(doc_id, text): pages joined; a file without pages has an empty text."""
-        return self._whole(self.page_texts(), "text", separator)
+        page = F.when(F.col("kind") == "page", F.struct(self._order("page.").alias("o"), F.coalesce("page.text", F.lit("")).alias("t")))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(page)), lambda r: r["t"]), separator)
+        return self._documents(text.alias("text")).select("doc_id", "text")
 
     def layouts(self, separator: str = "\n\f") -> DataFrame:
-        return self._whole(self.layout_texts(), "layout", separator)
-
-    def _whole(self, pages, column, separator):
-        text = pages.groupBy("doc_id").agg(_layout.joined("order", column, separator).alias("text"))
+        text = self.layout_texts().groupBy("doc_id").agg(_layout.joined("order", "layout", separator).alias("text"))
         good = self.docs().where("error_class IS NULL").select("doc_id")
         return good.join(text, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def stats(self) -> DataFrame:
         """(doc_id, version, n_objects, page_count, processed, chars, pages_with_text, scanned) of each good file."""
-        counts = self.lines().groupBy("doc_id", "page_index").agg(F.sum("n_chars").alias("n"))
-        pages = self.pages().select("doc_id", "page_index").join(counts, ["doc_id", "page_index"], "left")
-        per = pages.groupBy("doc_id").agg(F.count("*").alias("processed"), F.coalesce(F.sum("n"), F.lit(0)).alias("chars"), F.count_if(F.col("n") > 0).alias("pages_with_text"))
-        docs = self.docs().where("error_class IS NULL").select("doc_id", "version", "n_objects", "page_count")
-        out = docs.join(per, "doc_id", "left").fillna(0, ["processed", "chars", "pages_with_text"])
+        n = F.col("page.n_chars")
+        out = self._documents(F.count("page").alias("processed"), F.coalesce(F.sum(n), F.lit(0)).alias("chars"), F.count_if(n > 0).alias("pages_with_text"))
+        out = out.select("doc_id", "doc.version", "doc.n_objects", "doc.page_count", "processed", "chars", "pages_with_text")
         return out.withColumn("scanned", (F.col("pages_with_text") == 0) & (F.col("processed") > 0))
 
     def json(self) -> DataFrame:
         """(doc_id, json): file, version, repaired and pages with size, rotation, glyph count, lines and text."""
-        lines = self.lines()
-        short = lambda c: F.bround(c, 2).alias(c)
-        of_page = lines.groupBy("doc_id", "page_index").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("line_no", short("y"), short("x"), short("size"), "text"))), lambda s: F.struct(s["y"].alias("y"), s["x"].alias("x"), s["size"].alias("size"), s["text"].alias("text"))).alias("lines"),
-            F.sum("n_chars").alias("chars"),
-            _layout.joined("line_no", "text", "\n").alias("text"),
+        short = lambda c, name: F.bround(c, 2).alias(name)
+        rows = self._rows("line", "text").where("kind IN ('doc', 'page', 'line')").repartition("doc_id")  # both groupings need no more
+        line = F.struct("line.line_no", short("line.y", "y"), short("line.x", "x"), short("line.size", "size"), "line.text")
+        of_page = rows.groupBy("doc_id", F.coalesce("page.page_index", "line.page_index").alias("n")).agg(
+            F.max("doc").alias("doc"),
+            F.max(F.when(F.col("kind") == "page", F.struct("page.page_index", "page.x0", "page.y0", "page.x1", "page.y1", "page.rotate", "page.page_count", "page.text", "page.n_chars"))).alias("page"),
+            F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "line", line))), lambda s: F.struct(s["y"].alias("y"), s["x"].alias("x"), s["size"].alias("size"), s["text"].alias("text"))).alias("lines"),
         )
-        none = F.array().cast("array<struct<y: double, x: double, size: double, text: string>>")
-        pages = self.pages().join(of_page, ["doc_id", "page_index"], "left")
-        page = F.struct("order", F.col("page_no").alias("page"), short("width"), short("height"), "rotation", F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("lines", none).alias("lines"), F.coalesce("text", F.lit("")).alias("text"))
-        listed = pages.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(page)), lambda p: p.dropFields("order")).alias("pages"))
-        docs = self.docs().where("error_class IS NULL").select("doc_id", "version", "repaired")
-        whole = docs.join(listed, "doc_id", "left")
-        return whole.select("doc_id", F.to_json(F.struct(F.col("doc_id").cast("string").alias("file"), "version", "repaired", F.coalesce("pages", F.array()).alias("pages"))).alias("json"))
+        shape = page_geometry(*(F.col(f"page.{c}") for c in ("x0", "y0", "x1", "y1", "rotate")))
+        shaped = of_page.withColumn("shape", shape)
+        page = F.struct(
+            self._order("page.").alias("order"), (F.col("n") + 1).alias("page"), short("shape.width", "width"), short("shape.height", "height"), F.col("shape.rotation").alias("rotation"),
+            F.col("page.n_chars").alias("chars"), "lines", F.coalesce("page.text", F.lit("")).alias("text"),
+        )
+        listed = shaped.groupBy("doc_id").agg(F.max("doc").alias("doc"), F.transform(F.array_sort(F.collect_list(F.when(F.col("page").isNotNull(), page))), lambda p: p.dropFields("order")).alias("pages"))
+        good = listed.where("doc.version IS NOT NULL AND doc.error_class IS NULL")
+        return good.select("doc_id", F.to_json(F.struct(F.col("doc_id").cast("string").alias("file"), "doc.version", "doc.repaired", "pages")).alias("json"))
 
     def create_views(self, prefix: str = "pdf_") -> None:
         """Temporary views of the main tables, for SQL."""
@@ -166,26 +165,6 @@ class Extraction:
             getattr(self, name)().createOrReplaceTempView(prefix + name)
 
 
-def _first_pages(spec: str | None):
-    """Page indices that a spec can pick whatever the page count, if it has no open end: the kernel runs no others."""
-    if not spec:
-        return None
-    out = set()
-    for chunk in spec.replace(" ", "").split(","):
-        lo, dash, hi = chunk.partition("-")
-        if not dash:
-            if lo.lstrip("+").isdigit():
-                out.add(int(lo) - 1)
-        elif lo.isdigit() and hi.isdigit():
-            a, b = sorted((int(lo), int(hi)))
-            if b - a > 100_000:
-                return None
-            out.update(range(a - 1, b))
-        elif "-" not in hi and (lo == "" or lo.isdigit()) and (hi == "" or hi.isdigit()):
-            return None
-    return out
-
-
 def merged_xref(sections: DataFrame, keys=("doc_id", "num")) -> DataFrame:
     """One entry a number: that of the newest section."""
     entry = [c for c in sections.columns if c not in (*keys, "section")]

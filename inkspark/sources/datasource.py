@@ -1,7 +1,7 @@
 """``spark.read.format("pdf")``: tables of PDF files as a data source, and table functions over bytes.
 
-Options: ``path`` (a file, folder or list separated by commas, in any store that pyarrow knows), ``table`` (docs,
-pages, shows, fonts or xref), ``strict``, ``mode``, ``pushdown``.  With ``pushdown`` filters on ``page_index`` reach the
+Options: ``path`` (a file, folder or list separated by commas, in any store that pyarrow knows; ``plans.extract.read_files``
+reads from stores that only Spark knows), ``table`` (docs, pages, lines, glyphs, shows, fonts or xref), ``strict``, ``mode``, ``pushdown``.  With ``pushdown`` filters on ``page_index`` reach the
 reader, which runs only the pages asked for; Spark wants spark.sql.python.filterPushdown.enabled for that.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql.functions import udtf
 from . import kernel
 from .syntax import tokenize
 
-TABLES = {"docs": "doc", "pages": "page", "shows": "show", "fonts": "font", "xref": "xref"}
+TABLES = {"docs": "doc", "pages": "page", "lines": "line", "glyphs": "glyph", "shows": "show", "fonts": "font", "xref": "xref"}
 
 
 class PdfSource(DataSource):
@@ -71,13 +71,18 @@ class PdfReader(DataSourceReader):
         with store.open_input_file(path) as f:
             data = f.read()
         try:
-            for kind, values in kernel.rows(data, {self.kind, "show"} if self.kind == "font" else {self.kind}, self.pages, self.options.get("strict", "").lower() == "true"):
-                if kind == self.kind:
+            for kind, values in kernel.rows(data, {self.kind, "run"} if self.kind == "page" else {self.kind}, self.pages, self.options.get("strict", "").lower() == "true"):
+                if kind != self.kind:
+                    continue
+                if kind in kernel.COLUMNS:
+                    for row in zip(*(v.tolist() if hasattr(v, "tolist") else v for v in values)):
+                        yield (partition.uri, *row)
+                else:
                     yield (partition.uri, *values)
         except Exception as e:
             if self.options.get("mode", "PERMISSIVE").upper() == "FAILFAST":
                 raise
-            if self.kind == "doc":
+            if self.kind == "doc":  # nothing else of it has come, as its row is the last
                 yield (partition.uri, *(None,) * 6, type(e).__name__, str(e))
 
 
@@ -114,7 +119,7 @@ class PdfPages:
                     pages.append(v)
         except Exception:
             return
-        for index, x0, y0, x1, y1, rotate, error, _ in pages:
+        for index, x0, y0, x1, y1, rotate, error, *_ in pages:
             w, h, turn, _ = kernel.geometry(None if x0 is None else (x0, y0, x1, y1), rotate)
             yield index, w, h, turn, shows.get(index, 0), error
 

@@ -38,6 +38,7 @@ class Document:
         m = re.search(rb"%PDF-([\s\S]{0,4})", self.data[:1024])
         self.version = m[1].decode("latin-1").strip() if m else "1.4"
         self.loaded, self.busy, self.packed = {}, set(), {}
+        self.scopes = {}  # by resource dictionary: the keys of its fonts, and the dictionary, which so keeps its identity
         self.repaired = False
         self.sections: list[tuple] = []  # (num, type, a, b, section): every entry as found
         try:
@@ -327,19 +328,19 @@ class Document:
         return n if whole(n) else None
 
     def content(self, page):
-        """A page's content streams, joined by line breaks; those that cannot be decoded are left out."""
+        """(a page's content streams, joined by line breaks; why some are left out, or None)."""
         contents = page.get("Contents")
         if self.strict:
             contents = self.resolve(contents)
-        parts = []
+        parts, error = [], None
         for c in contents if isinstance(contents, list) else [contents]:
             c = self.resolve(c)
             if isinstance(c, Stream):
                 try:
                     parts.append(self.decoded(c))
-                except codecs.FilterError:
-                    pass
-        return b"\n".join(parts)
+                except codecs.FilterError as e:
+                    error = f"a content stream is left out: {e}"
+        return b"\n".join(parts), error
 
     def box(self, page):
         """(x0, y0, x1, y1) of the media box as given, or None."""
@@ -552,34 +553,40 @@ class Content:
     """Runs one page's content; ``shows`` gets a row for each shown string and each kerning number in between.
 
     A row: (run, data or None, kern, font key, font name, size, tc, tw, tz, rise, base matrix, ctm, color, mode).
+    ``place``: name of the page, by which fonts that stand directly in its resources are told apart.
     """
 
-    def __init__(self, doc: Document, fonts: dict):
-        self.doc, self.fonts = doc, fonts
-        self.shows, self.runs, self.scopes, self.error = [], 0, {}, None
+    def __init__(self, doc: Document, fonts: dict, place: str = ""):
+        self.doc, self.fonts, self.place = doc, fonts, place
+        self.shows, self.runs, self.error = [], 0, None
 
     def new_run(self):
         self.runs += 1
         return self.runs
 
-    def font_keys(self, resources):
-        """Font key of each font name of a resource dictionary; the fonts go to ``fonts`` once for each document."""
-        if id(resources) not in self.scopes:
+    def font_keys(self, resources, place):
+        """Font key of each font name of a resource dictionary; the fonts go to ``fonts`` once for each document.
+
+        A key is the font's object number, or the place at which its dictionary is met first, so that every pass over the
+        file names it alike.
+        """
+        scopes = self.doc.scopes
+        if id(resources) not in scopes:
             found, keys = self.doc.resolve(resources.get("Font")) if isinstance(resources, dict) else None, {}
             for name, value in found.items() if isinstance(found, dict) else ():
-                key = f"{value.num} {name}" if isinstance(value, Ref) else f"{id(found)} {name}"
+                key = f"{value.num} {name}" if isinstance(value, Ref) else f"{place} {name}"
                 if key not in self.fonts:
                     try:
                         self.fonts[key] = read_font(self.doc, value, str(name))
                     except Exception:
                         self.fonts[key] = Font(str(name))
                 keys[str(name)] = key
-            self.scopes[id(resources)] = (keys, resources)
-        return self.scopes[id(resources)][0]
+            scopes[id(resources)] = (keys, resources)
+        return scopes[id(resources)][0]
 
-    def run(self, data, resources, ctm, depth=0, state=None):
-        resources = self.doc.resolve(resources)
-        fonts = self.font_keys(resources)
+    def run(self, data, resources, ctm, depth=0, state=None, place=None):
+        resources, place = self.doc.resolve(resources), self.place if place is None else place
+        fonts = self.font_keys(resources, place)
         if state is None:
             state = State(ctm, self.new_run())
         else:  # a form that inherits its caller's state
@@ -604,7 +611,7 @@ class Content:
                 handler = OPERATORS.get(bytes(value))
                 if handler:
                     try:
-                        state = handler(self, state, operands, stack, fonts, resources, depth) or state
+                        state = handler(self, state, operands, stack, fonts, resources, depth, place) or state
                     except (ValueError, TypeError, OverflowError, AttributeError, RecursionError):
                         pass
             operands = []
@@ -738,7 +745,7 @@ def _quotes(c, s, o, stack, fonts, *_):
         _quote(c, s, o, stack, fonts)
 
 
-def _Do(c, s, o, stack, fonts, resources, depth):
+def _Do(c, s, o, stack, fonts, resources, depth, place):
     if depth >= MAX_FORMS or not o or not isinstance(resources, dict):
         return
     forms = c.doc.resolve(resources.get("XObject"))
@@ -752,7 +759,7 @@ def _Do(c, s, o, stack, fonts, resources, depth):
     except codecs.FilterError:
         return
     own = c.doc.resolve(form.dict.get("Resources")) or resources
-    c.run(data, own, times(matrix, s.ctm), depth + 1, s if c.doc.strict else None)
+    c.run(data, own, times(matrix, s.ctm), depth + 1, s if c.doc.strict else None, f"{place}/{o[-1]}")
 
 
 OPERATORS = {

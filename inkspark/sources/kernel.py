@@ -4,11 +4,16 @@ A row holds the document's id, its kind and the struct of that kind.  A file tha
 cannot be read becomes a ``doc`` row with an error; a page that breaks off keeps
 what was shown before.  Files are handled one at a time, so a task holds one file
 and some megabytes of rows.
+
+Kinds are made only if they are asked for.  Lines, page texts and glyphs come
+from a page's strings where these are (``linework``); strings, fonts and codes are
+there for plans that join them.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -16,19 +21,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import linework
 from .document import Content, Document
+from .linework import plain
 
 MATRIX = "struct<a: double, b: double, c: double, d: double, e: double, f: double>"
 KINDS = {
     "doc": "struct<version: string, n_objects: bigint, page_count: bigint, declared_count: bigint, leaf_count: bigint, repaired: boolean, error_class: string, error_msg: string>",
     "xref": "struct<num: bigint, typ: int, a: bigint, b: bigint, section: bigint>",
     "node": "struct<path: array<int>, kind: string, leaf: boolean>",
-    "page": f"struct<page_index: int, x0: double, y0: double, x1: double, y1: double, rotate: bigint, error_msg: string, content: binary>",
+    "page": "struct<page_index: int, x0: double, y0: double, x1: double, y1: double, rotate: bigint, error_msg: string, content: binary, page_count: bigint, text: string, n_lines: bigint, n_chars: bigint>",
+    "line": "struct<page_index: int, line_no: int, y: double, x: double, end_x: double, size: double, fonts: array<string>, n_chars: bigint, text: string>",
+    "glyph": "struct<page_index: int, seq: bigint, code: int, text: string, x: double, y: double, size: double, adv_x: double, adv_y: double, font: string, r: double, g: double, b: double, render_mode: int>",
     "show": f"struct<page_index: int, seq: bigint, run_id: bigint, data: binary, codes: array<int>, kern: double, font_key: string, font_name: string, font_size: double, tc: double, tw: double, tz: double, rise: double, tm: {MATRIX}, ctm: {MATRIX}, r: double, g: double, b: double, render_mode: int>",
     "font": "struct<font_key: string, font_name: string, subtype: string, base_font: string, is_cid: boolean, code_bytes: int, default_width: double, encoding: string>",
     "code": "struct<font_key: string, idx: int, code: int, uni: string, diff: string, width: double>",
 }
-ALL = tuple(KINDS)
+#: kinds whose rows come as columns of a page's rows
+COLUMNS = ("line", "glyph")
+#: what needs content to be run: kinds, and "text" (text and counts of page rows) and "run" (their errors)
+SHOWN = frozenset(("show", "font", "code", "line", "glyph", "text", "run"))
 UNDEFINED = ""
 
 
@@ -49,53 +61,107 @@ def geometry(box, rotate):
     return w, h, 0, (1.0, 0.0, 0.0, 1.0, -x0, -y0)
 
 
-def _text(s):
-    """Text without surrogates, which neither Arrow nor Spark can hold."""
-    return None if s is None else "".join(c for c in s if not 0xD800 <= ord(c) < 0xE000)
+SPAN = re.compile(r"([0-9]*)-([0-9]*)")
+ONE = re.compile(r"\+?([0-9]+)")
+
+
+def picked(spec: str, total: int) -> frozenset:
+    """Page indices that a spec picks of ``total`` pages; ``functions.geometry.page_spec`` has them in order."""
+    out = set()
+    for chunk in spec.replace(" ", "").split(","):
+        if m := SPAN.fullmatch(chunk):
+            a, b = int(m[1] or 1), int(m[2] or total)
+            if max(a, b) < 1 << 31:
+                out.update(range(max(1, min(a, b)) - 1, min(total, max(a, b))))
+        elif (m := ONE.fullmatch(chunk)) and 1 <= int(m[1]) <= total:
+            out.add(int(m[1]) - 1)
+    return frozenset(out)
+
 
+def rows(data: bytes, want=frozenset(("show", "page", "xref", "node")), pages=None, strict=False, limit=None, options=None):
+    """(kind, tuple of the kind's fields) of one document; of lines and glyphs a tuple of columns for each page.
 
-def rows(data: bytes, want=ALL, pages=None, strict=False, limit=None):
-    """(kind, tuple of the kind's fields) of one document; ``pages``: page indices to run, None for all."""
+    pages: a page spec or page indices to run, None for all; options: line and space tolerances.  The document's own row comes last,
+    when nothing can go wrong any more.
+    """
     doc = Document(data, strict, **({"limit": limit} if limit else {}))
     leaves = doc.pages()
     declared = doc.declared_count()
     count = declared if declared is not None and not strict else len(leaves)
-    yield "doc", (doc.version, len(doc.xref), count, declared, len(leaves), doc.repaired, None, None)
+    if isinstance(pages, str):
+        pages = picked(pages, max(0, count))
     if "xref" in want:
         yield from (("xref", e) for e in doc.sections)
     if "node" in want:
         yield from (("node", (list(path), str(n.get("Type", "")), leaf)) for n, path, leaf in doc.tree())
-    fonts, used = {}, {}
+    fonts, used, known = {}, {}, {}
+    shown = not SHOWN.isdisjoint(want)
+    strings = not {"show", "font", "code"}.isdisjoint(want)
+    placed = not {"line", "glyph", "text"}.isdisjoint(want)
     for i, page in enumerate(leaves[: max(0, count)]):
         if pages is not None and i not in pages:
             continue
-        box, rotate, error, data = doc.box(page), doc.rotation(page), None, b""
-        if "show" in want or "page" in want:
-            data = doc.content(page)
-        if "show" in want and data:
-            content = Content(doc, fonts)
-            try:
-                content.run(data, page.get("Resources"), geometry(box, rotate)[3])
-            except RecursionError:
-                content.error = "nested too deeply"
-            error = content.error
-            for seq, (run, text, kern, key, name, size, tc, tw, tz, rise, tm, ctm, color, mode) in enumerate(content.shows):
-                codes = None
-                if text is not None:
-                    font = fonts.get(key)
-                    own = used.setdefault(key or UNDEFINED, {})
-                    codes = [own.setdefault(c, len(own)) for c in (font.codes(text) if font else text)]
-                yield "show", (i, seq, run, text, codes, kern, key or UNDEFINED, _text(name), size, tc, tw, tz, rise, tm, ctm, *color, mode)
-        yield "page", (i, *(box or (None,) * 4), rotate, error, data if "content" in want else None)
-    for key, font in fonts.items():
-        yield "font", (key, _text(font.name), _text(font.subtype), _text(font.base_font), font.is_cid, font.code_bytes, font.default_width, font.encoding)
-    for key, own in used.items():
-        font = fonts.get(key)
-        for code, idx in own.items():
-            if font is None:
-                yield "code", (key, idx, code, None, None, 0.0)
-            else:
-                yield "code", (key, idx, code, _text(font.unicode.get(code)), _text(font.differences.get(code)), font.widths.get(code, font.default_width))
+        box, rotate, error, data, text, n_lines, n_chars = doc.box(page), doc.rotation(page), None, b"", None, 0, 0
+        try:
+            if shown or "content" in want:
+                data, error = doc.content(page)
+            if shown:
+                content = Content(doc, fonts, f"p{i}")
+                try:
+                    if data:
+                        content.run(data, page.get("Resources"), geometry(box, rotate)[3])
+                except RecursionError:
+                    content.error = "nested too deeply"
+                error = content.error or error
+                if strings:
+                    yield from _strings(i, content.shows, fonts, used)
+                if placed:
+                    glyphs = linework.place(content.shows, fonts, known, strict)
+                    if "glyph" in want and len(glyphs):
+                        yield "glyph", _glyphs(i, glyphs)
+                    if "line" in want or "text" in want:
+                        lines = linework.page_lines(glyphs, options or {})
+                        if lines is not None:
+                            n_lines, n_chars = len(lines), len(glyphs)
+                            if "line" in want:
+                                yield "line", (np.full(n_lines, i, np.int32), np.arange(n_lines, dtype=np.int32), lines.y, lines.x, lines.end_x, lines.size, lines.fonts, lines.n_chars, lines.text)
+                        text = "\n".join(lines.text) if lines is not None else ""
+        except Exception as e:  # one page's; the others go on
+            error = f"{type(e).__name__}: {e}"
+        yield "page", (i, *(box or (None,) * 4), rotate, plain(error), data if "content" in want else None, count, text, n_lines, n_chars)
+    if strings:
+        for key, font in fonts.items():
+            yield "font", (key, plain(font.name), plain(font.subtype), plain(font.base_font), font.is_cid, font.code_bytes, font.default_width, font.encoding)
+        for key, own in used.items():
+            font = fonts.get(key)
+            for code, idx in own.items():
+                if font is None:
+                    yield "code", (key, idx, code, None, None, 0.0)
+                else:
+                    yield "code", (key, idx, code, plain(font.unicode.get(code)), plain(font.differences.get(code)), font.widths.get(code, font.default_width))
+    yield "doc", (doc.version, len(doc.xref), count, declared, len(leaves), doc.repaired, None, None)
+
+
+def _strings(i, shows, fonts, used):
+    for seq, (run, text, kern, key, name, size, tc, tw, tz, rise, tm, ctm, color, mode) in enumerate(shows):
+        codes = None
+        if text is not None:
+            font = fonts.get(key)
+            own = used.setdefault(key or UNDEFINED, {})
+            codes = [own.setdefault(c, len(own)) for c in (font.codes(text) if font else text)]
+        yield "show", (i, seq, run, text, codes, kern, key or UNDEFINED, plain(name), size, tc, tw, tz, rise, tm, ctm, *color, mode)
+
+
+def _glyphs(i, g):
+    """Columns of a page's glyphs, in the order in which they are shown."""
+    by = slice(None) if (g.row[1:] >= g.row[:-1]).all() else np.lexsort((g.at, g.row))
+    row = g.row[by]
+    texts = g.text()
+    texts = texts if isinstance(by, slice) else [texts[k] for k in by.tolist()]
+    names = [plain(s[4]) for s in g.shows]
+    color = np.array([s[12] for s in g.shows], float).reshape(-1, 3)[row]
+    mode = np.array([s[13] for s in g.shows], np.int64)[row]
+    return (np.full(len(row), i, np.int32), np.arange(1, len(row) + 1), g.code[by].astype(np.int32), texts, g.x[by], g.y[by], g.size[by], g.adv_x[by], g.adv_y[by], [names[k] for k in row.tolist()], *color.T, mode.astype(np.int32))
 
 
 def _column(values, kind):
@@ -112,19 +178,27 @@ def _column(values, kind):
     return pa.array(values, kind)
 
 
-def run(df: DataFrame, content: str = "content", doc_id: str = "doc_id", want=ALL, pages=None, strict=False, mode="PERMISSIVE", limit=None, batch_bytes=4_000_000) -> DataFrame:
+def _joined(parts, kind):
+    """Arrow array of one field of several pages' columns."""
+    if isinstance(parts[0], np.ndarray):
+        return pa.array(np.concatenate(parts), kind)
+    return pa.array(list(itertools.chain.from_iterable(parts)), kind)
+
+
+def run(df: DataFrame, content: str = "content", doc_id: str = "doc_id", want=(), pages=None, strict=False, mode="PERMISSIVE", limit=None, options=None, batch_bytes=4_000_000) -> DataFrame:
     """(doc_id, kind, one struct column for each kind) of a DataFrame of files.
 
-    mode FAILFAST raises on the first file that cannot be read, as Spark's readers do.
+    want: kinds besides ``doc`` and ``page``, and what ``SHOWN`` and "content" name.  mode FAILFAST raises on the first
+    file that cannot be read, as Spark's readers do.
     """
-    kinds = [k for k in KINDS if k in ("doc", "font", "code") or k in want or k == "page"]
+    kinds = [k for k in KINDS if k in ("doc", "page") or k in want]
     id_type = df.schema[doc_id].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("kind", T.StringType())])
     for k in kinds:
         schema = schema.add(k, T.DataType.fromDDL(KINDS[k]))
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    wanted, picked = frozenset(want), None if pages is None else frozenset(pages)
+    wanted, asked = frozenset(want), pages if pages is None or isinstance(pages, str) else frozenset(pages)
     arrow = to_arrow_schema(schema)
 
     def tables(held):
@@ -133,10 +207,20 @@ def run(df: DataFrame, content: str = "content", doc_id: str = "doc_id", want=AL
             if rows_:
                 ids, structs = zip(*rows_)
                 kind = arrow.field(k).type
-                own = pa.StructArray.from_arrays([_column(v, f.type) for v, f in zip(zip(*structs), kind)], fields=list(kind))
+                if k in COLUMNS:
+                    ids = list(itertools.chain.from_iterable(itertools.repeat(i, len(s[0])) for i, s in rows_))
+                    own = [_joined(v, f.type) for v, f in zip(zip(*structs), kind)]
+                else:
+                    own = [_column(v, f.type) for v, f in zip(zip(*structs), kind)]
+                own = pa.StructArray.from_arrays(own, fields=list(kind))
                 rest = [own if other == k else pa.nulls(len(ids), arrow.field(other).type) for other in kinds]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, arrow.field(0).type), pa.array([k] * len(ids), pa.string()), *rest], schema=arrow)
 
+    def weight(kind, values):
+        if kind == "show":
+            return 300 + 4 * len(values[4] or ())
+        return 200 + 120 * len(values[0]) if kind in COLUMNS else 200 + (len(values[7] or b"") + len(values[9] or "") if kind == "page" else 0)
+
     def kernel(batches):
         held, size = {k: [] for k in kinds}, 0
         for batch in batches:
@@ -144,10 +228,10 @@ def run(df: DataFrame, content: str = "content", doc_id: str = "doc_id", want=AL
                 doc, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 before = {k: len(v) for k, v in held.items()}
                 try:
-                    for kind, values in rows(data or b"", wanted, picked, strict, limit):
+                    for kind, values in rows(data or b"", wanted, asked, strict, limit, options):
                         if kind in held:
                             held[kind].append((doc, values))
-                            size += 300 + 4 * len(values[4] or ()) if kind == "show" else 200
+                            size += weight(kind, values)
                             if size > 4 * batch_bytes:  # a large document's rows leave in parts
                                 yield from tables(held)
                                 held, size = {k: [] for k in kinds}, 0
@@ -157,7 +241,7 @@ def run(df: DataFrame, content: str = "content", doc_id: str = "doc_id", want=AL
                         raise
                     for k, n in before.items():  # of a document that fails nothing but the error
                         del held[k][n:]
-                    held["doc"].append((doc, (None,) * 6 + (type(e).__name__, _text(str(e)))))
+                    held["doc"].append((doc, (None,) * 6 + (type(e).__name__, plain(str(e)))))
                 if size > batch_bytes:
                     yield from tables(held)
                     held, size = {k: [] for k in kinds}, 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
 
@@ -72,6 +73,42 @@ class File:
         return bytes(out)
 
 
+    def updated(self, root, new):
+        """The file with a cross-reference table, and behind it a section that replaces the objects ``new``."""
+        out = bytearray(self.table(root))
+        before = int(re.findall(rb"startxref\n(\d+)", out)[-1])
+        at = {}
+        for num, body in sorted(new.items()):
+            at[num] = len(out)
+            out += b"%d 0 obj\n" % num + body + b"\nendobj\n"
+        start = len(out)
+        out += b"xref\n" + b"".join(b"%d 1\n%010d 00000 n \n" % (num, place) for num, place in at.items())
+        out += b"trailer\n<< /Size %d /Root %d 0 R /Prev %d >>\nstartxref\n%d\n%%%%EOF\n" % (max(self.objects) + 1, root, before, start)
+        return bytes(out)
+
+    def hybrid(self, root, packed):
+        """The file with a table that has all but the objects ``packed``; these are in an object stream that the trailer's XRefStm tells of."""
+        holder, head, body = max(self.objects) + 1, [], b""
+        for num in packed:
+            head.append(f"{num} {len(body)}")
+            body += self.objects[num] + b" "
+        first = " ".join(head).encode() + b" "
+        self.stream(first + body, f"/Type /ObjStm /N {len(packed)} /First {len(first)}", holder, True)
+        out = bytearray(b"%PDF-1.5\n")
+        at = self._bodies(out, b"\n", set(packed))
+        own = holder + 1
+        table = b"".join(bytes([2]) + holder.to_bytes(4, "big") + packed.index(n).to_bytes(2, "big") if n in packed else bytes(7) for n in range(own))
+        self.stream(table, f"/Type /XRef /W [1 4 2] /Size {own}", own, True)
+        hidden = len(out)
+        out += b"%d 0 obj\n" % own + self.objects.pop(own) + b"\nendobj\n"
+        start = len(out)
+        out += b"xref\n0 %d\n0000000000 65535 f \n" % own
+        for num in range(1, own):
+            out += b"%010d 00000 n \n" % at[num] if num in at else b"0000000000 00000 f \n"
+        out += f"trailer\n<< /Size {own} /Root {root} 0 R /XRefStm {hidden} >>\nstartxref\n{start}\n%%EOF\n".encode()
+        return bytes(out)
+
+
 def escape(text: bytes) -> bytes:
     return re.sub(rb"([()\\\r])", lambda m: b"\\r" if m[1] == b"\r" else b"\\" + m[1], text)
 
@@ -110,6 +147,87 @@ def cid_content(rows):
     return b"\n".join([*out, b"ET"])
 
 
+def encoded(row: str) -> bytes:
+    return row.encode("cp1252", "replace")
+
+
+def row_at(i):
+    """(x, y) of a page's row."""
+    return LEFT, TOP - i * LEADING
+
+
+def saved_content(rows):
+    """Rows in saved and restored states: each other one in two nested translations, the next with none left of them."""
+    out = []
+    for i, row in enumerate(rows):
+        x, y = row_at(i)
+        if i % 2:
+            out.append(b"BT /F1 %g Tf %g %g Td (%s) Tj ET" % (SIZE, x, y, escape(encoded(row))))
+        else:
+            out.append(b"q 1 0 0 1 5 7 cm q 2 0 0 2 0 0 cm BT /F1 %g Tf %g %g Td (%s) Tj ET Q Q" % (SIZE / 2, (x - 5) / 2, (y - 7) / 2, escape(encoded(row))))
+    return b"\n".join(out)
+
+
+def matrix_content(rows):
+    """Rows placed and scaled by text matrices."""
+    return b"\n".join(b"BT /F1 %g Tf 2 0 0 2 %g %g Tm (%s) Tj ET" % (SIZE / 2, *row_at(i), escape(encoded(row))) for i, row in enumerate(rows))
+
+
+def moved_content(rows):
+    """Rows that follow each other by TD, which sets the leading, and T*."""
+    out = [b"BT /F1 %g Tf %g %g Td" % (SIZE, LEFT, TOP + LEADING)]
+    out += [(b"0 %g TD (%s) Tj" % (-LEADING, escape(encoded(row)))) if i % 3 == 0 else b"T* (%s) Tj" % escape(encoded(row)) for i, row in enumerate(rows)]
+    return b"\n".join([*out, b"ET"])
+
+
+def quoted_content(rows):
+    """Rows shown by the quote operators; the second one sets spacings, here to nothing."""
+    out = [b"BT /F1 %g Tf %g TL 3 Tw 2 Tc %g %g Td 0 Tw 0 Tc" % (SIZE, LEADING, LEFT, TOP + LEADING)]
+    out += [(b"(%s) '" if i % 2 else b'0 0 (%s) "') % escape(encoded(row)) for i, row in enumerate(rows)]
+    return b"\n".join([*out, b"ET"])
+
+
+def inline_content(rows):
+    """Rows with inline images between them, whose data look like operators."""
+    image = b"BI /W 2 /H 2 /BPC 8 /CS /G /F [/AHx] ID BT (no text) Tj ET >\nEI\n"
+    return image.join(b"BT /F1 %g Tf %g %g Td (%s) Tj ET\n" % (SIZE, *row_at(i), escape(encoded(row))) for i, row in enumerate(rows))
+
+
+def octal_content(rows):
+    """Rows as strings of octal escapes, a line break in the middle of each that counts for nothing."""
+    octal = lambda raw: b"".join(b"\\%03o" % c for c in raw)
+    out = []
+    for i, row in enumerate(rows):
+        raw = encoded(row)
+        out.append(b"BT /F1 %g Tf %g %g Td (%s\\\n%s) Tj ET" % (SIZE, *row_at(i), octal(raw[: len(raw) // 2]), octal(raw[len(raw) // 2 :])))
+    return b"\n".join(out)
+
+
+def shifted_content(rows):
+    """Rows whose codes are their bytes and one more; the font's map takes it back."""
+    return b"\n".join(b"BT /F1 %g Tf %g %g Td <%s> Tj ET" % (SIZE, *row_at(i), bytes((c + 1) % 256 for c in encoded(row)).hex().encode()) for i, row in enumerate(rows))
+
+
+def named_fonts(rows):
+    """(two fonts whose codes 1, 2, ... are the rows' characters by name, up and down; content that takes turns with them)."""
+    chars = sorted({c for row in rows for c in encoded(row).decode("cp1252", "replace")}) or ["x"]
+    name = lambda c: c if c.isascii() and c.isalpha() else f"uni{ord(c):04X}"
+    fonts, out = [], []
+    for order in (chars, chars[::-1]):
+        names = " ".join(f"/{name(c)}" for c in order)
+        fonts.append(simple_font(first=1, widths=[500] * len(order), encoding=f"<< /Type /Encoding /Differences [1 {names}] >>"))
+    for i, row in enumerate(rows):
+        codes = {c: k for k, c in enumerate(chars[::-1] if i % 2 else chars, 1)}
+        out.append(b"BT /F%d %g Tf %g %g Td <%s> Tj ET" % (1 + i % 2, SIZE, *row_at(i), bytes(codes[c] for c in encoded(row).decode("cp1252", "replace")).hex().encode()))
+    return fonts, b"\n".join(out)
+
+
+def tiff_rows(data: bytes, columns: int) -> bytes:
+    """Rows of ``columns`` bytes as differences to the byte on their left; the last row is filled up with blanks."""
+    data = data.ljust(-(-len(data) // columns) * columns)
+    return b"".join(bytes((b - a) & 255 for a, b in zip(b"\0" + data[i : i + columns - 1], data[i : i + columns])) for i in range(0, len(data), columns))
+
+
 def to_unicode_map(chars="", ranges=(), arrays=()):
     """A ToUnicode map of (code, text) pairs, (first, last, base) ranges and (first, last, texts) ranges."""
     code = lambda n: f"<{n:04X}>"
@@ -188,12 +306,72 @@ def predict(data: bytes, columns: int, kind: int) -> bytes:
     return b"".join(out)
 
 
+#: how the content of a style's pages is written, if not as ``page_content``
+CONTENT = {"cid": cid_content, "widths": cid_content, "spaced": spaced_content, "saved": saved_content, "matrices": matrix_content, "moves": moved_content, "quotes": quoted_content, "inline": inline_content, "octal": octal_content, "one_byte": shifted_content}
+#: kids of an intermediate node, at most
+FAN_OUT = 3
+
+
+def style_font(f, style):
+    """The font of a style as it stands in resources."""
+    if style == "direct":
+        return simple_font()
+    if style == "cid":
+        return f"{cid_font(f, to_unicode_map(ranges=[(0, 0xFFFF, 0)]))} 0 R"
+    if style == "widths":
+        return f"{cid_font(f, to_unicode_map(ranges=[(0, 0xFFFF, 0)]), w='0 [500 500] 2 40 500 41 [500] 42 65535 500', dw=1000)} 0 R"
+    if style == "one_byte":
+        back = [f"<{(c + 1) % 256:02X}> <{ord(bytes([c]).decode('cp1252', 'replace')):04X}>" for c in range(256)]
+        cmap = "begincodespacerange <00> <FF> endcodespacerange beginbfchar\n" + "\n".join(back) + "\nendbfchar"
+        return f"{f.add(simple_font(first=0, widths=[500] * 256, more=f'/ToUnicode {f.stream(cmap.encode(), compress=True)} 0 R'))} 0 R"
+    return f"{f.add(simple_font())} 0 R"
+
+
+def page_stream(f, page, style):
+    """Entries of a page's dictionary for its content and, where a style has its own, its resources."""
+    data = CONTENT.get(style, page_content)(page)
+    if style == "form":
+        return data, None
+    if style == "parts":  # an array of streams, cut between two rows
+        cut = data.find(b"\n", len(data) // 2) if b"\n" in data[len(data) // 2 :] else len(data)
+        return f"/Contents [{f.stream(data[:cut], compress=True)} 0 R {f.stream(data[cut:])} 0 R]", None
+    if style == "tiff":
+        return f"/Contents {f.stream(zlib.compress(tiff_rows(data, 40)), '/Filter [/FlateDecode] /DecodeParms [<< /Predictor 2 /Colors 1 /BitsPerComponent 8 /Columns 40 >>]')} 0 R", None
+    if style == "predicted":
+        rows = predict(data.ljust(-(-len(data) // 50) * 50), 50, 4)
+        return f"/Contents {f.stream(zlib.compress(rows), '/Filter /FlateDecode /DecodeParms << /Predictor 15 /Columns 50 >>')} 0 R", None
+    if style == "filters":
+        coded = base64.a85encode(lzw_encode(data)) + b"~>"
+        return f"/Contents {f.stream(coded, '/Filter [/ASCII85Decode /LZWDecode]')} 0 R", None
+    if style == "differences":
+        fonts, data = named_fonts(page)
+        return f"/Contents {f.stream(data, compress=True)} 0 R", f"<< /Font << {' '.join(f'/F{i} {f.add(x)} 0 R' for i, x in enumerate(fonts, 1))} >> >>"
+    return f"/Contents {f.stream(data, compress=True)} 0 R", None
+
+
+def page_tree(f, tree, kids, inherited):
+    """Intermediate nodes of at most ``FAN_OUT`` kids each below the node ``tree``; what pages inherit stands at the top."""
+    level = [(k, 1) for k in kids]
+    while len(level) > FAN_OUT:
+        above = []
+        for i in range(0, len(level), FAN_OUT):
+            part = level[i : i + FAN_OUT]
+            n = sum(c for _, c in part)
+            above.append((f.add(f"<< /Type /Pages /Count {n} /Kids [{' '.join(f'{k} 0 R' for k, _ in part)}] >>"), n))
+        level = above
+    f.add(f"<< /Type /Pages /Count {len(kids)} /Kids [{' '.join(f'{k} 0 R' for k, _ in level)}] {inherited} >>", tree)
+
+
 def render(text: str, style: str = "table") -> bytes:
     """A document of a text's wrapped lines, 60 a page.
 
-    style: table, crlf, cr, stream (cross-reference stream), packed (object stream), damaged (wrong startxref),
-    form (the text stands in a form moved by 10, -20), spaced (see ``spaced_content``), cid (two-byte codes),
-    encrypted and broken (no document at all).
+    style, by what differs from a plain file with a cross-reference table.  The file: crlf, cr, stream (cross-reference
+    stream), packed (object stream), hybrid (both kinds of cross-references), updated (every page's content is replaced
+    by an appended section), damaged (wrong startxref), repacked (object stream and wrong startxref), tree (nested page
+    tree with inherited entries), encrypted and broken (no document at all).  The streams: parts, tiff, predicted, filters.
+    The fonts: direct (in the resources), differences (two fonts of glyph names), cid (two-byte codes), widths (/W),
+    one_byte (a map of single bytes).  The content: form (the text stands in a form moved by 10, -20), spaced, saved,
+    matrices, moves, quotes, inline, octal (see the functions of these names).
     """
     if style == "broken":
         return b"no document " + (text or "").encode()
@@ -201,21 +379,34 @@ def render(text: str, style: str = "table") -> bytes:
     pages = [rows[i : i + ROWS] for i in range(0, len(rows), ROWS)] or [[]]
     f = File()
     catalog, tree = f.add("<< /Type /Catalog /Pages 2 0 R >>"), f.add("")
-    font = cid_font(f, to_unicode_map(ranges=[(0, 0xFFFF, 0)])) if style == "cid" else f.add(simple_font())
-    write, kids = {"cid": cid_content, "spaced": spaced_content}.get(style, page_content), []
+    font = style_font(f, style)
+    box, resources = "/MediaBox [0 0 612 792]", f"<< /Font << /F1 {font} >> >>"
+    kids, contents = [], []
     for page in pages:
-        resources = f"<< /Font << /F1 {font} 0 R >> >>"
+        entry, own = page_stream(f, page, style)
         if style == "form":
-            form = f.stream(page_content(page), f"/Type /XObject /Subtype /Form /Matrix [1 0 0 1 10 -20] /Resources {resources}", compress=True)
-            content, resources = f.stream(b"q /X1 Do Q"), f"<< /XObject << /X1 {form} 0 R >> >>"
-        else:
-            content = f.stream(write(page), compress=True)
-        kids.append(f.add(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents {content} 0 R /Resources {resources} >>"))
-    f.add(f"<< /Type /Pages /Count {len(kids)} /Kids [{' '.join(f'{k} 0 R' for k in kids)}] >>", tree)
+            form = f.stream(entry, f"/Type /XObject /Subtype /Form /Matrix [1 0 0 1 10 -20] /Resources {resources}", compress=True)
+            entry, own = f"/Contents {f.stream(b'q /X1 Do Q')} 0 R", f"<< /XObject << /X1 {form} 0 R >> >>"
+        contents.append(max(f.objects))
+        more = "" if style == "tree" else f"{box} /Resources {own or resources}"
+        kids.append(f.add(f"<< /Type /Page /Parent 2 0 R {entry} {more} >>"))
+    if style == "tree":
+        page_tree(f, tree, kids, f"{box} /Resources {resources}")
+    else:
+        f.add(f"<< /Type /Pages /Count {len(kids)} /Kids [{' '.join(f'{k} 0 R' for k in kids)}] >>", tree)
     if style == "packed":
-        return f.cross_stream(catalog, packed=[catalog, tree, font, *kids])
+        return f.cross_stream(catalog, packed=[catalog, tree, *([int(font.split()[0])]), *kids])
+    if style == "repacked":
+        return re.sub(rb"startxref\n\d+", b"startxref\n999999", f.cross_stream(catalog, packed=[tree, *([int(font.split()[0])]), *kids]))
+    if style == "hybrid":
+        return f.hybrid(catalog, packed=[tree, int(font.split()[0]), *kids])
     if style == "stream":
         return f.cross_stream(catalog)
+    if style == "updated":
+        new = {n: f.objects[n] for n in contents}
+        for n in contents:
+            f.stream(b"BT /F1 12 Tf 36 760 Td (an older text) Tj ET", num=n)
+        return f.updated(catalog, new)
     data = f.table(catalog, {"crlf": b"\r\n", "cr": b"\r"}.get(style, b"\n"), "/Encrypt << /Filter /Standard >>" if style == "encrypted" else "")
     if style == "damaged":
         data = re.sub(rb"startxref\n\d+", b"startxref\n999999", data)

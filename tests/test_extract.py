@@ -9,9 +9,9 @@ from pdfs import one_page
 from pyspark.sql import functions as F
 
 from inkspark.operators import layout
-from inkspark.operators.pages import page_lines
 from inkspark.plans.extract import Extraction, document_page, extract, extract_pages, extract_text
-from inkspark.sources import writer
+from inkspark.sources import kernel, writer
+from inkspark.sources.linework import lines_of, rounded
 from inkspark.sources.writer import File, cid_font, render, simple_font, to_unicode_map
 
 POSITIONS = {
@@ -172,9 +172,14 @@ def test_modes(spark):
 
 def test_only_what_is_wanted_is_computed(spark):
     df = writer.render_pdfs(spark.createDataFrame([(1, "text")], "doc_id long, text string"))
-    assert [c for c in Extraction(df)._kind("doc").columns] == ["doc_id", "kind", "doc", "page", "font", "code"]
-    plan = Extraction(df).glyphs()._jdf.queryExecution().toString()
-    assert "BroadcastHashJoin" in plan and plan.count("CartesianProduct") == 0
+    assert Extraction(df)._rows().columns == ["doc_id", "kind", "doc", "page"]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for table in ("lines", "glyphs", "page_texts", "pages", "docs"):  # one pass, nothing shuffled
+        p = plan(getattr(Extraction(df), table)())
+        assert p.count("MapInArrow") == 2 and "Exchange" not in p and "Join" not in p  # one writes the files
+    assert plan(Extraction(df).texts()).count("Exchange hashpartitioning") == 1
+    joined = plan(Extraction(df, keep=True).glyphs())
+    assert "BroadcastHashJoin" in joined and "CartesianProduct" not in joined
 
 
 # ---------------------------------------------------------------- layout against the rules, restated
@@ -250,20 +255,70 @@ def test_lines_follow_the_rules(random_pages):
     assert got == {p: restated_lines(g) for p, g in pages.items() if g}
 
 
-def test_lines_of_whole_pages_follow_the_rules(random_pages):
+@pytest.mark.parametrize("points", [False, True])
+def test_lines_of_whole_pages_follow_the_rules(random_pages, points):
     pages, _ = random_pages
     for glyphs in pages.values():
+        if points:  # a character a glyph, as code points
+            glyphs = [g | {"text": g["text"][:1]} for g in glyphs]
         if glyphs:
             col = lambda c: np.array([g[c] for g in glyphs], float)
-            rows = list(page_lines([g["text"] for g in glyphs], col("x"), col("y"), col("size"), col("adv_x"), col("seq").astype(int), [g["font"] for g in glyphs], 0.35, 1.0, 0.28, 0.6))
-            assert [(r[1], r[6], r[7]) for r in rows] == restated_lines(glyphs) and [r[0] for r in rows] == list(range(len(rows)))
+            text = [g["text"] for g in glyphs]
+            names = sorted({g["font"] for g in glyphs})
+            font = np.array([names.index(g["font"]) for g in glyphs])
+            got = lines_of(None if points else text, np.array([ord(t[0]) for t in text]), col("x"), col("y"), col("size"), col("adv_x"), col("seq").astype(int), font, names)
+            assert list(zip(got.y.tolist(), got.n_chars.tolist(), got.text)) == restated_lines(glyphs)
 
 
-def test_both_ways_to_lines_agree(placed, spark):
-    more = spark.createDataFrame([("text", bytearray(render("one two\n\nthree  four é"))), ("form", bytearray(render("in a form", "form"))), ("spaced", bytearray(render("a spaced text", "spaced")))], "doc_id string, content binary")
-    x = Extraction(placed[0].unionByName(more), keep=True)
+def test_rounding_is_that_of_the_language():
+    values = [2.675, 1.005, 0.125, 0.135, -2.675, 1e6 + 0.005, 36.0, 0.1 + 0.2, 1.115, 1e-9]
+    assert rounded(np.array(values)).tolist() == [round(v, 2) for v in values]
+
+
+def direct_fonts(n):
+    """Pages whose font dictionaries stand directly in their resources, two of one name and different widths."""
+    f = File()
+    f.add("<< /Type /Catalog /Pages 2 0 R >>")
+    f.add(f"<< /Type /Pages /Count {n} /Kids [{' '.join(f'{10 + i} 0 R' for i in range(n))}] >>")
+    for i in range(n):
+        f.stream(f"BT /F1 10 Tf 10 {100 + i} Td (AB{i}) Tj ET /X Do".encode(), num=50 + i)
+        f.stream(b"BT /F1 10 Tf 10 50 Td (in form) Tj ET", f"/Subtype /Form /Resources << /Font << /F1 {simple_font(widths=[300] * 224)} >> >>", num=90 + i)
+        f.add(f"<< /Type /Page /MediaBox [0 0 612 792] /Contents {50 + i} 0 R /Resources << /Font << /F1 {simple_font(widths=[400 + 100 * i] * 224)} >> /XObject << /X {90 + i} 0 R >> >> >>", 10 + i)
+    return f.table(1)
+
+
+def test_both_ways_to_glyphs_and_lines_agree(placed, spark):
+    styles = ("table", "form", "spaced", "cid", "direct", "saved", "matrices", "moves", "quotes", "inline", "differences", "widths", "one_byte")
+    more = [("style " + s, bytearray(render("one two\n\nthree  four é\nfive", s))) for s in styles] + [("own fonts", bytearray(direct_fonts(3)))]
+    files = placed[0].unionByName(spark.createDataFrame(more, "doc_id string, content binary"))
+    kept, direct = Extraction(files, keep=True), Extraction(files)
     rounded = lambda df: sorted(str((r.doc_id, r.page_index, r.line_no, round(r.y, 6), round(r.x, 6), round(r.end_x, 6), r.size, r.fonts, r.n_chars, r.text)) for r in df.collect())
-    assert rounded(x.lines()) == rounded(layout.lines(x.glyphs()))
+    lines = rounded(direct.lines())
+    assert rounded(kept.lines()) == lines == rounded(layout.lines(kept.glyphs())) and sum("own fonts" in x for x in lines) == 6
+    every = lambda df: sorted(str(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in df.collect())
+    assert every(kept.glyphs()) == every(direct.glyphs())
+    assert direct.font_codes().where("doc_id = 'own fonts' AND text = ''").count() == 0
+    assert every(kept.contents()) == every(direct.contents()) and direct.contents().where("length(content) > 0").count() > 30
+    for table in ("texts", "stats", "json", "page_texts", "layouts"):
+        assert every(getattr(kept, table)()) == every(getattr(direct, table)())
+
+
+@pytest.mark.parametrize("spec", ["", " ", "2", "1-3,5", "5-2,1", "9,2,2,x,1", "-", "1-2-3,4", "3-", "-2", "+1", "99999999999", "1-99999999999", ",", "0", "a-b"])
+def test_page_specs_are_one(spark, spec):
+    from inkspark.functions.geometry import page_spec
+
+    got = spark.range(1).select(page_spec(F.lit(spec), F.lit(4)).alias("p")).first().p
+    assert spec == "" or kernel.picked(spec, 4) == set(got)
+
+
+def test_a_page_says_what_is_left_out(spark):
+    f = File()
+    f.add("<< /Type /Catalog /Pages 2 0 R >>")
+    f.add("<< /Type /Pages /Count 1 /Kids [3 0 R] >>")
+    f.add("<< /Type /Page /Contents 4 0 R >>")
+    f.stream(b"x" * 5000, compress=True, num=4)
+    x = Extraction(spark.createDataFrame([(1, bytearray(f.table(1)))], "doc_id int, content binary"), max_decoded_bytes=1000)
+    assert "exceeds 1000 bytes" in x.pages().first().error_msg and x.docs().first().error_class is None
 
 
 def test_layout_follows_the_rules(random_pages):

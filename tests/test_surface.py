@@ -35,7 +35,7 @@ def test_data_source(spark, folder):
     read = lambda table, **o: spark.read.format("pdf").options(table=table, **o).load(str(folder))
     docs = {r.doc_id.rsplit("/", 1)[1]: r for r in read("docs").collect()}
     assert docs["bad.pdf"].error_class == "DocumentError" and docs["b.pdf"].page_count == 2
-    assert read("pages").count() == 4 and read("shows").where("page_index = 1").count() == 40 and read("fonts").first().base_font == "Helvetica"
+    assert read("pages").count() == 3 + 1 and read("lines").count() == 102 and read("glyphs").where("text = 'H'").count() == 1 and read("shows").where("page_index = 1").count() == 40 and read("fonts").first().base_font == "Helvetica"
     assert read("xref").where("typ = 1").count() == 5 + 7 + 5
     with pytest.raises(Exception, match="DocumentError"):
         read("docs", mode="FAILFAST").collect()
@@ -96,6 +96,26 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert len(out.splitlines()) == 2 and '"text":"Hello World"' in out
 
 
+def test_standard_output_of_a_narrow_encoding():
+    import io
+
+    raw = io.BytesIO()
+    narrow = io.TextIOWrapper(raw, encoding="ascii")
+    cli.write_out("é中\n", narrow)
+    assert raw.getvalue().decode() == "é中\n"
+
+    class NoBytes(io.StringIO):
+        buffer = None
+
+        def write(self, text):
+            text.encode("ascii")
+            return super().write(text)
+
+    stream = NoBytes()
+    cli.write_out("é\n", stream)
+    assert stream.getvalue() == "?\n"
+
+
 def test_arguments():
     with pytest.raises(SystemExit):
         cli.main([])
