@@ -42,5 +42,58 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver give back what finished jobs have left: garbage, by which Spark's cleaner also learns which shuffle
+    files and broadcasts can go, and memory that the JVM's native allocator holds for threads that are done.
+
+    For the ends of long chains of jobs: without it files stay on the executors' disks, and memory with the driver, until
+    the driver happens to run short itself.
+    """
+    spark.sparkContext._jvm.System.gc()
+    trim_native_heap(spark)
+
+
+def trim_native_heap(spark: SparkSession) -> bool:
+    """The JVM's command of this name, by its management interface; False where the JVM has none."""
+    from py4j.protocol import Py4JJavaError
+
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    of = jvm.java.lang.Class.forName
+    kinds, given = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = of(kind)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        of("javax.management.MBeanServerConnection").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JJavaError:
+        return False
+    return True
+
+
+def trimmed(run):
+    """``run`` for mapInArrow, whose worker gives its free memory back when its task ends; workers serve many tasks, of other operators, too."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Free memory of this Python process to the system: Arrow's pool, and the C allocator's where it is glibc."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

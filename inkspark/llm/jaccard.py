@@ -39,15 +39,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import BROADCAST_ROWS, release, small, stored, trimmed
 from .components import components
 from .textkernel import U, chunks, column, hashes, mix, shingles, signed, words
 
 RATIO = 1.3
 STAR_ROUNDS = 2
+#: rounds by which labels spread along a star round's links
+STAR_STEPS = 2
+#: parts in which a class of equal sets is searched for its smallest id
+CLASS_PARTS = 64
 #: bits of a bit sketch for each shingle by which two sets of that size may differ, at least; and longs of the coarse one, at most
 SKETCH_BITS = 8
 COARSE = 16
@@ -183,8 +187,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b) with ``similar``: whether any of a's sets and any of b's are similar, on whole sets."""
     one = sets.select(F.col("v").alias("a"), F.col("shingles").alias("s"))
     two = sets.select(F.col("v").alias("b"), F.col("shingles").alias("t"))
-    asked = small(pairs)  # few: their sets need not be shuffled to find them
-    both = asked.join(one, "a").join(two.join(small(pairs.select("b").distinct()), "b", "left_semi"), "b")
+    few = pairs.count() <= BROADCAST_ROWS  # their sets need not be shuffled to find them
+    of_b = pairs.select("b").distinct()
+    both = (F.broadcast(pairs) if few else pairs).join(one, "a").join(two.join(F.broadcast(of_b) if few else of_b, "b", "left_semi"), "b")
     shared = F.size(F.array_intersect("s", "t")).cast("long")
     return both.groupBy("a", "b").agg(F.max(100 * shared >= percent * (F.size("s") + F.size("t") - shared)).alias("similar"))
 
@@ -217,46 +222,52 @@ def _allowed(percent, sketch):
     return ALLOWED.format(p=percent, x=x, y=y, half_x=_half(x), half_y=_half(y))
 
 
-def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """``labels`` (v, component) after the links ``found`` (a, b) between their vertices."""
-    one, two = labels.toDF("a", "x"), labels.toDF("b", "y")
-    between = found.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b")
-    between = stored(between.distinct(), "between")
-    if not between.head(1):
-        return labels
-    merged = components(between).toDF("component", "into")
-    return stored(labels.join(merged, "component", "left").select("v", F.coalesce("into", "component").alias("component")), "labels")
+def copies_of(known: DataFrame) -> DataFrame:
+    """(a, b): links from each document of ``known`` (doc_id, size, d1, d2) to one of a smaller id with an equal set, if there is one.
+
+    Of a class of equal sets each of ``CLASS_PARTS`` parts finds its smallest id, and these find the class's, so that no
+    class meets in one task.
+    """
+    same = ["size", "d1", "d2"]
+    of_part = Window.partitionBy(*same, F.pmod(F.xxhash64("doc_id"), F.lit(CLASS_PARTS)))
+    parts = known.select("doc_id", *same, F.min("doc_id").over(of_part).alias("first"))
+    inner = parts.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    firsts = parts.where("doc_id = first").select("doc_id", *same).distinct()  # at most CLASS_PARTS of a class
+    firsts = firsts.select(F.col("doc_id").alias("a"), F.min("doc_id").over(Window.partitionBy(*same)).alias("b")).where("a <> b")
+    return inner.unionByName(firsts).distinct()
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text): all pairs of similarity >= percent linked."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed_docs = stored(docs.mapInArrow(_sign(k), "doc_id long, size long, d1 long, d2 long"), "signatures")
+    signed_docs = stored(docs.mapInArrow(trimmed(_sign(k)), "doc_id long, size long, d1 long, d2 long"), "signatures")
     known = signed_docs.where("doc_id IS NOT NULL AND size > 0")
-    classes = known.groupBy("size", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    member = stored(known.join(classes.where("n > 1").drop("n"), ["size", "d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct(), "copies")
+    member = stored(copies_of(known), "copies")
     several = known.groupBy("doc_id").count().where("count > 1").select("doc_id")  # ids with more than one set send all
     copies = stored(member.select(F.col("a").alias("doc_id")).distinct().join(several, "doc_id", "left_anti"), "copies")
 
     # the sketches: of one document for each class of equal sets
     single = docs.where("doc_id IS NOT NULL").join(small(copies), "doc_id", "left_anti")
-    lanes = single.mapInArrow(_lanes(k, percent), "lane long, v long")
+    lanes = single.mapInArrow(trimmed(_lanes(k, percent)), "lane long, v long")
     met = lanes.groupBy("lane").count().where("count > 1").select("lane")
     shared = stored(lanes.join(met, "lane"), "lanes")
     meeting = stored(shared.select("v").distinct(), "meeting")
-    links = stored(member.unionByName(_similar(docs, shared, meeting, k, percent)) if meeting.head(1) else member, "links")
+    release(docs.sparkSession)
+    links, labels = _similar(docs, shared, meeting, k, percent) if meeting.head(1) else (None, None)
+    links = member if links is None else member.unionByName(links)
 
     out = signed_docs.select("doc_id", F.col("size").alias("n_shingles"))
     if not links.head(1):
         return out.withColumn("component_id", F.col("doc_id"))
-    final = components(links)
+    final = components(links, start=labels)
+    release(docs.sparkSession)
     return out.join(final, out.doc_id == final.v, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def _similar(docs, shared, meeting, k, percent):
-    """Links (a, b) that connect, of the vertices ``meeting`` in the lanes ``shared``, all that are connected by similar pairs."""
+    """Links (a, b) that connect, of the vertices ``meeting`` in the lanes ``shared``, all that are connected by similar pairs, and labels by some of them."""
     wanted = meeting.withColumnRenamed("v", "doc_id")
-    sets = stored(docs.join(small(wanted), "doc_id", "left_semi").mapInArrow(_whole_sets(k, percent), SETS), "sets")
+    sets = stored(docs.join(small(wanted), "doc_id", "left_semi").mapInArrow(trimmed(_whole_sets(k, percent)), SETS), "sets")
     labels = meeting.withColumn("component", F.col("v"))
     tried, links = [], []
     for turn in range(STAR_ROUNDS + 1):
@@ -278,6 +289,7 @@ def _similar(docs, shared, meeting, k, percent):
         result = stored(verified(pairs, sets, percent), "verified")
         tried.append(result.select("a", "b"))
         links.append(result.where("similar").select("a", "b"))
-        if turn < STAR_ROUNDS:
-            labels = joined(labels, links[-1])
-    return reduce(DataFrame.unionByName, links)
+        if turn < STAR_ROUNDS:  # those that are connected by now need not all have one label
+            labels = components(links[-1], STAR_STEPS, labels)
+        release(docs.sparkSession)
+    return reduce(DataFrame.unionByName, links), labels
