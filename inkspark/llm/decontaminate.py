@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import trimmed
 from .textkernel import ALNUM, U, chunks, column, hashes, words
 
 WINDOW = 10
@@ -193,7 +194,7 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
         last = b == blocks - 1
         held = [*keep] if last else [*keep, "__text"]
         fields = T.StructType([*plain.fields, *([] if last else [T.StructField("__text", T.StringType())]), *found_fields])
-        out = out.mapInArrow(_matcher(vocabulary, windows, owner, ids, slop, held, b > 0), fields)
+        out = out.mapInArrow(trimmed(_matcher(vocabulary, windows, owner, ids, slop, held, b > 0)), fields)
     return out
 
 

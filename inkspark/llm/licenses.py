@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from .textkernel import ALNUM, U, chunks, column, hashes, mix, shingles, words
 
 K = 5
@@ -158,4 +159,4 @@ def scan(docs: DataFrame, templates: dict | None = None, doc_id: str = "doc_id",
                     )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(run), f"doc_id {kind}, {SCHEMA}")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import scratch, stored, trimmed
 from .fileblocks import write
 from .textkernel import U, chunks, column, mix, powers
 
@@ -347,7 +347,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, order: st
 
     keys = [order, F.xxhash64("text")] if order != "text" else [order]
     dealt = docs.select("doc_id", "text", *([order] if order != "doc_id" else [])).repartitionByRange(files, *keys).sortWithinPartitions(*keys, "text")
-    return dealt.select("doc_id", "text").mapInArrow(run, FILES)
+    return dealt.select("doc_id", "text").mapInArrow(trimmed(run), FILES)
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -365,7 +365,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 names = [c.split()[0] for c in DECODED.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
-    return files.repartition(max(1, files.count()), "part").mapInArrow(run, DECODED)
+    return files.repartition(max(1, files.count()), "part").mapInArrow(trimmed(run), DECODED)
 
 
 def token_files(docs: DataFrame, path: str | None = None, order: str = "doc_id", folder: str | None = None) -> DataFrame:

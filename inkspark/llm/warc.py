@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import scratch, stored, trimmed
 from .fileblocks import write
 
 MIN_REVISIT = 1000
@@ -246,7 +246,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         if held:
             yield flush()
 
-    return rows.select("page_id", "url", "html", "refers_to").mapInArrow(run, WRITTEN)
+    return rows.select("page_id", "url", "html", "refers_to").mapInArrow(trimmed(run), WRITTEN)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return archives.repartition(max(1, archives.count()), "uri").mapInArrow(run, READ)
+    return archives.repartition(max(1, archives.count()), "uri").mapInArrow(trimmed(run), READ)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:

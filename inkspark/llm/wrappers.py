@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, trimmed
 
 MAX_BROADCAST = 32_000_000
 #: nodes beside each other in a wrapper, and contents of a kind that are told apart
@@ -601,7 +601,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
     schema = "host string, path long, region long, content long, page long, kind long, wrapper string, contents array<long>"
     names = [c.split()[0] for c in schema.split(", ")]
     own = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> '' AND html <> ''")
-    return own.mapInArrow(read, schema)
+    return own.mapInArrow(trimmed(read), schema)
 
 
 def learn_wrappers(pages: DataFrame) -> DataFrame:
@@ -651,7 +651,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 texts.append(extract(html.as_py(), known.get(raw)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(trimmed(run), schema)
 
 
 def read_wrappers(raw):
