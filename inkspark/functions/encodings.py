@@ -11,18 +11,33 @@ PUNCTUATION_NAMES = (
 )
 BRACKET_NAMES = "bracketleft backslash bracketright asciicircum underscore grave"
 BRACE_NAMES = "braceleft bar braceright asciitilde"
-OTHER_NAMES = (
-    "quoteright ’ quoteleft ‘ quotedblleft “ quotedblright ” quotesinglbase ‚ quotedblbase „ endash – emdash — ellipsis … bullet • "
-    "dagger † daggerdbl ‡ periodcentered · perthousand ‰ guillemotleft « guillemotright » guilsinglleft ‹ guilsinglright › "
-    "fi ﬁ fl ﬂ ff ﬀ ffi ﬃ ffl ﬄ fraction ⁄ minus − degree ° sterling £ yen ¥ cent ¢ section § paragraph ¶ copyright © registered ® "
-    "trademark ™ Euro € AE Æ ae æ OE Œ oe œ Oslash Ø oslash ø Lslash Ł lslash ł germandbls ß dotlessi ı "
-    "arrowleft ← arrowup ↑ arrowright → arrowdown ↓ arrowboth ↔ arrowdblleft ⇐ arrowdblright ⇒ lessequal ≤ greaterequal ≥ notequal ≠ "
-    "infinity ∞ partialdiff ∂ summation ∑ product ∏ radical √ integral ∫ approxequal ≈ element ∈ logicalnot ¬ "
-    "alpha α beta β gamma γ delta δ epsilon ε theta θ lambda λ mu μ pi π sigma σ phi φ omega ω Delta Δ Sigma Σ Omega Ω Pi Π"
-)
-# StandardEncoding from 0xA1 on, "." for a code without character.
-STANDARD_A1 = "¡¢£⁄¥ƒ§¤'“«‹›ﬁﬂ.–†‡·.¶•‚„”»…‰.¿.`´ˆ˜¯˘˙¨.˚¸.˝˛ˇ—"
-STANDARD_E1 = "Æ.ª....ŁØŒº.....æ...ı..łøœß"
+OTHER_NAMES = {
+    "cent": "¢", "sterling": "£", "yen": "¥", "section": "§", "copyright": "©", "guillemotleft": "«",
+    "logicalnot": "¬", "registered": "®", "degree": "°", "paragraph": "¶", "periodcentered": "·", "guillemotright": "»",
+    "AE": "Æ", "Oslash": "Ø", "germandbls": "ß", "ae": "æ", "oslash": "ø", "dotlessi": "ı",
+    "Lslash": "Ł", "lslash": "ł", "OE": "Œ", "oe": "œ", "Delta": "Δ", "Pi": "Π",
+    "Sigma": "Σ", "Omega": "Ω", "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ",
+    "epsilon": "ε", "theta": "θ", "lambda": "λ", "mu": "μ", "pi": "π", "sigma": "σ",
+    "phi": "φ", "omega": "ω", "endash": "–", "emdash": "—", "quoteleft": "‘", "quoteright": "’",
+    "quotesinglbase": "‚", "quotedblleft": "“", "quotedblright": "”", "quotedblbase": "„", "dagger": "†", "daggerdbl": "‡",
+    "bullet": "•", "ellipsis": "…", "perthousand": "‰", "guilsinglleft": "‹", "guilsinglright": "›", "fraction": "⁄",
+    "Euro": "€", "trademark": "™", "arrowleft": "←", "arrowup": "↑", "arrowright": "→", "arrowdown": "↓",
+    "arrowboth": "↔", "arrowdblleft": "⇐", "arrowdblright": "⇒", "partialdiff": "∂", "element": "∈", "product": "∏",
+    "summation": "∑", "minus": "−", "radical": "√", "infinity": "∞", "integral": "∫", "approxequal": "≈",
+    "notequal": "≠", "lessequal": "≤", "greaterequal": "≥", "ff": "ﬀ", "fi": "ﬁ", "fl": "ﬂ",
+    "ffi": "ﬃ", "ffl": "ﬄ",
+}
+# The codes of StandardEncoding beyond ASCII, and the two in ASCII that differ from it.
+STANDARD = {
+    0x27: "’", 0x60: "‘",
+    0xA1: "¡", 0xA2: "¢", 0xA3: "£", 0xA4: "⁄", 0xA5: "¥", 0xA6: "ƒ", 0xA7: "§", 0xA8: "¤",
+    0xA9: "'", 0xAA: "“", 0xAB: "«", 0xAC: "‹", 0xAD: "›", 0xAE: "ﬁ", 0xAF: "ﬂ", 0xB1: "–",
+    0xB2: "†", 0xB3: "‡", 0xB4: "·", 0xB6: "¶", 0xB7: "•", 0xB8: "‚", 0xB9: "„", 0xBA: "”",
+    0xBB: "»", 0xBC: "…", 0xBD: "‰", 0xBF: "¿", 0xC1: "`", 0xC2: "´", 0xC3: "ˆ", 0xC4: "˜",
+    0xC5: "¯", 0xC6: "˘", 0xC7: "˙", 0xC8: "¨", 0xCA: "˚", 0xCB: "¸", 0xCD: "˝", 0xCE: "˛",
+    0xCF: "ˇ", 0xD0: "—", 0xE1: "Æ", 0xE3: "ª", 0xE8: "Ł", 0xE9: "Ø", 0xEA: "Œ", 0xEB: "º",
+    0xF1: "æ", 0xF5: "ı", 0xF8: "ł", 0xF9: "ø", 0xFA: "œ", 0xFB: "ß",
+}
 
 
 def glyph_names() -> dict[str, str]:
@@ -30,8 +45,7 @@ def glyph_names() -> dict[str, str]:
     names = {c: c for c in string.ascii_letters}
     for first, row in ((32, PUNCTUATION_NAMES), (91, BRACKET_NAMES), (123, BRACE_NAMES)):
         names |= {n: chr(first + i) for i, n in enumerate(row.split())}
-    other = OTHER_NAMES.split()
-    return names | dict(zip(other[::2], other[1::2])) | {"nbspace": " ", "sfthyphen": "­"}
+    return names | OTHER_NAMES | {"nbspace": "\u00a0", "sfthyphen": "\u00ad"}
 
 
 def accented_names() -> dict[str, str]:
@@ -81,9 +95,7 @@ def _codec(name: str) -> dict[int, str]:
 
 def encodings() -> dict[str, dict[int, str]]:
     """Code to character for each base encoding."""
-    standard = {c: chr(c) for c in range(32, 127)} | {0x27: "’", 0x60: "‘"}
-    for first, row in ((0xA1, STANDARD_A1), (0xE1, STANDARD_E1)):
-        standard |= {first + i: c for i, c in enumerate(row) if c != "."}
+    standard = {c: chr(c) for c in range(32, 127)} | STANDARD
     win, mac = _codec("cp1252"), _codec("mac_roman")
     return {"StandardEncoding": standard, "WinAnsiEncoding": win, "PDFDocEncoding": win, "MacRomanEncoding": mac, "MacExpertEncoding": mac}
 

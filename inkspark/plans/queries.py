@@ -15,12 +15,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codecs, geometry
-from ..functions.cmap import parse_tounicode
-from ..functions.encodings import ENCODINGS, encodings_table, glyph_names_table
+from ..functions.cmap import code_width, parse_tounicode
+from ..functions.encodings import character_of, encodings_table, glyph_names_table
 from ..operators import glyphs as gl
 from ..operators import layout, pagetree
-from ..sources import writer
-from .extract import Extraction, merged_xref
+from ..sources import datasource, writer
+from ..sources.syntax import unhex
+from .extract import Extraction, merged_xref, read_files
+from .scratch import folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -45,7 +47,7 @@ def files(spark, sf_dir, style="table"):
 
 
 def extraction(spark, sf_dir, style="table", **options):
-    return Extraction(files(spark, sf_dir, style), **{"keep": True} | options)
+    return Extraction(files(spark, sf_dir, style), **options)
 
 
 #: the wrapped rows of each document, numbered through: 60 a page
@@ -65,7 +67,13 @@ def _lines(style, **options):
     return run
 
 
-for _name, _style in {"roundtrip_lines": "table", "repair_rebuild": "damaged", "xref_stream": "stream", "objstm": "packed", "line_ends_cr": "cr", "line_ends_crlf": "crlf", "cid_fonts": "cid"}.items():
+#: style of the files (see ``writer.render``) by query; all must give the texts' rows
+STYLES = {
+    "roundtrip_lines": "table", "line_ends_cr": "cr", "line_ends_crlf": "crlf", "xref_stream": "stream", "objstm": "packed", "hybrid_files": "hybrid", "incremental_updates": "updated",
+    "repair_rebuild": "damaged", "repair_object_streams": "repacked", "inherited_tree": "tree", "content_arrays": "parts", "tiff_streams": "tiff", "png_streams": "predicted", "chained_filters": "filters",
+    "direct_fonts": "direct", "font_differences": "differences", "cid_fonts": "cid", "byte_codespace": "one_byte", "saved_states": "saved", "moved_lines": "moves", "quote_operators": "quotes", "inline_images": "inline", "octal_strings": "octal",
+}
+for _name, _style in STYLES.items():
     query(_name, LINES_SQL)(_lines(_style))
 
 
@@ -83,24 +91,34 @@ GLYPHS_SQL = f"""WITH {ROWS}
            CAST({{y}} - 12 * (n % 60) AS DOUBLE) AS y, CAST({{x}} AS DOUBLE) AS x, round(CAST({{end}} AS DOUBLE), 6) AS end_x, CAST(12 AS DOUBLE) AS size FROM rows_"""
 
 
-def _boxes(style):
+def _boxes(style, joined=False):
+    """Lines with their boxes, where the file is, or joined from stored strings, fonts and codes."""
+
     def run(spark, sf_dir):
-        out = extraction(spark, sf_dir, style).lines()
+        found = extraction(spark, sf_dir, style, keep=joined)
+        out = layout.lines(found.glyphs()) if joined else found.lines()
         return out.select("doc_id", "page_index", "line_no", "n_chars", F.round("y", 6).alias("y"), F.round("x", 6).alias("x"), F.round("end_x", 6).alias("end_x"), F.round("size", 6).alias("size"))
 
     return run
 
 
-query("glyph_positions", GLYPHS_SQL.format(y=760, x=36, end="36 + 6 * length(raw)"))(_boxes("table"))
+PLAIN_BOXES = GLYPHS_SQL.format(y=760, x=36, end="36 + 6 * length(raw)")
+query("glyph_positions", PLAIN_BOXES)(_boxes("table", True))
+query("direct_font_positions", PLAIN_BOXES)(_boxes("direct"))
+query("text_matrices", PLAIN_BOXES)(_boxes("matrices"))
+query("saved_state_positions", PLAIN_BOXES)(_boxes("saved", True))
+query("moved_line_positions", PLAIN_BOXES)(_boxes("moves"))
+query("quoted_line_positions", PLAIN_BOXES)(_boxes("quotes", True))
+query("cid_widths", PLAIN_BOXES)(_boxes("widths"))
 query("form_xobject", GLYPHS_SQL.format(y=740, x=46, end="46 + 6 * length(raw)"))(_boxes("form"))
-query("spacing_scaling_kerning", GLYPHS_SQL.format(y=760, x="CASE WHEN length(raw) = 1 THEN 45 ELSE 36 END", end="36 + 1.5 * (8 * length(raw) + 3 * (length(raw) - length(replace(raw, ' ', ''))) + 6)"))(_boxes("spaced"))
+query("spacing_scaling_kerning", GLYPHS_SQL.format(y=760, x="CASE WHEN length(raw) = 1 THEN 45 ELSE 36 END", end="36 + 1.5 * (8 * length(raw) + 3 * (length(raw) - length(replace(raw, ' ', ''))) + 6)"))(_boxes("spaced", True))
 
 
 @query("char_histogram", """SELECT page_count, ch, count(*) AS n FROM (
         SELECT CAST(1 AS BIGINT) AS page_count, unnest(string_split(replace(text, chr(10), ''), '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ALL""")
 def char_histogram(spark, sf_dir):
     """Decoded text of every shown code, by character."""
-    return extraction(spark, sf_dir).glyphs().groupBy(F.lit(1).cast("long").alias("page_count"), F.col("text").alias("ch")).agg(F.count("*").alias("n"))
+    return extraction(spark, sf_dir, keep=True).glyphs().groupBy(F.lit(1).cast("long").alias("page_count"), F.col("text").alias("ch")).agg(F.count("*").alias("n"))
 
 
 @query("text_join", f"""WITH {ROWS},
@@ -117,7 +135,13 @@ def layout_grid(spark, sf_dir):
     return layout.layout_texts(found.glyphs()).select("doc_id", "page_index", F.md5("layout").alias("digest"))
 
 
-@query("json_output")
+@query("json_output", f"""WITH {ROWS},
+    l AS (SELECT doc_id, n // 60 AS p, count(*) AS k, sum(length(raw)) AS c, string_agg(rtrim(raw), chr(10) ORDER BY n) AS t,
+                 string_agg('{{"y":' || CAST(760.0 - 12.0 * (n % 60) AS DOUBLE) || ',"x":36.0,"size":12.0,"text":' || CAST(to_json(rtrim(raw)) AS VARCHAR) || '}}', ',' ORDER BY n) AS lines FROM rows_ GROUP BY ALL),
+    p AS (SELECT doc_id, unnest(range(CAST(greatest(1, ceil(count(n) / 60.0)) AS BIGINT))) AS p FROM documents LEFT JOIN rows_ USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, '{{"file":"' || doc_id || '","version":"1.4","repaired":false,"pages":[' || string_agg(
+        '{{"page":' || (p + 1) || ',"width":612.0,"height":792.0,"rotation":0,"chars":' || coalesce(c, 0) || ',"lines":[' || coalesce(lines, '') || '],"text":' || CAST(to_json(coalesce(t, '')) AS VARCHAR) || '}}', ',' ORDER BY p) || ']}}' AS json
+    FROM p LEFT JOIN l USING (doc_id, p) GROUP BY doc_id""")
 def json_output(spark, sf_dir):
     return extraction(spark, sf_dir).json()
 
@@ -197,8 +221,23 @@ def cmyk_to_rgb(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").withColumn("c", rgb).select("l_orderkey", "l_linenumber", *[F.round(f"c.{x}", 6).alias(x) for x in "rgb"])
 
 
+# The characters that codes beyond ASCII are to have, written out here a second time; a blank is no character.
+WIN_80 = "€ ‚ƒ„…†‡ˆ‰Š‹Œ Ž  ‘’“”•–—˜™š›œ žŸ"
+MAC_80 = (
+    "ÄÅÇÉÑÖÜáàâäãåçéèêëíìîïñóòôöõúùûü†°¢£§•¶ß®©™´¨≠ÆØ∞±≤≥¥µ∂∑∏π∫ªºΩæø¿¡¬√ƒ≈∆«»…\u00a0ÀÃÕŒœ–—“”‘’÷◊ÿŸ⁄€‹›ﬁﬂ"
+    "‡·‚„‰ÂÊÁËÈÍÎÏÌÓÔ\uf8ffÒÚÛÙıˆ˜¯˘˙˚¸˝˛ˇ"
+)
+STANDARD_A0 = " ¡¢£⁄¥ƒ§¤'“«‹›ﬁﬂ –†‡· ¶•‚„”»…‰ ¿ `´ˆ˜¯˘˙¨ ˚¸ ˝˛ˇ—                Æ ª    ŁØŒº     æ   ı  łøœß    "
+
+
 def _values():
-    return ", ".join(f"('{n}', {c}, chr({ord(ch)}))" for n, t in ENCODINGS.items() for c, ch in t.items())
+    ascii_ = {c: chr(c) for c in range(128)}
+    beyond = lambda first, row: {first + i: c for i, c in enumerate(row) if c != " "}
+    win = ascii_ | beyond(0x80, WIN_80) | {c: chr(c) for c in range(0xA0, 0x100)}
+    mac = ascii_ | beyond(0x80, MAC_80)
+    standard = {c: chr(c) for c in range(32, 127)} | {0x27: "’", 0x60: "‘"} | beyond(0xA0, STANDARD_A0)
+    every = {"StandardEncoding": standard, "WinAnsiEncoding": win, "PDFDocEncoding": win, "MacRomanEncoding": mac, "MacExpertEncoding": mac}
+    return ", ".join(f"('{n}', {c}, chr({ord(ch)}))" for n, t in every.items() for c, ch in t.items())
 
 
 @query("encoding_decode", f"""WITH e(encoding, code, ch) AS (VALUES {_values()}),
@@ -220,9 +259,13 @@ def hex_string_decode(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.hex(F.encode("text", "UTF-8")).alias("h"))
     h = F.regexp_replace("h", "(.{32})", "$1\n")
     short = F.when((F.col("doc_id") % 2 == 1) & h.endswith("0"), F.expr("substring(h, 1, length(h) - 1)")).otherwise(h)
-    digits = F.regexp_replace(short, r"[\x00\t\n\f\r ]", "")
-    raw = F.coalesce(F.unhex(F.rpad(digits, F.length(digits) + F.length(digits) % 2, F.lit("0"))), F.lit(b""))  # Spark's unhex would pad on the left
-    return d.select("doc_id", F.octet_length(raw).cast("long").alias("n"), F.md5(raw).alias("digest"))
+
+    def decode(batches):
+        for batch in batches:
+            raw = [None if x is None else unhex(x.encode()) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "raw"])
+
+    return d.select("doc_id", short.alias("h")).mapInArrow(decode, "doc_id long, raw binary").select("doc_id", F.octet_length("raw").cast("long").alias("n"), F.md5("raw").alias("digest"))
 
 
 def _codec(encode, decode):
@@ -312,21 +355,22 @@ def xref_tables(spark, sf_dir):
 
 
 @query("page_tree_walk", """WITH p AS (SELECT c_custkey, c_nationkey, n_regionkey, c_acctbal, c_mktsegment FROM customer JOIN nation ON n_nationkey = c_nationkey)
-    SELECT CAST(0 AS BIGINT) AS doc_id, CAST(c_custkey AS BIGINT) AS node, CAST(row_number() OVER (ORDER BY n_regionkey, c_nationkey, c_custkey) - 1 AS INT) AS page_index,
+    SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(c_custkey AS BIGINT) AS node, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY c_nationkey, c_custkey) - 1 AS INT) AS page_index,
            CAST(NULL AS VARCHAR) AS resources, CASE WHEN c_mktsegment = 'BUILDING' THEN 'own' WHEN c_nationkey % 2 = 0 THEN 'nation' || c_nationkey ELSE 'region' || n_regionkey END AS media_box,
            CAST(NULL AS VARCHAR) AS crop_box, 'root' AS rotate FROM p""")
 def page_tree_walk(spark, sf_dir):
-    """Regions, nations and customers as a tree of pages, whose boxes come from the nearest that has one."""
+    """Nations and customers as a tree of pages for each region, whose boxes come from the nearest that has one."""
     none = F.lit(None).cast("string")
-    columns = lambda df, node, parent, kid, kind, box, rotate=none: df.select(F.lit(0).cast("long").alias("doc_id"), node.cast("long").alias("node"), parent.cast("long").alias("parent"), kid.cast("int").alias("kid_no"), F.lit(kind).alias("kind"), none.alias("resources"), box.alias("media_box"), none.alias("crop_box"), rotate.alias("rotate"))
+    columns = lambda df, doc, node, parent, kid, kind, box, rotate=none: df.select(doc.cast("long").alias("doc_id"), node.cast("long").alias("node"), parent.cast("long").alias("parent"), kid.cast("int").alias("kid_no"), F.lit(kind).alias("kind"), none.alias("resources"), box.alias("media_box"), none.alias("crop_box"), rotate.alias("rotate"))
     region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
-    far = 10**12
+    far, own = 10**12, F.col("n_regionkey")
+    of_region = customer.join(F.broadcast(nation.select("n_nationkey", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
     nodes = [
-        columns(spark.range(1), F.lit(-1), F.lit(None), F.lit(0), "Pages", none, F.lit("root")),
-        columns(region, F.col("r_regionkey") + far, F.lit(-1), F.col("r_regionkey"), "Pages", F.concat(F.lit("region"), F.col("r_regionkey"))),
-        columns(nation, F.col("n_nationkey") + 2 * far, F.col("n_regionkey") + far, F.col("n_nationkey"), "Pages", F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("nation"), F.col("n_nationkey")))),
-        columns(customer, F.col("c_custkey"), F.col("c_nationkey") + 2 * far, F.col("c_custkey"), "Page", F.when(F.col("c_mktsegment") == "BUILDING", "own")),
-        columns(region.limit(1), F.lit(-1), F.col("r_regionkey") + far, F.lit(99), "Pages", none),  # a kid that stands above itself
+        columns(region, F.col("r_regionkey"), F.lit(-1), F.lit(None), F.lit(0), "Pages", none, F.lit("root")),
+        columns(region, F.col("r_regionkey"), F.lit(-2), F.lit(-1), F.lit(0), "Pages", F.concat(F.lit("region"), F.col("r_regionkey"))),
+        columns(nation, own, F.col("n_nationkey") + far, F.lit(-2), F.col("n_nationkey"), "Pages", F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("nation"), F.col("n_nationkey")))),
+        columns(of_region, own, F.col("c_custkey"), F.col("c_nationkey") + far, F.col("c_custkey"), "Page", F.when(F.col("c_mktsegment") == "BUILDING", "own")),
+        columns(region, F.col("r_regionkey"), F.lit(-1), F.lit(-2), F.lit(99), "Pages", none),  # a kid that stands above itself
     ]
     out = nodes[0]
     for n in nodes[1:]:
@@ -397,6 +441,115 @@ def glyph_names(spark, sf_dir):
 
 @query("running_position", """SELECT l_orderkey, l_linenumber, round(coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS before FROM lineitem""")
 def running_position(spark, sf_dir):
-    """The prefix sum by which glyphs are placed, over items of an order."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.coalesce(F.sum("l_quantity").over(w), F.lit(0.0)), 6).alias("before"))
+    """Items of an order as codes of a run: each stands where the quantities before it end."""
+    one = geometry.matrix(1, 0, 0, 1, 0, 0)
+    zero = F.lit(0.0)
+    flat = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.lit(1).alias("run_id"), F.col("l_linenumber").alias("seq"), F.struct("l_partkey", "l_suppkey", "l_quantity").alias("pos"),
+        F.col("l_linenumber").alias("code"), F.lit("x").alias("text"), F.col("l_quantity").cast("double").alias("tx"), one.alias("tm"), one.alias("ctm"), F.lit(1.0).alias("font_size"), F.lit("F").alias("font_name"),
+        zero.alias("r"), zero.alias("g"), zero.alias("b"), F.lit(0).alias("render_mode"),
+    )
+    return gl.positioned(flat).select(F.col("doc_id").alias("l_orderkey"), F.col("code").alias("l_linenumber"), F.round("x", 6).alias("before"))
+
+
+@query("glyph_name_rules", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN chr(CAST(19968 + p_partkey % 20000 AS INT)) WHEN 1 THEN chr(CAST(128512 + p_partkey % 60 AS INT)) WHEN 2 THEN 'A'
+        WHEN 3 THEN chr(CAST(1024 + p_partkey % 200 AS INT)) || chr(CAST(1025 + p_partkey % 200 AS INT)) WHEN 4 THEN '' ELSE '€' END AS text FROM part""")
+def glyph_name_rules(spark, sf_dir):
+    """Names by rule: uniXXXX, uXXXXX, a suffix, several characters, unknown and listed ones."""
+    k = F.col("p_partkey")
+    code = lambda v, digits: F.lpad(F.hex(v), digits, "0")
+    name = (
+        F.when(k % 6 == 0, F.concat(F.lit("uni"), code(k % 20000 + 19968, 4)))
+        .when(k % 6 == 1, F.concat(F.lit("u"), code(k % 60 + 128512, 5)))
+        .when(k % 6 == 2, F.concat(F.lit("A.alt"), k.cast("string")))
+        .when(k % 6 == 3, F.concat(F.lit("uni"), code(k % 200 + 1024, 4), code(k % 200 + 1025, 4)))
+        .when(k % 6 == 4, F.concat(F.lit("g"), k.cast("string")))
+        .otherwise("Euro")
+    )
+
+    def decode(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([character_of(n) for n in batch.column(1).to_pylist()])], names=["p_partkey", "text"])
+
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).mapInArrow(decode, f"p_partkey {table(spark, sf_dir, 'part').schema['p_partkey'].dataType.simpleString()}, text string")
+
+
+# ---------------------------------------------------------------- files and table functions
+
+
+def nation_files(spark, sf_dir):
+    """Names of nations as files in the shared folder, written by the tasks; their folder."""
+    target = folder(spark, "nations")
+
+    def write(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store, path = fs.FileSystem.from_uri(target if "://" in target else "file://" + target.removeprefix("file:"))
+                store.create_dir(path, recursive=True)
+                with store.open_output_stream(f"{path}/{key}.pdf") as f:
+                    f.write(data)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["k"])
+
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.col("n_name").alias("text"))
+    writer.render_pdfs(n).mapInArrow(write, "k long").count()
+    return target
+
+
+def key_of(path):
+    return F.regexp_extract(path, r"([0-9]+)\.pdf$", 1).cast("long")
+
+
+NATION_LINES = "SELECT CAST(n_nationkey AS BIGINT) AS k, 0 AS line_no, rtrim(n_name) AS text FROM nation"
+
+
+@query("file_source", NATION_LINES)
+def file_source(spark, sf_dir):
+    """``spark.read.format("pdf")`` over a folder."""
+    datasource.register(spark)
+    lines = spark.read.format("pdf").option("table", "lines").load(nation_files(spark, sf_dir))
+    return lines.select(key_of("doc_id").alias("k"), "line_no", "text")
+
+
+@query("file_reader", NATION_LINES)
+def file_reader(spark, sf_dir):
+    """Files as Spark's own reader lists them."""
+    lines = Extraction(read_files(spark, nation_files(spark, sf_dir) + "/*.pdf")).lines()
+    return lines.select(key_of("doc_id").alias("k"), "line_no", "text")
+
+
+@query("token_function", """WITH t AS (SELECT CAST(n_nationkey AS BIGINT) AS k, n_name FROM nation)
+    SELECT k, 'array' AS kind, CAST(NULL AS VARCHAR) AS value FROM t UNION ALL SELECT k, 'string', n_name FROM t UNION ALL SELECT k, 'number', CAST(k AS VARCHAR) FROM t
+    UNION ALL SELECT k, 'name', 'N ' || k FROM t UNION ALL SELECT k, 'string', 'hex' FROM t UNION ALL SELECT k, 'end', NULL FROM t UNION ALL SELECT k, 'word', 'TJ' FROM t""")
+def token_function(spark, sf_dir):
+    datasource.register(spark)
+    table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey AS long) AS k", "cast(concat('% note\n[(', n_name, ')', n_nationkey, ' /N#20', n_nationkey, '<68 65 78>] TJ') AS binary) AS content").createOrReplaceTempView("inkspark_nation_tokens")
+    return spark.sql("SELECT k, t.kind, t.value FROM inkspark_nation_tokens, LATERAL pdf_tokens(content) t")
+
+
+@query("page_function", "SELECT CAST(n_nationkey AS BIGINT) AS k, 0 AS page_index, CAST(612 AS DOUBLE) AS width, CAST(792 AS DOUBLE) AS height, 0 AS rotation, CAST(1 AS BIGINT) AS n_shows FROM nation")
+def page_function(spark, sf_dir):
+    datasource.register(spark)
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("text"))
+    writer.render_pdfs(n, "k").createOrReplaceTempView("inkspark_nation_pages")
+    return spark.sql("SELECT doc_id AS k, p.page_index, p.width, p.height, p.rotation, p.n_shows FROM inkspark_nation_pages, LATERAL pdf_pages(content) p")
+
+
+@query("show_function", "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS text, 'F1' AS font_name, CAST(12 AS DOUBLE) AS font_size, CAST(36 AS DOUBLE) AS x, CAST(760 AS DOUBLE) AS y FROM nation")
+def show_function(spark, sf_dir):
+    datasource.register(spark)
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("text"))
+    writer.render_pdfs(n, "k").createOrReplaceTempView("inkspark_nation_shows")
+    return spark.sql("SELECT doc_id AS k, s.text, s.font_name, s.font_size, s.x, s.y FROM inkspark_nation_shows, LATERAL pdf_shows(content) s")
+
+
+@query("code_widths", """SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END AS bytes FROM part""")
+def code_widths(spark, sf_dir):
+    """Bytes of a code by code space ranges."""
+    p = F.col("p_partkey")
+    cmap = F.when(p % 3 == 0, "1 begincodespacerange <00> <FF> endcodespacerange").when(p % 3 == 1, "1 begincodespacerange\n<0000> <FFFF>\nendcodespacerange").otherwise("no ranges")
+    return table(spark, sf_dir, "part").select(p.cast("long").alias("p_partkey"), code_width(cmap).alias("bytes"))
+
+
+query("predictor_tiff", MD5_SQL)(_codec(lambda d: len(d).to_bytes(8, "big") + writer.tiff_rows(d, 40), lambda d: codecs.unpredict(d[8:], 2, 1, 8, 40)[: int.from_bytes(d[:8], "big")]))
