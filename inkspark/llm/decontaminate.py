@@ -1,22 +1,21 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is partitioned by document, as search engines do: every task builds,
-for its shard of the corpus, posting lists ``term -> ascending positions`` over
-the words that the benchmark uses at all.  A query (a window of consecutive item
-words) starts from the list of its rarest term in the shard, moved back by the
-term's offset, and is intersected with the offset-adjusted lists of its other
-terms in order of rarity until it is empty or all terms have matched.  Nothing
-but the result rows leaves a task, so no shuffle is needed and a hot document,
-source or passage cannot pile up in one place.
-
-The benchmark goes to the tasks in blocks of at most ``max_block`` windows; one
-block is the usual case, and more blocks are more passes over the corpus, never
-a larger broadcast.
+The index is partitioned by document, as search engines do: a row of the stored table ``index`` is a shard of some
+megabytes of text and holds, for each of its terms, the ascending positions of its words, next to the words of each
+document and the columns that are kept.  A query (a window of consecutive item words) starts from the list of its rarest
+term in the shard, moved back by the term's offset, and is intersected with the offset-adjusted lists of its other terms
+in order of rarity until it is empty or all terms have matched.  So texts are read once however many queries there are,
+nothing but result rows leaves a task, no shuffle is needed, and a hot document, source or passage cannot pile up in one
+place.  The index is deleted when the results are stored.
+
+The benchmark goes to the tasks in blocks of at most ``max_block`` windows, cut inside of items, too; one block is the
+usual case, and more blocks are more passes over the index, never a larger broadcast.
 
 Defined results: a null or wordless document has no words and no hits; a null or
 wordless item has no windows; equal items both count; an empty benchmark leaves
 all documents clean; an empty corpus gives no rows.  Rows are independent, so
-repeated rows and null ids pass through as they are.
+repeated rows and null ids pass through as they are; a very long text is a shard of its own; clashing column names are
+kept, as the operator's own begin with two underscores.
 """
 
 from __future__ import annotations
@@ -29,55 +28,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import trimmed
+from .common import discard, stored, stored_at, trimmed
 from .textkernel import ALNUM, U, chunks, column, hashes, words
 
 WINDOW = 10
-MAX_BLOCK = 2_000_000
+MAX_BLOCK = 200_000
 #: bytes of text that one shard of the index covers; its arrays take some 40 bytes for each
 SHARD = 4_000_000
 
 
-def windows_of(texts, width):
-    """(vocabulary, windows, item of each window) of a list of item texts.
-
-    vocabulary: ascending word hashes; windows: rows of term numbers, -1 behind a short item's last word.
-    """
-    data, at = column(pa.array(texts, pa.string()))
-    starts, ends, w = words(data, at, ALNUM)
+def item_windows(text, width):
+    """Windows of an item as rows of word hashes, and their length; an item of fewer words than ``width`` is one window."""
+    data, at = column(pa.array([text], pa.string()))
+    starts, ends, _ = words(data, at, ALNUM)
     h = hashes(data, starts, ends)
-    vocabulary, term = np.unique(h, return_inverse=True)
-    rows, owner = [], []
-    for i in range(len(texts)):
-        a, b = int(w[i]), int(w[i + 1])
-        if a == b:
-            continue
-        length = min(width, b - a)
-        for s in range(a, b - length + 1):
-            rows.append(np.concatenate([term[s : s + length], np.full(width - length, -1)]))
-            owner.append(i)
-    windows = np.array(rows, dtype=np.int64).reshape(len(rows), width)
-    return vocabulary, windows, np.array(owner, dtype=np.int64)
+    length = min(width, len(h))
+    return (np.lib.stride_tricks.sliding_window_view(h, length) if length else np.zeros((0, 1), U)), length
+
+
+class Block:
+    """Windows as rows of term numbers, -1 behind a short one's last; the terms' hashes, ascending; the item of each window."""
+
+    def __init__(self, parts, width):
+        self.owner = np.concatenate([np.full(len(rows), k, np.int64) for k, (_, rows, _) in enumerate(parts)] or [np.zeros(0, np.int64)])
+        self.items = [item for item, _, _ in parts]
+        self.vocabulary = np.unique(np.concatenate([rows.reshape(-1) for _, rows, _ in parts] or [np.zeros(0, U)]))
+        self.windows = np.full((len(self.owner), width), -1, np.int64)
+        at = 0
+        for _, rows, length in parts:
+            self.windows[at : at + len(rows), :length] = np.searchsorted(self.vocabulary, rows)
+            at += len(rows)
+
+
+def blocks_of(items, width, most):
+    """Blocks of at most ``most`` windows of (item, text) pairs."""
+    parts, held = [], 0
+    for item, text in items:
+        rows, length = item_windows(text or "", width)
+        while len(rows):
+            part, rows = rows[: most - held], rows[most - held :]
+            parts.append((item if item is not None else "", part, length))
+            held += len(part)
+            if held == most:
+                yield Block(parts, width)
+                parts, held = [], 0
+    if parts:
+        yield Block(parts, width)
 
 
 class Index:
-    """Posting lists of one shard: positions of the vocabulary's terms, in document order."""
-
-    def __init__(self, word_hashes, vocabulary):
-        at = np.searchsorted(vocabulary, word_hashes)
-        at[at == len(vocabulary)] = 0
-        known = vocabulary[at] == word_hashes if len(vocabulary) else np.zeros(len(word_hashes), bool)
-        position = np.flatnonzero(known)
-        term = at[position]
-        order = np.argsort(term, kind="stable")
-        self.postings = position[order]
-        self.bounds = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+    """Posting lists of a shard for the terms of a vocabulary."""
+
+    def __init__(self, terms, bounds, positions, vocabulary):
+        at = np.minimum(np.searchsorted(terms, vocabulary), max(0, len(terms) - 1))
+        known = terms[at] == vocabulary if len(terms) else np.zeros(len(vocabulary), bool)
+        self.first = np.where(known, bounds[at], 0)
+        self.last = np.where(known, bounds[np.minimum(at + 1, len(bounds) - 1)], 0)
+        self.positions = positions
 
     def list(self, term):
-        return self.postings[self.bounds[term] : self.bounds[term + 1]]
+        return self.positions[self.first[term] : self.last[term]].astype(np.int64)
 
     def frequency(self, terms):
-        return self.bounds[terms + 1] - self.bounds[terms]
+        return self.last[terms] - self.first[terms]
 
     def phrase(self, window):
         """Start positions at which the whole window occurs."""
@@ -111,28 +124,34 @@ class Index:
         return found
 
 
-def scan(data, at, vocabulary, windows, owner, slop=0):
-    """For one chunk of whole docs: words per doc, (doc, start, length, item) of all matches."""
-    starts, ends, w = words(data, at, ALNUM)
-    counts = np.diff(w)
+def posted(word_hashes):
+    """(terms, bounds, positions): the ascending hashes, and the positions of each between its bounds, ascending."""
+    order = np.argsort(word_hashes, kind="stable")
+    ordered = word_hashes[order]
+    head = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, bool)
+    return ordered[head], np.append(np.flatnonzero(head), len(ordered)), order.astype(np.uint32)
+
+
+def matches(counts, terms, bounds, positions, block, slop=0):
+    """(document, start, length, item) of all matches in a shard of documents of ``counts`` words."""
     nothing = np.zeros((0, 4), np.int64)
-    if not len(windows) or not len(starts):
-        return counts, nothing
-    index = Index(hashes(data, starts, ends), vocabulary)
-    lengths = (windows >= 0).sum(1)
-    present = index.frequency(np.arange(len(vocabulary))) > 0
-    usable = np.flatnonzero((present[windows] | (windows < 0)).all(1))
+    if not len(block.windows) or not len(positions):
+        return nothing
+    index = Index(terms, bounds, positions, block.vocabulary)
+    w = np.concatenate([[0], np.cumsum(counts)])
+    lengths = (block.windows >= 0).sum(1)
+    present = index.frequency(np.arange(len(block.vocabulary))) > 0
     out = []
-    for i in usable:
-        found = index.near(windows[i], slop) if slop else index.phrase(windows[i])
+    for i in np.flatnonzero((present[block.windows] | (block.windows < 0)).all(1)):
+        found = index.near(block.windows[i], slop) if slop else index.phrase(block.windows[i])
         if len(found):
             length = int(lengths[i])
-            found = found[(found >= 0) & (found + length <= len(starts))]
+            found = found[(found >= 0) & (found + length <= len(positions))]
             doc = np.searchsorted(w, found, "right") - 1
-            inside = found + length <= w[doc + 1]  # an occurrence never runs over a doc's end
+            inside = found + length <= w[doc + 1]  # an occurrence never runs over a document's end
             found, doc = found[inside], doc[inside]
-            out.append(np.stack([doc, found, np.full(len(found), length), np.full(len(found), owner[i])], 1))
-    return counts, np.concatenate(out) if out else nothing
+            out.append(np.stack([doc, found - w[doc], np.full(len(found), length), np.full(len(found), block.owner[i])], 1))
+    return np.concatenate(out) if out else nothing
 
 
 def _merged(ranges, flags_len):
@@ -144,35 +163,79 @@ def _merged(ranges, flags_len):
     return np.flatnonzero(inside[1:] != inside[:-1])
 
 
-def _matcher(vocabulary, windows, owner, item_ids, slop, keep, more):
+INDEX = "docs binary, counts binary, terms binary, bounds binary, positions binary"
+FOUND = ", ranges array<array<long>>, items array<array<string>>"
+
+
+def _indexer(keep):
+    names = [c.split()[0] for c in INDEX.split(", ")]
+
     def run(batches):
         for batch in batches:
             data, at = column(batch.column("__text"))
-            n_words, ranges, items = [], [], []
+            kept = batch.select(keep)
             for i, j, d, a in chunks(data, at, SHARD):
-                counts, found = scan(d, a, vocabulary, windows, owner, slop)
-                base = np.concatenate([[0], np.cumsum(counts)])
+                starts, ends, w = words(d, a, ALNUM)
+                terms, bounds, positions = posted(hashes(d, starts, ends))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, kept.schema) as out:
+                    out.write_batch(kept.slice(i, j - i))
+                parts = [sink.getvalue().to_pybytes(), np.diff(w).astype(np.int64).tobytes(), terms.tobytes(), bounds.astype(np.int64).tobytes(), positions.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=names)
+
+    return run
+
+
+def _unpacked(batch, k):
+    """(words of each document, terms, bounds, positions) of a row of the index."""
+    kinds = {"counts": np.int64, "terms": U, "bounds": np.int64, "positions": np.uint32}
+    return [np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in kinds.items()]
+
+
+def _matcher(block, slop, more):
+    names = [c.split()[0] for c in (INDEX + FOUND).split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                counts, terms, bounds, positions = _unpacked(batch, k)
+                found = matches(counts, terms, bounds, positions, block, slop)
                 found = found[np.argsort(found[:, 0], kind="stable")]
-                cut = np.searchsorted(found[:, 0], np.arange(j - i + 1))
-                n_words += counts.tolist()
-                for x in range(j - i):
+                cut = np.searchsorted(found[:, 0], np.arange(len(counts) + 1))
+                ranges, items = [], []
+                for x in range(len(counts)):
                     f = found[cut[x] : cut[x + 1]]
-                    start = f[:, 1] - base[x]
-                    own = np.stack([start, start + f[:, 2]], 1)
-                    names = {item_ids[k] for k in np.unique(f[:, 3])}
+                    own = np.stack([f[:, 1], f[:, 1] + f[:, 2]], 1)
+                    names_ = {block.items[i] for i in np.unique(f[:, 3])}
                     if more:  # what earlier blocks of the benchmark have found
-                        own = np.concatenate([own, np.array(batch.column("__ranges")[i + x].as_py(), np.int64).reshape(-1, 2)])
-                        names |= set(batch.column("__items")[i + x].as_py())
+                        own = np.concatenate([own, np.array(batch.column("ranges")[k][x].as_py(), np.int64).reshape(-1, 2)])
+                        names_ |= set(batch.column("items")[k][x].as_py())
                     ranges.append(_merged(own, int(counts[x])).tolist() if len(own) else [])
-                    items.append(sorted(names))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(ranges, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                names=[*keep, "__n_words", "__ranges", "__items"],
-            )
+                    items.append(sorted(names_))
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in names[:5]), pa.array([ranges], pa.list_(pa.list_(pa.int64()))), pa.array([items], pa.list_(pa.list_(pa.string())))], names=names)
 
     return run
 
 
+def _results(keep):
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                kept = pa.ipc.open_stream(batch.column("docs")[k].as_buffer()).read_all().combine_chunks()
+                counts = np.frombuffer(batch.column("counts")[k].as_buffer(), np.int64)
+                columns = [kept.column(c).combine_chunks() if kept.num_rows else pa.array([], kept.schema.field(c).type) for c in keep]
+                found = [pa.array(batch.column(c)[k].as_py(), kind) for c, kind in (("ranges", pa.list_(pa.int64())), ("items", pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), *found], names=[*keep, "__n_words", "__ranges", "__items"])
+
+    return run
+
+
+def build_index(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """A row for each shard of ``docs``: the columns ``keep`` of its documents, their words, terms, bounds and positions."""
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(trimmed(_indexer(keep)), INDEX)
+
+
 def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, slop: int = 0, max_block: int = MAX_BLOCK, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) of ``docs``, with ``__n_words``, ``__ranges`` and ``__items``.
 
@@ -180,29 +243,36 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
     ids of the matching items as sorted strings.  slop 0 matches exact phrases; with slop s every term of a window may
     be up to s words off its place.
     """
-    keep = list(docs.columns) if keep is None else keep
-    total = benchmark.select(F.sum(F.octet_length(item_text))).first()[0] or 0
-    blocks = max(1, -(-total // (max_block * 6)))
-    plain = T.StructType([docs.schema[c] for c in keep])
-    found_fields = [T.StructField("__n_words", T.LongType()), T.StructField("__ranges", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))]
-    out = docs.select(*keep, F.col(text).alias("__text"))
-    for b in range(blocks):
-        part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64(item_id, item_text), F.lit(blocks)) == b)
-        rows = part.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).toArrow()  # about max_block words at most
-        vocabulary, windows, owner = windows_of([x or "" for x in rows.column("t").to_pylist()], width)
-        ids = [x if x is not None else "" for x in rows.column("i").to_pylist()]
-        last = b == blocks - 1
-        held = [*keep] if last else [*keep, "__text"]
-        fields = T.StructType([*plain.fields, *([] if last else [T.StructField("__text", T.StringType())]), *found_fields])
-        out = out.mapInArrow(trimmed(_matcher(vocabulary, windows, owner, ids, slop, held, b > 0)), fields)
+    spark, keep = docs.sparkSession, list(docs.columns) if keep is None else keep
+    index, path = stored_at(build_index(docs, keep, text), "index")
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).toLocalIterator()
+    found, blocks = index, 0
+    for block in blocks_of(((r["i"], r["t"]) for r in items), width, max_block):
+        found = found.mapInArrow(trimmed(_matcher(block, slop, blocks > 0)), INDEX + FOUND)
+        blocks += 1
+    if not blocks:
+        found = found.mapInArrow(trimmed(_matcher(Block([], width), slop, False)), INDEX + FOUND)
+    fields = [T.StructField("__n_words", T.LongType()), T.StructField("__ranges", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))]
+    out = stored(found.select("docs", "counts", "ranges", "items").mapInArrow(trimmed(_results(keep)), T.StructType([*(docs.schema[c] for c in keep), *fields])), "found")
+    discard(spark, path)
     return out
 
 
+def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = 2, **options) -> DataFrame:
+    """(doc_id, n_near, items): words of each document inside windows whose terms stand up to ``slop`` words off their places."""
+    found = search(docs, benchmark, slop=slop, keep=["doc_id"], **options).where("size(__items) > 0")
+    return found.select("doc_id", covered("__ranges").alias("n_near"), F.col("__items").alias("items"))
+
+
+def covered(ranges: str):
+    """Words inside [start, end, start, end, ...]."""
+    return F.aggregate(ranges, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s")), lambda x, e: F.when(x.s < 0, F.struct(x.n.alias("n"), e.alias("s"))).otherwise(F.struct((x.n + e - x.s).alias("n"), F.lit(-1).cast("long").alias("s"))), lambda x: x.n)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's digest columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = search(docs, benchmark, keep=["doc_id"])
-    covered = F.aggregate("__ranges", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s")), lambda x, e: F.when(x.s < 0, F.struct(x.n.alias("n"), e.alias("s"))).otherwise(F.struct((x.n + e - x.s).alias("n"), F.lit(-1).cast("long").alias("s"))), lambda x: x.n)
-    found = found.withColumn("__n_hit", covered)
+    found = found.withColumn("__n_hit", covered("__ranges"))
     return found.select(
         "doc_id",
         F.col("__n_words").alias("n_words"),
