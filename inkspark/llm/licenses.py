@@ -8,20 +8,23 @@ Jaccard similarity of at least ``CONTAINMENT * m / (all shingles of both)``, and
 band of one MinHash agrees with that probability; the number of bands is the
 least for which a match is missed with probability at most ``MISS`` (here the
 seed is fixed, so results repeat).  Retrieved windows are verified exactly: the
-share of the template's shingles that the window's words hold, and the first and
-last word of the match.
+share of the template's shingles that a stretch of at most ``SLACK`` times its length
+holds, and the first and last word of the stretch.  All occurrences that do not
+overlap are found.
 
-Templates go to the tasks with the code; they are a parameter of fixed size, not
-data.  Documents never leave their task, so there is no shuffle and no skew.
+Templates are notices that come with the code, or a table of whole license texts; they go to the tasks in blocks of
+``BLOCK_BYTES`` of text, each block a pass over the documents.  Documents never leave their task, so there is no shuffle and no skew.
 
 Defined results: null, empty and shorter texts match nothing but templates that
 fit in them; a template of fewer words than a shingle is one shingle; equal
-templates all match; rows are independent, so repeated rows and null ids give
-rows of their own.
+templates all match; of occurrences that overlap the first counts; rows are
+independent, so repeated rows and null ids give rows of their own; very long
+texts are scanned whole; columns besides id and text are not looked at.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, log
 
 import numpy as np
@@ -35,6 +38,8 @@ from .textkernel import ALNUM, U, chunks, column, hashes, mix, shingles, words
 K = 5
 CONTAINMENT = 0.8
 MISS = 1e-4
+SLACK = 1.25
+BLOCK_BYTES = 4_000_000
 
 #: License notices by SPDX name (fixed values: the licenses' own words).
 TEMPLATES = {
@@ -97,10 +102,10 @@ def grouped(templates):
 
 
 def matches(data, at, groups):
-    """(doc, template, shared shingles, first word, end word, template's shingles) for one chunk of whole docs: the best stretch of each pair."""
+    """(doc, template, shared shingles, first word, end word, template's shingles) of all occurrences in one chunk of whole docs."""
     starts, ends, w = words(data, at, ALNUM)
     word = hashes(data, starts, ends)
-    found, by_k = {}, {}
+    found, by_k = [], {}
     for group in groups:
         k, window, stride = group.k, group.window, group.stride
         if k not in by_k:
@@ -125,26 +130,74 @@ def matches(data, at, groups):
             for g in range(len(retrieved)):
                 retrieved[g].update(np.flatnonzero(low == group.minima[g][b]).tolist())
         for t, wins in zip(group.templates, retrieved):
-            for x in wins:
-                own = sh[begin[x] : end[x]]
-                held = np.flatnonzero(np.isin(own, t.shingles))
-                shared = len(np.unique(own[held]))
-                if shared >= CONTAINMENT * len(t.shingles):
-                    d = int(doc[x])
-                    first, last = int(begin[x] - o[d] + held[0]), int(begin[x] - o[d] + held[-1] + k)
-                    best = found.get((d, t.name))
-                    if best is None or (-shared, last - first, first) < (-best[2], best[4] - best[3], best[3]):
-                        found[d, t.name] = (d, t.name, shared, first, last, len(t.shingles))
-    return sorted(found.values())
+            reach = max(1, int(SLACK * t.words) - k + 1)
+            of_doc = {}
+            for x in sorted(wins):
+                of_doc.setdefault(int(doc[x]), []).append((int(begin[x]), int(end[x])))
+            for d, spans in of_doc.items():
+                near = np.zeros(int(o[d + 1] - o[d]), bool)
+                for b, e in spans:
+                    near[b - o[d] : e - o[d]] = True
+                held = np.flatnonzero(near)
+                held = held[np.isin(sh[o[d] + held], t.shingles)]
+                for first, last, shared in occurrences(held, sh[o[d] + held], CONTAINMENT * len(t.shingles), reach):
+                    found.append((d, t.name, shared, first, last + k, len(t.shingles)))
+    return sorted(found)
+
+
+def occurrences(places, values, need, reach):
+    """(first place, last place, different values) of stretches of less than ``reach`` places that hold ``need`` different values or more.
+
+    Stretches do not overlap; each begins as early as it can, but for places that it does not need, and ends with its last new value.
+    """
+    i, n = 0, len(places)
+    while i < n:
+        j = int(np.searchsorted(places, places[i] + reach))
+        if j - i < need or len(set(values[i:j].tolist())) < need:
+            i += 1
+            continue
+        # the best stretch that begins before the first possible one ends
+        best = max(((len(set(values[a : (b := int(np.searchsorted(places, places[a] + reach)))].tolist())), -a, a, b) for a in range(i, j)), key=lambda x: x[:2])
+        shared, _, a, b = best
+        new = set()
+        for z in range(a, b):
+            if values[z] not in new:
+                new.add(values[z])
+                last = z
+        yield int(places[a]), int(places[last]), shared
+        i = last + 1
 
 
 SCHEMA = "license string, n_shared long, n_template long, first_word long, end_word long"
 
 
-def scan(docs: DataFrame, templates: dict | None = None, doc_id: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
-    """(doc_id, license, n_shared, n_template, first_word, end_word) for every template that a document holds."""
-    ready = grouped([Template(n, t, k) for n, t in (TEMPLATES if templates is None else templates).items()])
+def _blocks(templates):
+    """Blocks of (name, text) pairs of at most ``BLOCK_BYTES`` of text, a longer one alone."""
+    own, held = [], 0
+    for name, text in templates:
+        if own and held + len(text) > BLOCK_BYTES:
+            yield own
+            own, held = [], 0
+        own.append((name, text))
+        held += len(text)
+    if own:
+        yield own
+
+
+def scan(docs: DataFrame, templates: dict | DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
+    """(doc_id, license, n_shared, n_template, first_word, end_word) for every occurrence of a template in a document.
+
+    templates: texts by name, or a table (name, text); notices of usual licenses if there are none.
+    """
+    if isinstance(templates, DataFrame):
+        pairs = ((r["name"], r["text"] or "") for r in templates.select("name", "text").toLocalIterator())
+    else:
+        pairs = iter((TEMPLATES if templates is None else templates).items())
+    out = [_scan(docs, grouped([Template(n, t, k) for n, t in block]), doc_id, text) for block in _blocks(pairs)]
+    return reduce(DataFrame.unionByName, out) if out else _scan(docs, [], doc_id, text)
+
 
+def _scan(docs, ready, doc_id, text):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
