@@ -35,6 +35,8 @@ from .fileblocks import write
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 8_000_000
+#: a payload of more records than this is hot; the most frequent ones, so many, need no shuffle
+HOT, HOT_PAYLOADS = 1000, 500
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 #: the first records of an archive, up to these numbers, train its dictionary
@@ -219,10 +221,15 @@ def planned(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) with ``refers_to``: the id of the response of which the row is a revisit, else null."""
     payload = F.coalesce("html", F.lit(""))
     sized = pages.select("page_id", "url", "html").withColumn("digest", F.when(F.octet_length(payload) >= MIN_REVISIT, F.sha1(F.encode(payload, "UTF-8"))))
-    groups = sized.where("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first"))
-    repeats = groups.where("first <> last").select("digest", "last")  # of null ids all are responses
-    joined = sized.join(repeats, "digest", "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"))
+    groups = sized.where("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first"), F.count("*").alias("n"))
+    repeats = groups.where("first <> last")  # of null ids all are responses
+    # payloads of very many records are told to all tasks; the others' records meet by digest, those without one need not
+    most = repeats.where(F.col("n") > HOT).orderBy(F.desc("n"), "digest").limit(HOT_PAYLOADS).select("digest", "last").collect()
+    hot = pages.sparkSession.createDataFrame([(r["digest"], r["last"]) for r in most], f"digest string, hot {pages.schema['page_id'].dataType.simpleString()}")
+    told = sized.join(F.broadcast(hot), "digest", "left")  # at most HOT_PAYLOADS rows
+    rest = told.where("digest IS NOT NULL AND hot IS NULL").join(repeats.select("digest", "last"), "digest", "left")
+    rows = rest.unionByName(told.where("digest IS NULL OR hot IS NOT NULL").withColumn("last", F.col("hot")))
+    return rows.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"))
 
 
 def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
