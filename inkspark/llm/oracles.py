@@ -3,9 +3,9 @@
 from . import quality
 
 
-def _quality(documents="documents", columns="doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept"):
-    """op2 as SQL; the rules' scores, grids and limits are those of quality.py."""
-    alpha = quality.RISK / len(quality.RULES)
+def _quality(documents="documents", columns="doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept", risk=quality.RISK, delta=quality.DELTA):
+    """op2 as SQL; the rules' scores and grids are those of quality.py."""
+    alpha = risk / len(quality.RULES)
     scores = ",\n".join(f"CAST({score.replace(' / ', ' * 1.0 / ')} AS DOUBLE) AS s_{r}" for r, (score, _) in quality.RULES.items())
     grid = ",\n".join(f"('{r}', CAST({c!r} AS DOUBLE))" for r, (_, g) in quality.RULES.items() for c in g)
     marks = " UNION ALL ".join(f"SELECT lang AS stratum, quality = 1 AS good, '{r}' AS rule, s_{r} AS score FROM lab" for r in quality.RULES)
@@ -46,11 +46,14 @@ def _quality(documents="documents", columns="doc_id, n_words, word_chars, n_symb
             FROM tests),
         cut AS (
             SELECT stratum, rule, arg_max(cutoff, bad * 1000.0 + cutoff) AS cutoff
-            FROM tails WHERE p <= {quality.DELTA!r} / m AND bad > 0 GROUP BY ALL),
+            FROM tails WHERE p <= {delta!r} / m AND bad > 0 GROUP BY ALL),
         verdict AS (SELECT *, NOT base_failed AND NOT ({fails}) AS kept FROM b)
         SELECT {columns} FROM verdict"""
 
 
+#: op2's operator with limits that tables of some hundred labels can meet, so that cutoffs are admitted and reject documents
+FEW_LABELS = {"risk": 0.9, "delta": 0.9}
+
 ORACLES = {
     "op9_jaccard_join": r"""
         WITH RECURSIVE d AS (
@@ -90,4 +93,21 @@ ORACLES = {
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)""",
     "op2_quality_rules": _quality(),
+    "quality_rules_of_few_labels": _quality(risk=FEW_LABELS["risk"], delta=FEW_LABELS["delta"]),
+    "op1_line_dedup": r"""
+        WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT doc_id, i, l[i] || chr(10) || l[i + 1] AS chunk FROM l, unnest(range(1, len(l))) AS u(i)),
+        k AS (SELECT *, min((doc_id, i)) OVER (PARTITION BY chunk) AS keeper FROM w WHERE regexp_matches(chunk, '[^\x20\x09-\x0D]')),
+        r AS (SELECT doc_id, i FROM k WHERE keeper <> (doc_id, i) AND NOT (keeper[1] = doc_id AND i < keeper[2] + 2)),
+        runs AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r) WHERE before IS NULL OR i > before + 2 GROUP BY doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM r),
+        n AS (SELECT doc_id, count(*) AS n, list(i) AS gone FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, CASE WHEN n.n IS NULL THEN d.text ELSE coalesce(array_to_string([l.l[j] FOR j IN range(1, len(l.l) + 1) IF NOT list_contains(n.gone, j)], chr(10)), '') END AS text,
+               CAST(coalesce(len(l.l), 0) AS BIGINT) AS n_lines, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed_lines, CAST(coalesce(runs.n, 0) AS BIGINT) AS n_removed_chunks
+        FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN runs USING (doc_id)""",
+    "op5_warc": r"""
+        WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+        r AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS last FROM p)
+        SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < last THEN CAST(last AS BIGINT) END AS refers_to FROM r""",
 }

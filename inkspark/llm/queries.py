@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, licenses, linededup, mixing, quality, sharding, tokenids, warc, wrappers
 from .common import table
+from .oracles import FEW_LABELS
 
 
 def op10_benchmark_decontamination(spark, sf_dir):
@@ -49,7 +50,21 @@ def op7_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def quality_rules_of_few_labels(spark, sf_dir):
+    """op2's operator with limits that small tables can meet."""
+    out = quality.verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"), **FEW_LABELS)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def benchmark_proximity(spark, sf_dir):
+    """op10's operator with words up to two places off."""
+    found = decontaminate.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join("items", ","))
+
+
 QUERIES = {
+    "quality_rules_of_few_labels": quality_rules_of_few_labels,
+    "benchmark_proximity": benchmark_proximity,
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,

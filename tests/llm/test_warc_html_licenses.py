@@ -46,6 +46,18 @@ def test_round_trip(request, which):
     assert got == Counter(brute_warc([(r.page_id, r.url, r.html) for r in df.collect()]))
 
 
+def test_hot_payloads(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 3)
+    monkeypatch.setattr(warc, "HOT_PAYLOADS", 2)
+    rows = [(i, f"http://h/{i}", chr(97 + i % 4) * (1200 if i % 4 else 10)) for i in range(40)] + [(50 + i, "u", "q" * 1500 if i < 2 else None) for i in range(4)]
+    got = {tuple(r) for r in warc.planned(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "refers_to").collect()}
+    last = {}
+    for i, _, h in rows:
+        if h and len(h) >= 1000:
+            last[h] = max(last.get(h, 0), i)
+    assert got == {(i, last[h] if h in last and i < last[h] else None) for i, _, h in rows}
+
+
 def test_no_pages(pages):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
@@ -276,6 +288,32 @@ def test_matches_are_where_they_say(spark):
     assert (r.license, r.first_word, r.end_word, r.n_shared, r.n_template) == ("Apache-2.0", 3, 11, 4, 4)
 
 
+def test_every_occurrence_is_found_and_none_that_is_not_there(spark):
+    words = licenses.TEMPLATES["MIT-text"].split()
+    twice = " ".join([*words, "and", *(w if i != 20 else "else" for i, w in enumerate(words)), "more", "text"] + ["x"] * 300 + words)
+    half = " ".join(words[: len(words) // 2])
+    backwards = " ".join(reversed(words))
+    df = spark.createDataFrame([(1, twice), (2, half), (3, backwards), (4, "Released under the other License. MIT it is not")], "doc_id long, text string")
+    rows = licenses.scan(df).orderBy("first_word").collect()
+    n = len(WORD.findall(licenses.TEMPLATES["MIT-text"]))
+    whole = [(r.first_word, r.end_word) for r in rows if r.license == "MIT-text"]
+    assert {r.doc_id for r in rows} == {1} and [a for a, _ in whole] == [0, n + 1, 2 * n + 3 + 300] and [b - a for a, b in whole] == [n] * 3
+    for r in rows:  # what is reported holds the asked share
+        own = set(grams(" ".join(WORD.findall(twice.lower())[r.first_word : r.end_word]), min(licenses.K, n)))
+        want = set(grams(licenses.TEMPLATES[r.license], min(licenses.K, len(WORD.findall(licenses.TEMPLATES[r.license])))))
+        assert len(own & want) == r.n_shared >= licenses.CONTAINMENT * len(want) == licenses.CONTAINMENT * r.n_template
+
+
+def test_whole_texts_as_a_table(spark, monkeypatch):
+    texts = [(f"L{i}", " ".join(f"word{i}x{j}" for j in range(700))) for i in range(5)]
+    docs = spark.createDataFrame([(i, f"before it {t} after") for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    for most in (licenses.BLOCK_BYTES, 10_000):
+        monkeypatch.setattr(licenses, "BLOCK_BYTES", most)
+        got = licenses.scan(docs, spark.createDataFrame(texts, "name string, text string")).collect()
+        assert sorted((r.doc_id, r.license, r.first_word, r.end_word) for r in got) == [(i, f"L{i}", 2, 702) for i in range(5)]
+    assert licenses.scan(docs, {}).collect() == []
+
+
 def test_bands_keep_their_promise():
     for t in licenses.grouped([licenses.Template(n, x) for n, x in licenses.TEMPLATES.items()]):
         for one in t.templates:
