@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkspark.llm import decontaminate, jaccard, mixing, quality, tokenids
-from inkspark.llm.common import stored, table
+from inkspark.llm.common import small, stored, table
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Documents that the base rules and the risk-controlled cutoffs keep."""
+    """Documents that the base rules and the risk-controlled cutoffs keep.
+
+    Null and empty texts have too few words and go; rows that repeat as a whole stay or go together; whole texts of any
+    length count; without labels only the base rules decide; ties at a cutoff stay.
+    """
     verdicts = quality.verdicts(docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("__hash")), table(spark, sf_dir, "labels"))
     rejected = verdicts.where("NOT kept").select("doc_id", "__hash").distinct().toDF("__id", "__hash")
     same = docs["doc_id"].eqNullSafe(rejected["__id"]) & F.xxhash64(docs["text"]).eqNullSafe(rejected["__hash"])
@@ -19,7 +23,8 @@ def quality_rules(spark, docs, sf_dir):
 def jaccard_join(spark, docs, sf_dir):
     """One document of each group of five-word-shingle similarity 0.8 or more: that of the smallest id.
 
-    Documents without words are linked with nothing and stay.
+    Null, empty and wordless texts are linked with nothing and stay, as do rows without id; of rows that repeat an id one
+    stays; texts of any length are compared whole; a pair of similarity 0.8 sharp is linked.
     """
     linked = jaccard.link(docs, k=5, percent=80)
     gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
@@ -29,13 +34,24 @@ def jaccard_join(spark, docs, sf_dir):
 
 
 def benchmark_decontamination(spark, docs, sf_dir):
-    """Documents without ten consecutive words of a benchmark item, or a whole shorter item."""
-    found = decontaminate.search(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("size(__items) = 0").select(docs.columns)
+    """Documents without ten consecutive words of a benchmark item, or a whole shorter item.
+
+    Null, empty and wordless texts hold nothing and stay; rows that repeat stay or go together; whole texts of any length
+    are searched; an empty benchmark keeps all.
+    """
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"))
+    hit = decontaminate.search(own, table(spark, sf_dir, "benchmark"), keep=["doc_id", "__hash"]).where("size(__items) > 0")
+    hit = stored(hit.select("doc_id", "__hash").distinct().toDF("__id", "__hash"), "hit")
+    same = docs["doc_id"].eqNullSafe(hit["__id"]) & F.xxhash64(docs["text"]).eqNullSafe(hit["__hash"])
+    return docs.join(small(hit), same, "left_anti")
 
 
 def mixing_to_weights(spark, docs, sf_dir):
-    """All documents in the order of the mixture, whose place is ``mix_pos``; target weights are the square roots of the sources' sizes."""
+    """All documents in the order of the mixture, whose place is ``mix_pos``; target weights are the square roots of the sources' sizes.
+
+    A null source is a source of its own; rows that repeat as a whole share the smallest of their places; texts are not
+    looked at but for telling rows of one id apart; a column ``mix_pos`` that is there is replaced.
+    """
     columns = [c for c in docs.columns if c != "mix_pos"]
     docs = docs.select(*columns).withColumn("__hash", F.xxhash64("text"))
     placed = mixing.mix(docs.select("doc_id", "source", "__hash"), mixing.target_weights(docs), key=["doc_id", "__hash"])
@@ -46,7 +62,11 @@ def mixing_to_weights(spark, docs, sf_dir):
 
 
 def token_ids(spark, docs, sf_dir):
-    """Token-id files in the order of the mixture; a row for each document, read back from them."""
+    """Token-id files in the order of the mixture; a row for each document, read back from them.
+
+    Null and empty texts are an end id alone; rows that repeat are documents of their own; texts of any length are encoded
+    whole; without ``mix_pos`` the order is that of the ids.
+    """
     order = "mix_pos" if "mix_pos" in docs.columns else "doc_id"
     return tokenids.token_files(docs, order=order)
 
