@@ -32,20 +32,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written as Parquet into the shared folder and read again, and its path."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: cuts the lineage, survives lost executors."""
-    return stored_at(df, name)[0]
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    """Deletes what ``stored_at`` has written, once all that was made of it is stored itself."""
+    """Deletes a scratch folder, once all that was made of it is stored itself."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 

@@ -1,12 +1,13 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is partitioned by document, as search engines do: a row of the stored table ``index`` is a shard of some
-megabytes of text and holds, for each of its terms, the ascending positions of its words, next to the words of each
-document and the columns that are kept.  A query (a window of consecutive item words) starts from the list of its rarest
-term in the shard, moved back by the term's offset, and is intersected with the offset-adjusted lists of its other terms
-in order of rarity until it is empty or all terms have matched.  So texts are read once however many queries there are,
-nothing but result rows leaves a task, no shuffle is needed, and a hot document, source or passage cannot pile up in one
-place.  The index is deleted when the results are stored.
+The index is partitioned by document, as search engines do: a shard covers some megabytes of text and holds, for each of
+its terms, the ascending positions of its words, next to the words of each document and the columns that are kept.  Tasks
+write shards one behind the other into files in the shared folder; the table of the index names file and place of each.  A
+query (a window of consecutive item words) starts from the list of its rarest term in the shard, moved back by the term's
+offset, and is intersected with the offset-adjusted lists of its other terms in order of rarity until it is empty or all
+terms have matched.  So texts are read once however many queries there are, nothing but result rows leaves a task, no
+shuffle is needed, and a hot document, source or passage cannot pile up in one place.  The index is deleted when the
+results are stored.
 
 The benchmark goes to the tasks in blocks of at most ``max_block`` windows, cut inside of items, too; one block is the
 usual case, and more blocks are more passes over the index, never a larger broadcast.
@@ -21,20 +22,26 @@ kept, as the operator's own begin with two underscores.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, stored, stored_at, trimmed
+from .common import discard, scratch, stored, trimmed
+from .fileblocks import opened, write
 from .textkernel import ALNUM, U, chunks, column, hashes, words
 
 WINDOW = 10
 MAX_BLOCK = 200_000
 #: bytes of text that one shard of the index covers; its arrays take some 40 bytes for each
-SHARD = 4_000_000
+SHARD = 2_000_000
+#: bytes of a file of shards, and of shards that one task queries, about
+FILE_BYTES = 16_000_000
+TASK_BYTES = 64_000_000
 
 
 def item_windows(text, width):
@@ -163,42 +170,65 @@ def _merged(ranges, flags_len):
     return np.flatnonzero(inside[1:] != inside[:-1])
 
 
-INDEX = "docs binary, counts binary, terms binary, bounds binary, positions binary"
+INDEX = "uri string, place long, bytes long"
 FOUND = ", ranges array<array<long>>, items array<array<string>>"
+PARTS = {"counts": np.int64, "terms": U, "bounds": np.int64, "positions": np.uint32}
 
 
-def _indexer(keep):
-    names = [c.split()[0] for c in INDEX.split(", ")]
+def packed(kept, counts, terms, bounds, positions):
+    """A shard as bytes: the kept columns of its documents, their words, terms, bounds and positions."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, kept.schema) as out:
+        out.write_batch(kept)
+    arrays = dict(zip(PARTS, (counts, terms, bounds, positions)))
+    blobs = [sink.getvalue().to_pybytes(), *(arrays[c].astype(kind).tobytes() for c, kind in PARTS.items())]
+    return zstandard.compress(b"".join(struct.pack("<q", len(b)) + b for b in blobs), 1)
 
+
+def unpacked(data):
+    """(reader of the kept columns, counts, terms, bounds, positions) of a shard's bytes."""
+    data, blobs, at = memoryview(zstandard.decompress(data)), [], 0
+    while at < len(data):
+        (n,) = struct.unpack_from("<q", data, at)
+        blobs.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return pa.ipc.open_stream(pa.py_buffer(blobs[0])), *(np.frombuffer(b, kind) for b, kind in zip(blobs[1:], PARTS.values()))
+
+
+def _indexer(keep, folder):
     def run(batches):
+        held, size = [], 0
+
+        def flush():
+            uri, _ = write(folder, "shards.zst", held)
+            lengths = [len(x) for x in held]
+            return pa.RecordBatch.from_pydict({"uri": [uri] * len(held), "place": [sum(lengths[:i]) for i in range(len(held))], "bytes": lengths})
+
         for batch in batches:
             data, at = column(batch.column("__text"))
             kept = batch.select(keep)
             for i, j, d, a in chunks(data, at, SHARD):
                 starts, ends, w = words(d, a, ALNUM)
-                terms, bounds, positions = posted(hashes(d, starts, ends))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, kept.schema) as out:
-                    out.write_batch(kept.slice(i, j - i))
-                parts = [sink.getvalue().to_pybytes(), np.diff(w).astype(np.int64).tobytes(), terms.tobytes(), bounds.astype(np.int64).tobytes(), positions.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=names)
+                held.append(packed(kept.slice(i, j - i), np.diff(w), *posted(hashes(d, starts, ends))))
+                size += len(held[-1])
+                if size >= FILE_BYTES:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
 
     return run
 
 
-def _unpacked(batch, k):
-    """(words of each document, terms, bounds, positions) of a row of the index."""
-    kinds = {"counts": np.int64, "terms": U, "bounds": np.int64, "positions": np.uint32}
-    return [np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in kinds.items()]
-
-
-def _matcher(block, slop, more):
-    names = [c.split()[0] for c in (INDEX + FOUND).split(", ")]
+def _matcher(block, slop, more, last, keep):
+    """Queries of one block over the shards; ``more``: with what earlier blocks have found; ``last``: rows of documents come out."""
 
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                counts, terms, bounds, positions = _unpacked(batch, k)
+            for k, (uri, place, length) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("uri", "place", "bytes")))):
+                store, path = opened(uri)
+                with store.open_input_file(path) as f:
+                    kept, counts, terms, bounds, positions = unpacked(f.read_at(length, place))
                 found = matches(counts, terms, bounds, positions, block, slop)
                 found = found[np.argsort(found[:, 0], kind="stable")]
                 cut = np.searchsorted(found[:, 0], np.arange(len(counts) + 1))
@@ -206,34 +236,25 @@ def _matcher(block, slop, more):
                 for x in range(len(counts)):
                     f = found[cut[x] : cut[x + 1]]
                     own = np.stack([f[:, 1], f[:, 1] + f[:, 2]], 1)
-                    names_ = {block.items[i] for i in np.unique(f[:, 3])}
-                    if more:  # what earlier blocks of the benchmark have found
+                    names = {block.items[i] for i in np.unique(f[:, 3])}
+                    if more:
                         own = np.concatenate([own, np.array(batch.column("ranges")[k][x].as_py(), np.int64).reshape(-1, 2)])
-                        names_ |= set(batch.column("items")[k][x].as_py())
+                        names |= set(batch.column("items")[k][x].as_py())
                     ranges.append(_merged(own, int(counts[x])).tolist() if len(own) else [])
-                    items.append(sorted(names_))
-                row = batch.slice(k, 1)
-                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in names[:5]), pa.array([ranges], pa.list_(pa.list_(pa.int64()))), pa.array([items], pa.list_(pa.list_(pa.string())))], names=names)
-
-    return run
-
-
-def _results(keep):
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                kept = pa.ipc.open_stream(batch.column("docs")[k].as_buffer()).read_all().combine_chunks()
-                counts = np.frombuffer(batch.column("counts")[k].as_buffer(), np.int64)
-                columns = [kept.column(c).combine_chunks() if kept.num_rows else pa.array([], kept.schema.field(c).type) for c in keep]
-                found = [pa.array(batch.column(c)[k].as_py(), kind) for c, kind in (("ranges", pa.list_(pa.int64())), ("items", pa.list_(pa.string())))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), *found], names=[*keep, "__n_words", "__ranges", "__items"])
+                    items.append(sorted(names))
+                if not last:
+                    nested = [pa.array([x], pa.list_(pa.list_(kind))) for x, kind in ((ranges, pa.int64()), (items, pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in ("uri", "place", "bytes")), *nested], names=["uri", "place", "bytes", "ranges", "items"])
+                    continue
+                columns = kept.read_next_batch().columns
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), pa.array(ranges, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[*keep, "__n_words", "__ranges", "__items"])
 
     return run
 
 
-def build_index(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """A row for each shard of ``docs``: the columns ``keep`` of its documents, their words, terms, bounds and positions."""
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(trimmed(_indexer(keep)), INDEX)
+def build_index(docs: DataFrame, folder: str, keep: list[str], text: str = "text") -> DataFrame:
+    """A row for each shard of ``docs``: its file below ``folder``, its place there, and its bytes."""
+    return stored(docs.select(*keep, F.col(text).alias("__text")).mapInArrow(trimmed(_indexer(keep, folder)), INDEX), "index")
 
 
 def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, slop: int = 0, max_block: int = MAX_BLOCK, keep: list[str] | None = None) -> DataFrame:
@@ -244,17 +265,19 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
     be up to s words off its place.
     """
     spark, keep = docs.sparkSession, list(docs.columns) if keep is None else keep
-    index, path = stored_at(build_index(docs, keep, text), "index")
+    folder = scratch(spark, "shards")
+    index = build_index(docs, folder, keep, text)
+    n, size = index.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    found = index.repartition(max(1, min(n, max(2 * spark.sparkContext.defaultParallelism, size // TASK_BYTES))))
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).toLocalIterator()
-    found, blocks = index, 0
-    for block in blocks_of(((r["i"], r["t"]) for r in items), width, max_block):
-        found = found.mapInArrow(trimmed(_matcher(block, slop, blocks > 0)), INDEX + FOUND)
-        blocks += 1
-    if not blocks:
-        found = found.mapInArrow(trimmed(_matcher(Block([], width), slop, False)), INDEX + FOUND)
     fields = [T.StructField("__n_words", T.LongType()), T.StructField("__ranges", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))]
-    out = stored(found.select("docs", "counts", "ranges", "items").mapInArrow(trimmed(_results(keep)), T.StructType([*(docs.schema[c] for c in keep), *fields])), "found")
-    discard(spark, path)
+    blocks = list(blocks_of(((r["i"], r["t"]) for r in items), width, max_block)) or [Block([], width)]
+    for b, block in enumerate(blocks):
+        last = b + 1 == len(blocks)
+        schema = T.StructType([*(docs.schema[c] for c in keep), *fields]) if last else INDEX + FOUND
+        found = found.mapInArrow(trimmed(_matcher(block, slop, b > 0, last, keep)), schema)
+    out = stored(found, "found")
+    discard(spark, folder)
     return out
 
 
