@@ -13,18 +13,23 @@ wrapper.  All pages of a kind are aligned: each task aligns those that it reads,
 the tasks' wrappers are aligned with each other.  Where a level has more than
 ``WIDEST`` nodes it becomes one slot for whatever stands there.
 
-Every page is matched against the wrapper of its kind.  What is in slots, optional
-and repeated groups is data; a block element that has the same text on all pages of
-a kind (at least ``CONTENTS`` with different longest blocks) is template and left out,
-inside of articles, too.
+Every page is matched against the wrapper of its kind (if the kind has at least
+``CONTENTS`` pages with different longest blocks).  What is in slots, optional and
+repeated groups is data; a block element that has the same text on all pages of a
+kind is template and left out, inside of articles, too.  Texts carry their share of
+the page's letters outside of links, added up over all pages of the kind.  From the
+body down, the container with ``MOST`` of the shares of data is followed as long as
+no paragraph, heading or larger text stands beside it, and an article if there is
+one: what matches the container reached, the main field, is where a page's text is.
 
 A region, a block element down to three levels below the page body, is boilerplate
 if its tag or its class and id words say so (navigation, header, footer, aside,
 form, advert, notice, comments ...; never the body or main, nor a form or hinted
 element that holds most of the page's text), if a region of its path has the same
-text on most of the host's pages that have the path, or, on pages without article
-and main element, if most of its own text is links.  If the pages have an article
-(or main) element the text is what is inside, else the regions that are left.
+text on most of the host's pages that have the path, or, outside of article and main
+elements, if most of its own text is links.  The text is what is left in the main
+field; on pages that no wrapper fits, or that lack the field, in the article or main
+elements, if there are any.
 
 The regions of all pages are counted, by host, path and text.  Pages with the same
 longest block outside of a region, such as near copies of one article, count once
@@ -54,6 +59,9 @@ MAX_BROADCAST = 32_000_000
 #: nodes beside each other in a wrapper, and contents of a kind that are told apart
 WIDEST = 80
 CONTENTS = 3
+#: share of the data around it that the main field has, and what a page's letters are divided by
+MOST = 0.75
+SHARES = 1_000_000
 #: levels of elements; deeper ones stand beside each other, as in browsers
 DEEPEST = 200
 
@@ -63,6 +71,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title xmp iframe svg math canvas object select option button".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
 DROPPED = frozenset("nav footer aside form head script style noscript template svg button select option textarea iframe dialog menu canvas object math label input".split())
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 CLOSES_P = BLOCK - {"br", "body", "html"}
 PAGE = ("html", "body", "main")
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar side menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar topbar masthead header footer foot copyright comment comments reply replies disqus discussion share sharing social related recommended recommendations widget login search skip hidden".split())
@@ -200,38 +209,45 @@ def main_elements(tree):
 
 # ---------------------------------------------------------------- wrapper inference
 
-# Wrapper nodes, as JSON lists: ["t", key] start tag, ["e", tag] end tag, ["=", text] constant text, ["#"] text slot,
-# ["?", nodes] optional group, ["+", nodes] repeated group.
+# Wrapper nodes, as JSON lists: ["t", key, nodes] element, ["=", text, share] constant text, ["#", share] text slot,
+# ["?", nodes] optional group, ["+", nodes] repeated group, ["*", share] anything.
 
 
-def stream(node, depth=40):
-    """Token stream of a tree as wrapper nodes; texts are constants to begin with, and neighbouring repeats are folded."""
+def stream(node, depth=40, of=None, linked=False):
+    """Token stream of a tree as wrapper nodes; texts are constants to begin with, and neighbouring repeats are folded.
+
+    A text's share is that of the page's ``of`` letters outside of links.
+    """
     out = []
+    of = of or max(1, node.letters)
     for c in node.children:
         if isinstance(c, str):
             text = SPACE.sub(" ", c).strip()
             if text:
-                out.append(["=", hashlib.md5(text.encode()).hexdigest()[:16]])
+                out.append(["=", hashlib.md5(text.encode()).hexdigest()[:16], 0 if linked else (len(text) - text.count(" ")) * SHARES // of])
         elif not boilerplate(c):
-            inner = stream(c, depth - 1) if depth and c.tag not in RAW and c.tag not in VOID else []
+            inner = stream(c, depth - 1, of, linked or c.tag == "a") if depth and c.tag not in RAW and c.tag not in VOID else []
             out.append(["t", c.key, inner])
     return wide(fold(out))
 
 
 def wide(nodes):
     """Free content, with more than ``WIDEST`` nodes beside each other, becomes one slot for whatever stands there."""
-    return [["*"]] if len(nodes) > WIDEST else nodes
+    return [["*", share(nodes)]] if len(nodes) > WIDEST else nodes
 
 
-def generalised(nodes):
-    """Key of a run of nodes up to its texts."""
-    return json.dumps([_shape(n) for n in nodes])
+def free(nodes):
+    return len(nodes) == 1 and nodes[0][0] == "*"
 
 
-def _shape(n):
-    if n[0] in "=#":
-        return "#"
-    return [n[1]] if n[0] == "t" else [n[0], [_shape(x) for x in n[1]]]
+def share(nodes):
+    """What the texts in the nodes hold of their pages' letters, in all."""
+    return sum(n[-1] if n[0] in "=#*" else share(n[-1]) for n in nodes)
+
+
+def data(nodes):
+    """The same of texts that are not the same on all pages."""
+    return sum(0 if n[0] == "=" else n[1] if n[0] in "#*" else share(n[1]) if n[0] == "?" else data(n[-1]) for n in nodes)
 
 
 def fold(nodes):
@@ -265,8 +281,8 @@ def head(n):
 
 def align(w, s):
     """The wrapper ``w`` made general enough to cover the stream ``s``, too."""
-    if [["*"]] in (w, s):
-        return [["*"]]
+    if free(w) or free(s):
+        return [["*", share(w) + share(s)]]
     out, i, j = [], 0, 0
     while i < len(w) and j < len(s):
         a, b = w[i], s[j]
@@ -296,7 +312,7 @@ def optional(nodes):
 def together(a, b):
     """One node that covers both; their heads are equal."""
     if a[0] in "=#" and b[0] in "=#":
-        return a if a == b else ["#"]
+        return ["=", a[1], a[2] + b[2]] if a[0] == b[0] == "=" and a[1] == b[1] else ["#", a[-1] + b[-1]]
     if "?" in (a[0], b[0]):
         x, y = (n[1][0] if n[0] == "?" else n for n in (a, b))
         return ["?", [together(x, y)]]
@@ -316,7 +332,8 @@ def fold_groups(nodes):
             both = ["+", [together(x[1][0] if x[0] == "+" else x, y[1][0] if y[0] == "+" else y)]]
             out[-1] = ["?", [both]] if a[0] == b[0] == "?" else both
         elif out and head(out[-1]) == head(n) == "#":
-            out[-1] = ["?", [["#"]]] if out[-1][0] == n[0] == "?" else ["#"]
+            slot = ["#", share([out[-1], n])]
+            out[-1] = ["?", [slot]] if out[-1][0] == n[0] == "?" else slot
         else:
             out.append(n)
     return out
@@ -324,7 +341,7 @@ def fold_groups(nodes):
 
 def fits(w, s):
     """Whether the wrapper covers the stream."""
-    if w == [["*"]]:
+    if free(w):
         return True
     i = 0
     for n in s:
@@ -339,7 +356,7 @@ def fits(w, s):
         if b[0] == "+" and a[0] != "+":
             return False
         a, b = (m[1][0] if m[0] == "+" else m for m in (a, b))
-        if a[0] == "=" and a != b:
+        if a[0] == "=" and a[:2] != b[:2]:
             return False
         if a[0] == "t" and not fits(a[2], b[2]):
             return False
@@ -373,12 +390,35 @@ def fixed(nodes):
     return all(n[0] == "=" or n[0] in "t+" and fixed(n[-1]) for n in nodes)
 
 
-def slot_texts(w, node, template):
+def main_field(w):
+    """The wrapper's node that holds the text of its pages, None if that is all of it."""
+    found, nodes = None, w
+    while True:
+        rooms, beside, whole = [], [], data(nodes)
+        for n in nodes:
+            own = n[1][0] if n[0] == "?" else n
+            repeated = own[0] == "+"
+            own = own[1][0] if repeated else own
+            tag = own[1].split(".")[0] if own[0] == "t" else ""
+            (rooms if tag in CONTAINERS else beside).append((data([n]), tag, own, repeated))
+        if not rooms or not whole:
+            return found
+        best = max(rooms, key=lambda r: r[0])
+        best = max((r for r in rooms if r[1] == "article" and 4 * r[0] >= best[0]), key=lambda r: r[0], default=best)
+        n, tag, own, repeated = best
+        if tag not in ("html", "body", "article") and (n < MOST * whole or any(x > (0 if t in TEXTS else 0.02 * whole) for x, t, *_ in beside)):
+            return found
+        found, nodes = own, own[2]
+        if repeated or tag == "article":
+            return found
+
+
+def slot_texts(w, node, template, main=None, fields=None):
     """Matches a page with its wrapper; elements that are the same on all pages go into ``template``, the rest are slots and groups.
 
-    False if the page does not match.
+    Elements that match the node ``main`` go into ``fields``.  False if the page does not match.
     """
-    if w == [["*"]]:
+    if free(w):
         return True
     i, last = 0, None
     for c in node.children:
@@ -406,8 +446,10 @@ def slot_texts(w, node, template):
             if a[0] == "=" and a[1] != hashlib.md5(text.encode()).hexdigest()[:16]:
                 return False
         else:
+            if a is main:
+                fields.append(c)
             below = template if always else set()
-            if a[2] and not slot_texts(a[2], c, below):
+            if a[2] and not slot_texts(a[2], c, below, main, fields):
                 return False
             if always and c.tag in BLOCK and fixed(a[2]):
                 template.add(id(c))
@@ -523,7 +565,7 @@ def learn(pages):
         kind = kind_of(t)
         kinds[kind] = merged(kinds.get(kind), (stream(t), [sightings(t)[1]]))
     skip = constants(trees)
-    return [{"kind": k, "wrapper": w, "contents": len(c), "skip": skip} for k, (w, c) in kinds.items()]
+    return [{"kind": k, "wrapper": w, "main": main_field(w), "contents": len(c), "skip": skip} for k, (w, c) in kinds.items()]
 
 
 def extract(html, wrappers=None):
@@ -532,18 +574,21 @@ def extract(html, wrappers=None):
         return ""
     tree = parse(html)
     skip = frozenset(wrappers[0]["skip"]) if wrappers else ()
-    template = set()
+    template, fields = set(), []
     kind = kind_of(tree) if wrappers else None
     for w in wrappers or ():
         # what pages of fewer contents have in common may be the content
-        if w["kind"] == kind and w["contents"] >= CONTENTS and not slot_texts(w["wrapper"], tree, template):
+        if w["kind"] == kind and w["contents"] >= CONTENTS and not slot_texts(w["wrapper"], tree, template, w["main"], fields):
             template.clear()  # of another kind, which has no wrapper
+            fields.clear()
     out, spans = laid_out(tree)
     half = sum(map(len, out)) / 2
-    articles = {id(a) for a in main_elements(tree)}
-    stay = [not articles] * len(out)
+    fields = fields or main_elements(tree)
+    articles = any(f.tag in ("article", "main") for f in fields)
+    fields = {id(f) for f in fields}
+    stay = [not fields] * len(out)
     for _, node, first, end in spans:
-        if id(node) in articles:
+        if id(node) in fields:
             stay[first:end] = [True] * (end - first)
     for path, node, first, end in spans:
         if path is None or first == end or node.tag in PAGE:
@@ -658,8 +703,8 @@ def read_wrappers(raw):
     """What ``learn`` gives, from a host's row of the table."""
     host = json.loads(raw)
     skip = frozenset(host.get("skip", ()))
-    known = [{"kind": k["kind"], "wrapper": json.loads(k["wrapper"]), "contents": CONTENTS, "skip": skip} for k in host.get("kinds", ())]
-    return known or [{"kind": None, "wrapper": [], "contents": 0, "skip": skip}]
+    known = [{"kind": k["kind"], "wrapper": w, "main": main_field(w), "contents": CONTENTS, "skip": skip} for k in host.get("kinds", ()) for w in [json.loads(k["wrapper"])]]
+    return known or [{"kind": None, "wrapper": [], "main": None, "contents": 0, "skip": skip}]
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

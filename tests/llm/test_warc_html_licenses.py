@@ -147,7 +147,7 @@ def test_wrappers_cover_their_pages():
     for w in (wrappers.learn(pages), wrappers.learn(pages[::-1])):
         assert all(any(wrappers.fits(k["wrapper"], wrappers.stream(wrappers.parse(p))) for k in w) for p in pages)
     text = str(wrappers.learn(pages)[0]["wrapper"])
-    assert "['?', [['t', 'blockquote'" in text and "['+', [['t', 'p'" in text and "['#']" in text
+    assert "['?', [['t', 'blockquote'" in text and "['+', [['t', 'p'" in text and "['#', " in text
 
 
 @pytest.mark.parametrize(
@@ -224,6 +224,61 @@ def test_each_kind_has_its_wrapper_and_it_decides_in_articles():
     assert wrappers.extract(site(6), known) == main(6)
 
 
+def plain(n):
+    """No article, no telling class or id: the wrapper alone tells where the text is."""
+    own = "".join(f"<p>Sentence {n} {i} tells of thing {i * n} and of what came after it." for i in range(n % 5 + 6))
+    return (
+        f"<body><div class=za><span>Edition {n}</span> <a href=/>Home</a></div><div class=zb><div class=ze>Buy item {n * 7} now</div><div class=zc><h1>Title {n}</h1>{own}"
+        f"<div class=zf><b>Send it on</b> to friends</div></div></div><div class=zd>Seen {n * 13} times</div></body>"
+    )
+
+
+def plain_text(n):
+    return "\n".join([f"Title {n}", *(f"Sentence {n} {i} tells of thing {i * n} and of what came after it." for i in range(n % 5 + 6))])
+
+
+def test_the_wrapper_decides_where_the_text_is():
+    pages = [plain(n) for n in range(20)]
+    known = [{**k, "skip": []} for k in wrappers.learn(pages)]
+    assert [k["main"][1] for k in known] == ["div.zc"] and known[0]["main"][2][0][:2] == ["t", "h1"]
+    for n in range(20):
+        assert wrappers.extract(plain(n), known) == plain_text(n)
+        off = wrappers.extract(plain(n))
+        assert "Buy item" in off and "Seen" in off and "Send it on" in off
+
+
+def test_the_wrapper_decides_on_whole_tables(spark):
+    rows = [(n, f"http://plain.example/{n}", plain(n)) for n in range(60)] + [(100 + n, f"http://cards.example/{n}", "<body>" + card(n) + f"<p>Seen {n}</body>") for n in range(30)]
+    got = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert all(got[n] == plain_text(n) for n in range(60))
+    assert all(got[100 + n].startswith(f"Title {n}\nText {n} of an article.") and "Seen" not in got[100 + n] and "editors" not in got[100 + n] for n in range(30))
+
+
+@pytest.mark.parametrize(
+    "body,name",
+    [
+        # text stands beside the largest container: it is not left behind
+        ("<h1>Title {n}</h1><div class=x><p>{long}</div>", "body"),
+        ("<div class=x><p>{long}</div><div class=y><p>{long}{n}</div>", "body"),
+        # containers that are the same on all pages do not count
+        ("<div class=x><p>" + "the same words " * 200 + "</div><div class=y><p>{long}</div>", "div.y"),
+        # nor do links
+        ("<div class=x><a href=u>{long}{long}</a></div><div class=y><p>{long}</div>", "div.y"),
+        ("<main><div class=c><p>{long}{long}</div><article><p>{long}</p></article></main>", "article"),
+        ("<main><p>{long}{long}{long}{long}{long}</main><article>card {n}</article>", "main"),
+        ("<div class=x><div class=post><p>{long}</div><div class=post><p>{long} more</div></div>", "div.post"),
+    ],
+)
+def test_main_fields(body, name):
+    pages = ["<body>" + body.format(n=n, long=f"These are words of page {n}, " * (20 + n % 3)) + "</body>" for n in range(8)]
+    (known,) = wrappers.learn(pages)
+    assert known["main"][1] == name
+
+
+def test_main_field_of_nothing():
+    assert wrappers.main_field([]) is None and wrappers.main_field([["*", 5]]) is None and wrappers.main_field([["=", "x", 3]]) is None
+
+
 def test_wrappers_of_parts_cover_all_pages():
     pages = [(card if n % 5 else site)(n) for n in range(40)]
     kinds = {}
