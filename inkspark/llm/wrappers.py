@@ -79,7 +79,6 @@ HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
-SPACE = re.compile(r"\s+")
 
 
 # ---------------------------------------------------------------- page tree
@@ -222,7 +221,7 @@ def stream(node, depth=40, of=None, linked=False):
     of = of or max(1, node.letters)
     for c in node.children:
         if isinstance(c, str):
-            text = SPACE.sub(" ", c).strip()
+            text = " ".join(c.split())
             if text:
                 out.append(["=", hashlib.md5(text.encode()).hexdigest()[:16], 0 if linked else (len(text) - text.count(" ")) * SHARES // of])
         elif not boilerplate(c):
@@ -423,7 +422,7 @@ def slot_texts(w, node, template, main=None, fields=None):
     i, last = 0, None
     for c in node.children:
         if isinstance(c, str):
-            text = SPACE.sub(" ", c).strip()
+            text = " ".join(c.split())
             if not text:
                 continue
             own = "#"
@@ -467,7 +466,7 @@ def laid_out(tree):
     out, spans, open_ = [], [], []
 
     def close():
-        text = SPACE.sub(" ", _html.unescape("".join(open_))).strip()
+        text = " ".join(_html.unescape("".join(open_)).split())
         open_.clear()
         if text:
             out.append(text)
