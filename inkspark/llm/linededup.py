@@ -17,6 +17,9 @@ lines or more that stands at an earlier place, too, is found to its full length,
 it begins and ends.  A window that overlaps its first occurrence in its own text is no
 copy of it.  Windows that touch make one run.
 
+A chunk that very many places share, such as a line in a third of all texts, is dealt to
+parts before it meets its first occurrence, which is sent to each of them.
+
 Defined results: a null text stays null, an empty one empty; rows that repeat as
 a whole (id and text) count as one document and lose or keep the same lines; a
 text all of whose chunks are copies becomes empty.
@@ -35,6 +38,8 @@ WINDOW = 3
 #: modulus and base of the rolling hash: products of two residues fit a long
 PRIME = 2147483647
 BASE = 1000003
+#: chunks with more than this part of all repeated ones are dealt to parts; there are fewer than HOT of them, and 2 * HOT parts
+HOT = 256
 
 
 def _chunks(text):
@@ -76,16 +81,23 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole:
     own = own.where(f"n >= {MIN_LINES} AND chunk RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     own = own.withColumn("key", F.xxhash64("chunk")).withColumn("bytes", F.octet_length("chunk"))
     place = F.struct("doc_id", "text_hash", "first")
-    groups = own.groupBy("key", "bytes").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where("keeper <> other").drop("other")
-    met = stored(own.join(groups, ["key", "bytes"]), "chunks")  # chunks whose hash another has, with their text
-    kept = met.where(F.col("keeper") == place).select("key", "bytes", F.col("chunk").alias("kept")).distinct()
+    groups = own.groupBy("key", "bytes").agg(F.min(place).alias("keeper"), F.max(place).alias("other"), F.count("*").alias("rows")).where("keeper <> other").drop("other")
+    groups = stored(groups, "groups")
+    total = groups.agg(F.sum("rows")).first()[0] or 0
+    groups = groups.withColumn("parts", F.ceil(F.col("rows") * HOT / F.lit(max(1, total))).cast("int")).drop("rows")
+    hot = groups.where("parts > 1").select("key", "bytes", F.col("parts").alias("own_parts"))
+    own = own.join(F.broadcast(hot), ["key", "bytes"], "left")
+    own = own.withColumn("part", F.expr("coalesce(cast(pmod(xxhash64(doc_id, text_hash, first), own_parts) AS int), 0)")).drop("own_parts")
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    met = stored(own.join(groups.select("*", part), ["key", "bytes", "part"]), "chunks")  # chunks whose hash another has, with their text
+    kept = met.where(F.col("keeper") == place).select("key", "bytes", "parts", F.col("chunk").alias("kept")).distinct().select("key", "bytes", "kept", part)
 
     def apart(first):
         """Whether a chunk is another than the first of its text, and clear of it."""
         same = F.col("doc_id").eqNullSafe(F.col(f"{first}.doc_id")) & (F.col("text_hash") == F.col(f"{first}.text_hash"))
         return (F.col(first) != place) & ~(same & (F.col("first") < F.col(f"{first}.first") + F.col("n")))
 
-    copies = met.where(F.col("keeper") != place).join(kept, ["key", "bytes"])
+    copies = met.where(F.col("keeper") != place).join(kept, ["key", "bytes", "part"])
     # byte comparison; of chunks that only share the hash, each text's own first one stays
     equal = copies.where(F.col("chunk") == F.col("kept")).where(apart("keeper")).select("doc_id", "text_hash", "first", "n")
     odd = copies.where("chunk <> kept")

@@ -144,6 +144,14 @@ def test_whole_runs_of_lines_are_removed(spark):
     assert (got[2].n_removed_lines, got[21].n_removed_lines, got[21].n_removed_chunks, got[4].n_removed_lines) == (2, 5, 1, 4)
 
 
+def test_hot_runs_are_dealt_to_parts(spark):
+    # one passage in all texts, and groups of two so that it has most of the repeated windows
+    rows = [(i, f"own {i}\nhot 1\nhot 2\nend {i}") for i in range(900)] + [(900 + i, f"pair {i // 2}\nof lines {i // 2}\nlast {i}") for i in range(40)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), whole=True).collect()}
+    want = {i: f"own {i}\nend {i}" if i else rows[0][1] for i in range(900)} | {900 + i: f"last {i}" if i % 2 else rows[900 + i][1] for i in range(40)}
+    assert got == want
+
+
 def test_boundaries_resist_shifts():
     lines = [f"line {i * 7919 % 1000}" for i in range(200)]
     one = {tuple(c) for _, c in brute_chunks("\n".join(lines))}
