@@ -3,6 +3,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkspark.llm import mixing, sharding
 
@@ -119,6 +120,37 @@ def test_shards(request, table):
     assert sorted(map(str, rows)) == sorted(map(str, sharding.shards(docs.repartition(3), 16).collect()))
 
 
+def brute_shards(df, key, shards, seed):
+    """{(key, shard, slot)} by sorting rows in plain Python; Spark gives the keyed hashes alone."""
+    hashes = df.select(*key, *[F.xxhash64(F.lit(seed + i), *key).alias(f"h{i}") for i in range(4)]).collect()
+    groups = max(8, -(-len(hashes) // sharding.GROUP_ROWS))
+    nulls_first = lambda r: tuple((x is not None, x) if x is not None else (False,) for x in (r[k] for k in key))
+    parts = [sorted((r for r in hashes if r.h0 % groups == p), key=lambda r: (r.h1, nulls_first(r))) for p in range(groups)]
+    sent = sharding.communication_matrix([len(p) for p in parts], shards, seed)
+    received = {s: [] for s in range(shards)}
+    for part, row in zip(parts, sent):
+        at = 0
+        for s, n in enumerate(row):
+            received[s] += [(part[i], i) for i in range(at, at + n)]
+            at += n
+        assert at == len(part)
+    buckets = max(1, min(sharding.MAX_GROUPS // shards, -(-len(hashes) // (shards * sharding.GROUP_ROWS))))
+    out = Counter()
+    for s, rows in received.items():
+        order = sorted(rows, key=lambda x: (x[0].h2 % buckets, x[0].h3, nulls_first(x[0]), x[1]))
+        out.update((*(r[k] for k in key), s, slot) for slot, (r, _) in enumerate(order))
+    return out
+
+
+@pytest.mark.parametrize("table", ["corpus", "documents", "nothing"])
+@pytest.mark.parametrize("group_rows", [20_000, 9])
+def test_shards_agree_with_brute_force(request, monkeypatch, table, group_rows):
+    monkeypatch.setattr(sharding, "GROUP_ROWS", group_rows)
+    docs = request.getfixturevalue(table).select("doc_id", "text")
+    got = Counter((r.doc_id, r.text, r.shard, r.slot) for r in sharding.shuffle_shards(docs, ["doc_id", "text"], 5, 3).collect())
+    assert got == brute_shards(docs, ["doc_id", "text"], 5, 3)
+
+
 def test_extra_columns_stay(corpus):
     out = sharding.shuffle_shards(corpus.withColumnRenamed("lang", "count"), ["doc_id", "text"], 3)
     assert out.columns[:5] == ["doc_id", "text", "count", "source", "n_chars"] and out.count() == corpus.count()
