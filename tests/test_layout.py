@@ -24,3 +24,21 @@ def test_glyphs_of_one_place_and_order_are_all_in_a_line(spark):
 
     got = layout.lines(spark.range(0, 2000, 1, 4).mapInArrow(tied, GLYPHS)).collect()
     assert len(got) == 2000 and {(r.n_chars, r.x, r.y, r.size, r.line_no) for r in got} == {(8, 1.0, 700.0, 9.0, 0)}
+
+
+def texts_of(spark, tmp_path, name):
+    """What a query makes of some documents, with the rows that their texts' lines should give."""
+    from inkspark.plans.queries import QUERIES
+    from inkspark.sources.writer import wrapped
+
+    texts = ["one  two\n\n" + "long line " * 4000 + "\nend", "", None, "é中😀 x  " * 40 + "\n   \n b", "aaa bb" * 7]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(d, i * 400 + k, " ".join(raw.split())) for d, t in enumerate(texts) for i, line in enumerate((t or "").split("\n")) for k, raw in enumerate(wrapped(line)) if raw.strip()]
+    return QUERIES[name](spark, str(tmp_path)), sorted(want)
+
+
+def test_gaps_and_paint_are_laid_out_where_they_are_made(spark, tmp_path):
+    for name in ("gap_spaces", "overprint_dedupe"):
+        got, want = texts_of(spark, tmp_path / name, name)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == want
