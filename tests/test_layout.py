@@ -42,3 +42,18 @@ def test_gaps_and_paint_are_laid_out_where_they_are_made(spark, tmp_path):
         got, want = texts_of(spark, tmp_path / name, name)
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_layouts_are_made_where_the_file_is(spark, tmp_path):
+    import hashlib
+
+    from inkspark.plans.queries import QUERIES
+    from inkspark.sources.writer import wrapped
+
+    text = "one  two\n\n" + "long line " * 900 + "\n  end"
+    spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["layout_grid"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    rows = [r.rstrip() for r in wrapped(text)]
+    assert sorted(map(tuple, got.collect())) == [(1, p, hashlib.md5("\n".join(rows[60 * p : 60 * p + 60]).encode()).hexdigest()) for p in range(2)]
