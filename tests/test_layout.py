@@ -57,3 +57,17 @@ def test_layouts_are_made_where_the_file_is(spark, tmp_path):
     assert "Exchange" not in plan and "Join" not in plan
     rows = [r.rstrip() for r in wrapped(text)]
     assert sorted(map(tuple, got.collect())) == [(1, p, hashlib.md5("\n".join(rows[60 * p : 60 * p + 60]).encode()).hexdigest()) for p in range(2)]
+
+
+def test_boxes_are_placed_where_the_file_is(spark, tmp_path):
+    from inkspark.plans.queries import QUERIES
+
+    text = "one  two\nx\n" + "long line " * 900 + "\n  end"
+    spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {}
+    for name in ("glyph_positions", "saved_state_positions", "quoted_line_positions", "spacing_scaling_kerning"):
+        got = QUERIES[name](spark, str(tmp_path))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        found[name] = sorted((r.page_index, r.line_no, r.n_chars, r.y, r.x) for r in got.collect() if r.n_chars > 1)
+    assert len(found["glyph_positions"]) == 102 and all(v == found["glyph_positions"] for v in found.values())
